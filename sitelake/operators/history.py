@@ -98,8 +98,9 @@ def replay_batches(events: DataFrame) -> DataFrame:
     """Final batch of each pack after its ordered add and remove actions.
 
     ``events(pack, seq, action, rel)`` → ``(pack, slot, rel)``. The limit makes
-    the outcome depend on the whole order. Sorted partitions are streamed in
-    Arrow batches and only the batch itself, eight names, is held per pack.
+    the outcome depend on the whole order. Removals that follow a removal of
+    the same document change nothing and go first; then sorted partitions are
+    streamed in Arrow batches and only eight names are held per pack.
     """
 
     def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,6 +121,8 @@ def replay_batches(events: DataFrame) -> DataFrame:
         if pack is not None:
             yield done()
 
+    before = F.lag("action", 1, "remove").over(Window.partitionBy("pack", "rel").orderBy("seq"))
+    events = events.withColumn("_before", before).filter("action <> 'remove' or _before <> 'remove'")
     pack_type = events.schema["pack"].dataType.simpleString()
     return (
         events.repartition("pack")

@@ -22,6 +22,10 @@ from sitelake.functions.slugs import article_slug, normalize_slug, source_rank
 from sitelake.operators.catalog import Lookup, dir_table, with_folded
 
 
+# Names of files are at most this long; longer needles match none of them.
+LONGEST_NAME = 255
+
+
 def note_index(files: DataFrame) -> DataFrame:
     """Visible Markdown files: ``(site, rel, name, name_lower)``."""
     name = file_name(F.col("rel"))
@@ -96,25 +100,23 @@ def search_counts(notes: DataFrame, needles: DataFrame) -> DataFrame:
     each name yields its distinct substrings of the needles' lengths, which
     then meet the needles by equality.
     """
-    clean = needles.select(F.lower(F.trim("needle")).alias("needle")).filter(F.length("needle") >= 2).distinct()
-    lengths = clean.select(F.length("needle").alias("n")).agg(F.array_sort(F.collect_set("n")).alias("_lengths"))
+    clean = needles.select(F.lower(F.trim("needle")).alias("needle")).distinct()
+    clean = clean.filter(F.length("needle").between(2, LONGEST_NAME))
+    lengths = clean.select(F.length("needle").alias("n")).distinct().orderBy("n").collect()
     name = F.col("name_lower")
-    pieces = notes.join(F.broadcast(lengths)).select(
+    substrings = [
+        F.when(
+            F.length(name) >= n,
+            F.transform(
+                F.sequence(F.lit(1), F.length(name) - n + 1), lambda at: F.substr(name, at, F.lit(n))
+            ),
+        ).otherwise(F.array().cast("array<string>"))
+        for (n,) in lengths
+    ]
+    pieces = notes.select(
         "site",
         "rel",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.filter("_lengths", lambda n: n <= F.length(name)),
-                        lambda n: F.transform(
-                            F.sequence(F.lit(1), F.length(name) - n + 1),
-                            lambda at: F.substr(name, at, n),
-                        ),
-                    )
-                )
-            )
-        ).alias("needle"),
+        F.explode(F.array_distinct(F.flatten(F.array(*substrings)))).alias("needle"),
     )
     return pieces.join(clean, "needle").groupBy("site", "needle").agg(F.count(F.lit(1)).alias("total"))
 
