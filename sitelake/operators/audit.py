@@ -9,7 +9,7 @@ from sitelake.constants import BROKEN_SHOWN, SOURCES_SHOWN
 from sitelake.functions.paths import doc_kind, fold_key
 from sitelake.operators.catalog import locate
 from sitelake.operators.parse import anchor_rows
-from sitelake.operators.resolve import document_base, resolve_links, with_page_base
+from sitelake.operators.resolve import DOCUMENT_BASE, resolve_links, with_page_base
 
 ESCAPED_BASE = -1
 
@@ -49,7 +49,7 @@ def page_links(visits: DataFrame, parsed: DataFrame) -> DataFrame:
     keep = [c for c in visits.columns]
     rows = pages.select(*keep, "base", F.inline(links)).withColumn(
         "base",
-        F.when(F.col("pos") == ESCAPED_BASE, document_base(F.col("url"))).otherwise(F.col("base")),
+        F.when(F.col("pos") == ESCAPED_BASE, F.expr(DOCUMENT_BASE.format(url="url"))).otherwise(F.col("base")),
     )
     target = F.col("target")
     return resolve_links(rows).select(

@@ -1,99 +1,87 @@
 """Link resolution: what an href on a page points at.
 
 The logic runs in stages, each one projection, so every intermediate value is
-computed once and all of it stays in generated code but the ``..`` walk, which
-only links that climb pay for.
+computed once. All of it is SQL expressions; only links that climb with ``..``
+pay for the walk over their segments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.functions.paths import percent_decode, trim_ws
 
 BASE = "struct<origin:string,segs:array<string>,is_dir:boolean,above:int>"
 
-
-def no_strings() -> Column:
-    return F.array().cast("array<string>")
-
-
-def split_segments(path: Column) -> Column:
-    return F.filter(F.split(path, "/"), lambda seg: seg != "")
-
-
-def base_struct(origin: Column, segs: Column, is_dir: Column, above: Column) -> Column:
-    return F.struct(
-        origin.cast("string").alias("origin"),
-        segs.alias("segs"),
-        is_dir.alias("is_dir"),
-        above.cast("int").alias("above"),
-    )
-
-
-def document_base(url: Column) -> Column:
-    """Base of a page without a ``<base>``: its own URL inside the archive."""
-    return base_struct(
-        F.lit(None), split_segments(url), url.endswith("/"), F.lit(0)
-    )
-
-
-def external_base(url: Column) -> Column:
-    """Base given by an absolute or scheme-relative URL."""
-    known = url.rlike(r"^(?:https?:)?//")
-    origin = F.regexp_extract(url, r"(?s)^((?:https?:)?//[^/]*)", 1)
-    path = F.regexp_extract(url, r"(?s)^(?:https?:)?//[^/]*/?([^?#]*)", 1)
-    return base_struct(
-        F.when(known, origin).otherwise(url),
-        F.when(known, split_segments(percent_decode(path))).otherwise(no_strings()),
-        ~known | (path == "") | path.endswith("/"),
-        F.lit(0),
-    )
-
-
-def strip_fragment(url: Column) -> Column:
-    return F.substring_index(url, "#", 1)
-
-
-def escape_label(above: Column, segs: Column, is_dir: Column) -> Column:
-    """Shown for links that leave the archive: ``../`` per level, then the rest."""
-    ups = F.repeat(F.lit("../"), above)
-    return F.when(F.size(segs) == 0, F.rtrim(ups, F.lit("/"))).otherwise(
-        F.concat(
-            ups,
-            F.array_join(segs, "/"),
-            F.when(is_dir, F.lit("/")).otherwise(F.lit("")),
-        )
-    )
-
-
-def walk_segments(above: Column, start: Column, pieces: Column, clamp: Column) -> Column:
-    """Apply path pieces to a folder; ``..`` past the top counts in ``above``."""
-    begin = F.struct(above.cast("int").alias("above"), start.alias("segs"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        depth = F.size(acc["segs"])
-        climbed = F.struct(
-            F.when((depth > 0) | clamp, acc["above"])
-            .otherwise(acc["above"] + F.lit(1))
-            .alias("above"),
-            F.when(depth > 0, F.slice(acc["segs"], F.lit(1), F.greatest(depth - 1, F.lit(0))))
-            .otherwise(acc["segs"])
-            .alias("segs"),
-        )
-        entered = F.struct(
-            acc["above"].alias("above"),
-            F.concat(acc["segs"], F.array(piece)).alias("segs"),
-        )
-        return F.when(piece == "..", climbed).otherwise(entered)
-
-    straight = F.struct(
-        above.cast("int").alias("above"), F.concat(start, pieces).alias("segs")
-    )
-    return F.when(
-        F.array_contains(pieces, ".."), F.aggregate(pieces, begin, step)
-    ).otherwise(straight)
+# Base of a page without a <base>: its own URL inside the archive.
+DOCUMENT_BASE = """named_struct(
+  'origin', CAST(NULL AS STRING), 'segs', filter(split({url}, '/'), s -> s <> ''),
+  'is_dir', endswith({url}, '/'), 'above', 0)"""
+
+# Base given by an absolute or scheme-relative URL.
+EXTERNAL_BASE = r"""named_struct(
+  'origin', CASE WHEN {url} RLIKE '^(?:https?:)?//' THEN regexp_extract({url}, '(?s)^((?:https?:)?//[^/]*)', 1) ELSE {url} END,
+  'segs', CASE WHEN {url} RLIKE '^(?:https?:)?//' THEN filter(split({path}, '/'), s -> s <> '') ELSE CAST(array() AS ARRAY<STRING>) END,
+  'is_dir', NOT {url} RLIKE '^(?:https?:)?//' OR {raw_path} = '' OR endswith({raw_path}, '/'),
+  'above', 0)"""
+
+MODE = """CASE
+  WHEN _raw IS NULL OR _raw = '' THEN 'skip'
+  WHEN _scheme IN ('', 'http', 'https') AND startswith(_rest, '//') THEN 'absolute'
+  WHEN _scheme IN ('http', 'https') AND _scheme <> CASE WHEN startswith({base}.origin, 'https://') THEN 'https' ELSE 'http' END THEN 'foreign'
+  WHEN _scheme NOT IN ('', 'http', 'https') OR _rest = '' THEN 'skip'
+  ELSE 'path' END"""
+
+# `https:host/x` on an http page names another host; without a host it is no link.
+FOREIGN_URL = """CASE WHEN substring_index(_bare, '?', 1) <> '' THEN concat(
+  _scheme, '://', substring_index(_bare, '?', 1),
+  CASE WHEN contains(substring_index(_bare, '?', 1), '/') THEN '' ELSE '/' END,
+  substr(_bare, length(substring_index(_bare, '?', 1)) + 1)) END"""
+
+# Folder a path starts from, and how far above the top that folder already is.
+START = """named_struct(
+  'above', CASE WHEN startswith(_path, '/') OR {base}.origin IS NOT NULL THEN 0 ELSE {base}.above END,
+  'segs', CASE WHEN startswith(_path, '/') THEN CAST(array() AS ARRAY<STRING>)
+               WHEN {base}.is_dir THEN {base}.segs
+               ELSE slice({base}.segs, 1, greatest(size({base}.segs) - 1, 0)) END)"""
+
+# `..` past the top counts in `above`; on another host it has no effect.
+WALK = """CASE
+  WHEN _mode <> 'path' THEN NULL
+  WHEN _path = '' THEN named_struct(
+    'above', CASE WHEN {base}.origin IS NULL THEN {base}.above ELSE 0 END, 'segs', {base}.segs)
+  WHEN NOT array_contains(_pieces, '..') THEN named_struct('above', _start.above, 'segs', concat(_start.segs, _pieces))
+  ELSE aggregate(_pieces, _start, (acc, piece) -> CASE
+    WHEN piece <> '..' THEN named_struct('above', acc.above, 'segs', concat(acc.segs, array(piece)))
+    WHEN size(acc.segs) > 0 THEN named_struct('above', acc.above, 'segs', slice(acc.segs, 1, size(acc.segs) - 1))
+    WHEN {base}.origin IS NULL THEN named_struct('above', acc.above + 1, 'segs', acc.segs)
+    ELSE acc END) END"""
+
+CLASS = """CASE
+  WHEN _mode <> 'path' THEN CASE WHEN _url IS NOT NULL THEN 'external' ELSE 'skip' END
+  WHEN contains(_path, '\\u0000') THEN 'local'
+  WHEN _walk.above > 0 THEN 'escape'
+  WHEN {base}.origin IS NOT NULL THEN 'external'
+  ELSE 'local' END"""
+
+# Shown for links that leave the archive: `../` per level, then the rest.
+ESCAPE_LABEL = """CASE WHEN size(_walk.segs) = 0 THEN rtrim('/', repeat('../', _walk.above))
+  ELSE concat(repeat('../', _walk.above), array_join(_walk.segs, '/'), CASE WHEN _is_dir THEN '/' ELSE '' END) END"""
+
+REMOTE_URL = """concat({base}.origin, '/', array_join(_walk.segs, '/'),
+  CASE WHEN _is_dir AND size(_walk.segs) > 0 THEN '/' ELSE '' END)"""
+
+TARGET = f"""named_struct(
+  'cls', _cls,
+  'url', CASE WHEN _cls = 'external' THEN coalesce(_url, {REMOTE_URL}) END,
+  'path', CASE WHEN _cls = 'escape' THEN {ESCAPE_LABEL}
+               WHEN _cls = 'local' AND contains(_path, '\\u0000') THEN _path
+               WHEN _cls = 'local' THEN array_join(_walk.segs, '/') END,
+  'is_dir', CASE WHEN _cls IN ('local', 'escape') THEN _is_dir AND NOT contains(_path, '\\u0000') END,
+  'fragment', CASE WHEN _cls = 'local' THEN _fragment END,
+  'above', _walk.above,
+  'segs', _walk.segs)"""
 
 
 def resolve_links(
@@ -105,120 +93,46 @@ def resolve_links(
     ``cls`` one of ``skip``, ``external`` (``url`` set), ``escape`` (``path`` is
     the label) and ``local`` (``path`` inside the archive).
     """
-    b = F.col(base)
-    raw, rest, scheme = F.col("_raw"), F.col("_rest"), F.col("_scheme")
-    own = F.when(b["origin"].startswith("https://"), F.lit("https")).otherwise(F.lit("http"))
-    http = scheme.isin("http", "https")
-
-    df = df.withColumn("_raw", F.translate(trim_ws(F.col(href)), "\\", "/"))
-    df = df.withColumn(
-        "_scheme", F.lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    ).withColumn(
-        "_rest",
-        F.when(scheme != "", F.substr(raw, F.length(scheme) + F.lit(2))).otherwise(raw),
-    )
-
-    # Which of the forms the link has, and its path text where it has one.
-    mode = (
-        F.when(raw.isNull() | (raw == ""), F.lit("skip"))
-        .when((http | (scheme == "")) & rest.startswith("//"), F.lit("absolute"))
-        .when(http & (scheme != own), F.lit("foreign"))
-        .when((scheme != "") & ~http, F.lit("skip"))
-        .when(rest == "", F.lit("skip"))
-        .otherwise(F.lit("path"))
-    )
-    df = df.withColumn("_mode", mode)
-    is_path = F.col("_mode") == "path"
-    before = F.substring_index(rest, "#", 1)
-    fragment = F.when(
-        F.contains(rest, F.lit("#")),
-        F.nullif(
-            trim_ws(percent_decode(F.regexp_extract(rest, r"(?s)#(.*)$", 1))), F.lit("")
-        ),
-    )
-    df = df.withColumn("_fragment", F.when(is_path, fragment)).withColumn(
-        "_path", F.when(is_path, percent_decode(F.substring_index(before, "?", 1)))
-    )
-
-    # `https:host/x` on an http page names another host.
-    bare = strip_fragment(F.ltrim(rest, F.lit("/")))
-    pathish = F.substring_index(bare, "?", 1)
-    foreign = F.when(
-        pathish != "",
-        F.concat(
-            scheme,
-            F.lit("://"),
-            pathish,
-            F.when(F.contains(pathish, F.lit("/")), F.lit("")).otherwise(F.lit("/")),
-            F.substr(bare, F.length(pathish) + F.lit(1)),
-        ),
-    )
-    df = df.withColumn(
-        "_url",
-        F.when(F.col("_mode") == "absolute", strip_fragment(raw)).when(
-            F.col("_mode") == "foreign", foreign
-        ),
-    )
-
-    path = F.col("_path")
-    remote = b["origin"].isNotNull()
-    pieces = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
-    folder = F.when(b["is_dir"], b["segs"]).otherwise(
-        F.slice(b["segs"], F.lit(1), F.greatest(F.size(b["segs"]) - 1, F.lit(0)))
-    )
-    rooted = path.startswith("/")
-    start = F.when(rooted, no_strings()).otherwise(folder)
-    start_above = F.when(rooted | remote, F.lit(0)).otherwise(b["above"])
-    itself = F.struct(
-        F.when(remote, F.lit(0)).otherwise(b["above"]).cast("int").alias("above"),
-        b["segs"].alias("segs"),
-    )
-    df = df.withColumn(
-        "_walk",
-        F.when(
-            is_path,
-            F.when(path == "", itself).otherwise(
-                walk_segments(start_above, start, pieces, remote)
-            ),
-        ),
-    ).withColumn(
-        "_is_dir",
-        F.when(path == "", b["is_dir"]).otherwise(path.rlike(r"(?:^|/)\.{0,2}\z")),
-    )
 
-    walk, is_dir = F.col("_walk"), F.col("_is_dir")
-    joined = F.array_join(walk["segs"], "/")
-    bad_name = F.contains(path, F.lit("\x00"))
-    remote_url = F.concat(
-        b["origin"],
-        F.lit("/"),
-        joined,
-        F.when(is_dir & (F.size(walk["segs"]) > 0), F.lit("/")).otherwise(F.lit("")),
-    )
-    cls = (
-        F.when(~is_path, F.when(F.col("_url").isNotNull(), F.lit("external")).otherwise(F.lit("skip")))
-        .when(bad_name, F.lit("local"))
-        .when(walk["above"] > 0, F.lit("escape"))
-        .when(remote, F.lit("external"))
-        .otherwise(F.lit("local"))
-    )
-    df = df.withColumn("_cls", cls)
-    kind = F.col("_cls")
-    result = F.struct(
-        kind.alias("cls"),
-        F.when(kind == "external", F.coalesce(F.col("_url"), remote_url)).alias("url"),
-        F.when(kind == "escape", escape_label(walk["above"], walk["segs"], is_dir))
-        .when(kind == "local", F.when(bad_name, path).otherwise(joined))
-        .alias("path"),
-        F.when(kind.isin("local", "escape"), is_dir & ~bad_name).alias("is_dir"),
-        F.when(kind == "local", F.col("_fragment")).alias("fragment"),
-        walk["above"].alias("above"),
-        walk["segs"].alias("segs"),
-    )
-    return df.withColumn(out, result).drop(
-        "_raw", "_scheme", "_rest", "_mode", "_fragment", "_path", "_url",
-        "_walk", "_is_dir", "_cls",
+    def sql(text: str):
+        return F.expr(text.replace("{base}", base))
+
+    scheme = r"lower(regexp_extract(_raw, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1))"
+    staged = (
+        df.withColumn("_raw", F.translate(trim_ws(F.col(href)), "\\", "/"))
+        .withColumn("_scheme", sql(scheme))
+        .withColumn("_rest", sql("CASE WHEN _scheme <> '' THEN substr(_raw, length(_scheme) + 2) ELSE _raw END"))
+        .withColumn("_mode", sql(MODE))
+        .withColumns(
+            {
+                "_fragment": F.when(
+                    sql("_mode = 'path' AND contains(_rest, '#')"),
+                    F.nullif(trim_ws(percent_decode(sql("regexp_extract(_rest, '(?s)#(.*)$', 1)"))), F.lit("")),
+                ),
+                "_path": F.when(
+                    sql("_mode = 'path'"),
+                    percent_decode(sql("substring_index(substring_index(_rest, '#', 1), '?', 1)")),
+                ),
+                "_bare": sql("CASE WHEN _mode = 'foreign' THEN substring_index(ltrim('/', _rest), '#', 1) END"),
+            }
+        )
+        .withColumns(
+            {
+                "_url": sql(
+                    f"CASE _mode WHEN 'absolute' THEN substring_index(_raw, '#', 1) WHEN 'foreign' THEN {FOREIGN_URL} END"
+                ),
+                "_pieces": sql("filter(split(_path, '/'), p -> p NOT IN ('', '.'))"),
+                "_start": sql(START),
+                "_is_dir": sql(
+                    "CASE WHEN _path = '' THEN {base}.is_dir ELSE _path RLIKE '(?:^|/)\\\\.{0,2}\\\\z' END"
+                ),
+            }
+        )
+        .withColumn("_walk", sql(WALK))
+        .withColumn("_cls", sql(CLASS))
     )
+    keep = [c for c in df.columns if c != out]
+    return staged.select(*keep, sql(TARGET).alias(out))
 
 
 def with_page_base(
@@ -226,19 +140,16 @@ def with_page_base(
 ) -> DataFrame:
     """Add ``out``, the base of each page, and ``base_target``, where its
     ``<base>`` itself points (an escaping one is a broken link of its own)."""
-    df = df.withColumn("_doc", document_base(F.col(url)))
+    df = df.withColumn("_doc", F.expr(DOCUMENT_BASE.format(url=f"`{url}`")))
     df = resolve_links(df, base_href, "_doc", "base_target")
-    t, doc = F.col("base_target"), F.col("_doc")
-    chosen = (
-        F.when(t["cls"] == "external", external_base(t["url"]))
-        .when(
-            t["cls"] == "local",
-            base_struct(F.lit(None), split_segments(t["path"]), t["is_dir"], F.lit(0)),
-        )
-        .when(
-            t["cls"] == "escape",
-            base_struct(F.lit(None), t["segs"], t["is_dir"], t["above"]),
-        )
-        .otherwise(doc)
-    )
-    return df.withColumn(out, chosen).drop("_doc")
+    raw_path = r"regexp_extract(base_target.url, '(?s)^(?:https?:)?//[^/]*/?([^?#]*)', 1)"
+    df = df.withColumn("_base_path", percent_decode(F.expr(raw_path)))
+    external = EXTERNAL_BASE.format(url="base_target.url", path="_base_path", raw_path=raw_path)
+    chosen = f"""CASE base_target.cls
+      WHEN 'external' THEN {external}
+      WHEN 'local' THEN named_struct('origin', CAST(NULL AS STRING),
+        'segs', filter(split(base_target.path, '/'), s -> s <> ''), 'is_dir', base_target.is_dir, 'above', 0)
+      WHEN 'escape' THEN named_struct('origin', CAST(NULL AS STRING),
+        'segs', base_target.segs, 'is_dir', base_target.is_dir, 'above', base_target.above)
+      ELSE _doc END"""
+    return df.withColumn(out, F.expr(chosen)).drop("_doc", "_base_path")
