@@ -57,15 +57,17 @@ class Lookup:
 
     def find(self, targets: DataFrame, path: str, out: str) -> DataFrame:
         """Add ``out``: the stored name for ``path``, or null."""
-        chosen = self.chosen.select("site", F.col("folded").alias("_folded"), F.col("chosen").alias("_chosen"))
-        losers = self.losers.withColumn("_path", F.col("_exact"))
+        chosen = self.chosen.select(
+            "site", F.col("folded").alias("_probe_folded"), F.col("chosen").alias("_chosen")
+        )
+        losers = self.losers.withColumn("_probe_path", F.col("_exact"))
         return (
-            targets.withColumn("_path", F.col(path))
-            .withColumn("_folded", fold_key(F.col(path)))
-            .join(chosen, ["site", "_folded"], "left")
-            .join(losers, ["site", "_path"], "left")
+            targets.withColumn("_probe_path", F.col(path))
+            .withColumn("_probe_folded", fold_key(F.col(path)))
+            .join(chosen, ["site", "_probe_folded"], "left")
+            .join(losers, ["site", "_probe_path"], "left")
             .withColumn(out, F.coalesce("_exact", "_chosen"))
-            .drop("_path", "_folded", "_chosen", "_exact")
+            .drop("_probe_path", "_probe_folded", "_chosen", "_exact")
         )
 
 

@@ -14,36 +14,23 @@ from sitelake.functions.paths import (
     percent_encode,
 )
 from sitelake.operators import audit, catalog, crawl as crawling, ordering
-from sitelake.operators.parse import anchor_rows, link_rows, note_link_rows, parse_docs
+from sitelake.operators.parse import anchor_rows, link_rows, parse_docs
 from sitelake.operators.resolve import resolve_links as resolve, with_page_base
+from sitelake.plans.register import Plan
 from sitelake.plans.tables import (
     SQL_FILES,
     SQL_FOLD,
-    SQL_REL,
     SQL_WORD_LINKS,
     SQL_WORD_SITE,
     as_docs,
-    paged,
     site_files,
     table,
     word_entries,
     word_site,
 )
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL that checks it."""
-
-    def register(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLE[function.__name__] = sql
-        return function
-
-    return register
+plan = Plan()
+QUERIES, ORACLE, query = plan.queries, plan.oracle, plan.query
 
 
 def html_docs(files: DataFrame) -> DataFrame:
