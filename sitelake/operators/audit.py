@@ -29,14 +29,26 @@ def visit_url(path: Column, is_dir: Column, found: Column) -> Column:
     return F.when(same, found).otherwise(asked)
 
 
-def page_links(visits: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Every link of the visited pages, resolved.
+def stored_pages(parsed: DataFrame) -> DataFrame:
+    """Readable documents as pages visited under their own path."""
+    return parsed.filter("readable").select(
+        "site", F.col("rel").alias("url"), F.col("rel").alias("file"), "links", "base_href"
+    )
+
+
+def visited_pages(visits: DataFrame, parsed: DataFrame) -> DataFrame:
+    """What the markup of visited files ``(site, url, file, …)`` holds."""
+    docs = parsed.filter("readable").select("site", F.col("rel").alias("file"), "links", "base_href")
+    return visits.join(docs, ["site", "file"])
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """Every link of the pages ``(site, url, file, links, base_href, …)``, resolved.
 
-    ``visits(site, url, file, …)`` ⋈ ``parsed(site, rel, links, base_href)``.
     A ``<base>`` that leaves the archive is a link of its own, before the rest.
     """
-    docs = parsed.filter("readable").select("site", F.col("rel").alias("file"), "links", "base_href")
-    pages = with_page_base(visits.join(docs, ["site", "file"]))
+    keep = [c for c in pages.columns if c not in ("links", "base_href")]
+    pages = with_page_base(pages)
     own = F.struct(
         F.lit(ESCAPED_BASE).alias("pos"),
         F.lit("base").alias("tag"),
@@ -46,7 +58,6 @@ def page_links(visits: DataFrame, parsed: DataFrame) -> DataFrame:
     links = F.when(
         F.col("base_target.cls") == "escape", F.concat(F.array(own), "links")
     ).otherwise(F.col("links"))
-    keep = [c for c in visits.columns]
     rows = pages.select(*keep, "base", F.inline(links)).withColumn(
         "base",
         F.when(F.col("pos") == ESCAPED_BASE, F.expr(DOCUMENT_BASE.format(url="url"))).otherwise(F.col("base")),

@@ -13,8 +13,10 @@ from sitelake.operators.audit import (
     broken_links,
     locate_links,
     page_links,
+    stored_pages,
     unreadable_entries,
     visit_url,
+    visited_pages,
 )
 from sitelake.operators.parse import parse_docs
 from sitelake.session import new_folder, stage
@@ -95,6 +97,17 @@ def parse_site(docs: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     )
 
 
+def located(pages: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Links of pages, resolved and looked up.
+
+    Both results are written out: the lookup reads the resolved links twice, for
+    the distinct targets and for the answers, and later steps read the located
+    links column by column.
+    """
+    resolved = stage(page_links(pages), "resolved")
+    return stage(locate_links(resolved, catalog), "links")
+
+
 def link_graph(links: DataFrame) -> DataFrame:
     """Edges to documents that a crawl follows, parallel links merged."""
     return (
@@ -117,8 +130,7 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
     spark = docs.sparkSession
     catalog = stage(catalog.select("site", "rel").distinct(), "catalog")
     parsed = parse_site(docs, entries)
-    as_stored = parsed.select("site", F.col("rel").alias("url"), F.col("rel").alias("file"))
-    stored_links = stage(locate_links(page_links(as_stored, parsed), catalog), "links")
+    stored_links = located(stored_pages(parsed), catalog)
     edges = stage(link_graph(stored_links), "graph")
 
     folder = new_folder(spark, "crawl")
@@ -147,9 +159,7 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
         )
         aliases = frontier.filter("url <> file")
         if not aliases.isEmpty():
-            found = stage(
-                locate_links(page_links(aliases.select("site", "url", "file"), parsed), catalog), "links"
-            )
+            found = located(visited_pages(aliases.select("site", "url", "file"), parsed), catalog)
             alias_links.append(found)
             steps = steps.unionByName(
                 link_graph(found).join(aliases.select("site", "url", "ord"), ["site", "url"])
@@ -180,10 +190,10 @@ def audit_all(docs: DataFrame, catalog: DataFrame) -> Crawl:
     """Audit with every page as a seed, for sites without an entry: no loop."""
     catalog = catalog.select("site", "rel").distinct()
     parsed = parse_site(docs)
+    start = F.struct(F.lit(0).alias("lvl"), F.lit(0).cast("bigint").alias("n"))
     visits = parsed.select(
-        "site", F.col("rel").alias("url"), F.col("rel").alias("file"), F.lit(0).alias("lvl"),
-        F.struct(F.lit(0).alias("lvl"), F.lit(0).cast("bigint").alias("n")).alias("ord"),
+        "site", F.col("rel").alias("url"), F.col("rel").alias("file"), F.lit(0).alias("lvl"), start.alias("ord")
     )
-    links = stage(locate_links(page_links(visits, parsed), catalog), "links")
+    links = located(stored_pages(parsed), catalog).withColumn("ord", start)
     no_entries = visits.filter("false").select("site", F.col("file").alias("entry"))
     return Crawl(visits, links, parsed, no_entries, catalog)

@@ -12,7 +12,7 @@ from sitelake.operators.prompts import parse_chunks
 from sitelake.plans import prompts as prompt_plans
 from sitelake.plans.register import Plan
 from sitelake.plans.tables import SQL_FILES, SQL_REL, SQL_WORD_LINKS, as_docs, site_files, table, word_site
-from sitelake.session import new_folder
+from sitelake.session import new_folder, stage
 from sitelake.streaming import jobs
 from sitelake.streaming.logs import drain, rocksdb, stream_table
 
@@ -62,7 +62,7 @@ def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages in four batches, their links located in the static catalog."""
     files = word_site(spark, sf_dir)
     docs = as_docs(files).withColumn("kind", doc_kind(F.col("rel")))
-    catalog = files.select("site", "rel")
+    catalog = stage(files.select("site", "rel"), "catalog")
 
     def resolved(batch: DataFrame) -> DataFrame:
         found = jobs.batch_links(batch, catalog)

@@ -12,10 +12,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sitelake.constants import CHAT_SILENCE_SECONDS
 from sitelake.functions.paths import safe_request_path
 from sitelake.operators.archives import latest_payload
-from sitelake.operators.audit import locate_links, page_links
+from sitelake.operators.audit import locate_links, page_links, stored_pages
 from sitelake.operators.catalog import Lookup
 from sitelake.operators.history import Batch
 from sitelake.operators.parse import parse_docs
+from sitelake.session import stage
 
 
 def latest_docs(log: DataFrame, *order: str) -> DataFrame:
@@ -30,9 +31,8 @@ def batch_links(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     and every document is parsed once, in the batch that brings it.
     """
     parsed = parse_docs(docs.select("site", "rel", "kind", "truncated", "readable", "text"))
-    visits = parsed.select("site", F.col("rel").alias("url"), F.col("rel").alias("file"))
-    keys = visits.select("site", "file", "url")
-    return locate_links(page_links(keys, parsed), catalog)
+    resolved = stage(page_links(stored_pages(parsed)), "resolved")
+    return locate_links(resolved, catalog)
 
 
 def current_pages(visits: DataFrame) -> DataFrame:
@@ -80,6 +80,13 @@ def status_counts(routed: DataFrame, delay: str = "10 minutes") -> DataFrame:
 ANSWER = "request_id bigint, status string, answer string, tokens bigint, error string"
 
 
+def _state_row(row) -> tuple:
+    """A chunk with plain Python values; pandas holds missing counts as NaN."""
+    tokens = None if pd.isna(row.tokens) else int(row.tokens)
+    error = None if pd.isna(row.error) else row.error
+    return int(row.ord), row.content, tokens, bool(row.done), error
+
+
 class ChatAnswers(StatefulProcessor):
     """Collects the chunks of a response until it is complete or falls silent."""
 
@@ -89,13 +96,12 @@ class ChatAnswers(StatefulProcessor):
             "chunks", "ord bigint, content string, tokens bigint, done boolean, error string"
         )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         latest = 0
         for frame in rows:
             latest = max(latest, int(frame["ts"].max().timestamp() * 1000))
-            new = frame[["ord", "content", "tokens", "done", "error"]].astype(object)
-            new = new.where(new.notna(), None)
-            self.chunks.appendList(list(new.itertuples(index=False, name=None)))
+            columns = ["ord", "content", "tokens", "done", "error"]
+            self.chunks.appendList([_state_row(row) for row in frame[columns].itertuples(index=False)])
         parts = sorted(self.chunks.get())
         ended = [p for p in parts if p[3] or p[4] is not None]
         if ended and [p[0] for p in parts[: ended[0][0] + 1]] == list(range(ended[0][0] + 1)):
@@ -105,7 +111,7 @@ class ChatAnswers(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(latest + CHAT_SILENCE_SECONDS * 1000)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         parts = sorted(self.chunks.get())
         if parts:
             yield self._finish(key, parts)
@@ -156,7 +162,7 @@ class RunningBatch(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.docs = handle.getListState("docs", "rel string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values("seq")
         batch = Batch([rel for (rel,) in self.docs.get()])
         for action, rel in zip(events["action"], events["rel"]):
