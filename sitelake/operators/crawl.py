@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,15 @@ from sitelake.operators.parse import parse_docs
 from sitelake.session import new_folder, stage
 
 
+def keep_partitioned(edges: DataFrame, *keys: str) -> DataFrame:
+    """Edges kept in the partitioning every step joins on.
+
+    The steps then shuffle their frontier only. Blocks that are lost with an
+    executor are read again from the staged table underneath.
+    """
+    return edges.repartition(*keys).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """All nodes reachable from the seeds: ``(node, lvl)``.
 
@@ -40,16 +50,16 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     def read(*steps: int) -> DataFrame:
         return spark.read.schema(schema).parquet(*[step_path(n) for n in steps])
 
-    edges = edges.select("src", "dst").distinct()
     seeds.select("node").distinct().withColumn("lvl", F.lit(0)).write.parquet(step_path(0))
-    edges = stage(edges, "edges")
+    kept = keep_partitioned(stage(edges.select("src", "dst").distinct(), "edges"), "src")
     n = 0
     while not read(n).isEmpty():
         frontier = read(n).select(F.col("node").alias("src"))
         seen = read(*range(n + 1)).select(F.col("node").alias("dst"))
-        found = edges.join(frontier, "src").select("dst").distinct().join(seen, "dst", "left_anti")
+        found = kept.join(frontier, "src").select("dst").distinct().join(seen, "dst", "left_anti")
         n += 1
         found.select(F.col("dst").alias("node"), F.lit(n).alias("lvl")).write.parquet(step_path(n))
+    kept.unpersist()
     return read(*range(n))
 
 
@@ -131,7 +141,7 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
     catalog = stage(catalog.select("site", "rel").distinct(), "catalog")
     parsed = parse_site(docs, entries)
     stored_links = located(stored_pages(parsed), catalog)
-    edges = stage(link_graph(stored_links), "graph")
+    edges = keep_partitioned(stage(link_graph(stored_links), "graph"), "site", "url")
 
     folder = new_folder(spark, "crawl")
     schema = "site string, url string, file string, lvl int, ord bigint"
@@ -152,13 +162,16 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
     number(start, 0, "site", "url")
     alias_links: list[DataFrame] = []
     n = 0
-    while not visited(n).isEmpty():
+    while True:
         frontier = visited(n)
+        size, alias_count = frontier.agg(F.count(F.lit(1)), F.count_if(F.col("url") != F.col("file"))).first()
+        if size == 0:
+            break
         steps = edges.join(
             frontier.filter("url = file").select("site", "url", "ord"), ["site", "url"]
         )
-        aliases = frontier.filter("url <> file")
-        if not aliases.isEmpty():
+        if alias_count > 0:
+            aliases = frontier.filter("url <> file")
             found = located(visited_pages(aliases.select("site", "url", "file"), parsed), catalog)
             alias_links.append(found)
             steps = steps.unionByName(
@@ -178,6 +191,7 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
         )
         n += 1
         number(new, n, "_parent", "_pos", "site", "url")
+    edges.unpersist()
     visits = visited(*range(n)).withColumn("ord", F.struct("lvl", F.col("ord").alias("n")))
     links = stored_links
     for found in alias_links:

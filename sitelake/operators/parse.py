@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,12 +19,17 @@ from sitelake.constants import WHITE_SPACE
 
 ASCII = re.ASCII | re.IGNORECASE | re.DOTALL
 
-# Comment, declaration or closing tag, opening tag, unterminated rest.
+# Everything up to the next tag worth a look: text, comments, declarations,
+# closing tags and tags without attributes are passed over in one match. Then
+# an opening tag, or the unterminated rest.
 MARKUP = re.compile(
-    r"""<!--.*?-->|<(?!!--)[!?/][^>]*>"""
-    r"""|<(?P<tag>(?![!?/])(?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|(?P<rest><.*)""",
-    re.DOTALL,
+    r"""(?:[^<]++|<!--.*?-->|<(?!!--)[!?/][^>]*+>"""
+    r"""|<(?!(?:script|style)[/>])(?:[^!?/"'> \t\n\f\r][^"'> \t\n\f\r]*+)?+>)*+"""
+    r"""(?:<(?P<tag>(?![!?/])(?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|(?P<rest><.*))""",
+    ASCII,
 )
+# Attributes any element may carry.
+COMMON_ATTRIBUTE = re.compile(r"id|style", ASCII)
 NAME = re.compile(r"[^ \t\n\f\r/]*")
 ATTRIBUTE = re.compile(
     r"""[ \t\n\f\r]*+(?P<name>[^ \t\n\f\r=/]++)"""
@@ -67,6 +73,8 @@ LINK_ATTRIBUTES = {
     "form": ["action"],
 }
 
+KNOWN_TAGS = {*LINK_ATTRIBUTES, "base", "style"}
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -108,9 +116,9 @@ def srcset_links(value: str) -> list[str]:
     return found
 
 
-def tag_attributes(text: str) -> list[tuple[str, str]]:
+def tag_attributes(text: str, at: int = 0) -> list[tuple[str, str]]:
     """Attributes of a tag in order, names lower-cased, entities decoded."""
-    found, at = [], 0
+    found = []
     while token := ATTRIBUTE.match(text, at):
         at = token.end()
         value = token["dq"] or token["sq"] or token["raw"] or ""
@@ -125,18 +133,16 @@ def html_items(html: str) -> tuple[list[tuple[str, str, str]], list[str], str |
     links: list[tuple[str, str, str]] = []
     ids: dict[str, None] = {}
     base, at = None, 0
-    while token := MARKUP.search(html, at):
+    while token := MARKUP.match(html, at):
         at = token.end()
-        if token["rest"] is not None:
-            break
         tag = token["tag"]
         if tag is None:
+            break
+        end = NAME.match(tag).end()
+        name = tag[:end].translate(LOWER)
+        if not name or not (name in KNOWN_TAGS or COMMON_ATTRIBUTE.search(tag, end)):
             continue
-        name = NAME.match(tag).group()
-        attributes = tag_attributes(tag[len(name):])
-        name = name.translate(LOWER)
-        if not name:
-            continue
+        attributes = tag_attributes(tag, end)
         first: dict[str, str] = {}
         for key, value in attributes:
             first.setdefault(key, value)
@@ -161,46 +167,46 @@ def html_items(html: str) -> tuple[list[tuple[str, str, str]], list[str], str |
     return links, list(ids), base
 
 
-LINK = pa.struct([("pos", pa.int32()), ("tag", pa.string()), ("attr", pa.string()), ("href", pa.string())])
-PARSED = pa.schema(
-    [
-        ("links", pa.list_(LINK)),
-        ("ids", pa.list_(pa.string())),
-        ("base_href", pa.string()),
-    ]
-)
 PARSED_DDL = (
     "links array<struct<pos:int,tag:string,attr:string,href:string>>,"
     " ids array<string>, base_href string"
 )
 
 
+def _lists(rows: list[list], values: pa.Array) -> pa.ListArray:
+    offsets = pa.array(accumulate((len(r) for r in rows), initial=0), type=pa.int32())
+    return pa.ListArray.from_arrays(offsets, values)
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kinds = batch.column("kind").to_pylist()
         links, ids, bases = [], [], []
-        for kind, text in zip(kinds, batch.column("text")):
+        for kind, text in zip(batch.column("kind").to_pylist(), batch.column("text")):
             text = text.as_py() or ""
             if kind == "css":
-                items, anchors, base = [("css", "text", u) for u in css_links(text)], [], None
+                items, anchors, base = [("css", "text", url) for url in css_links(text)], [], None
             else:
                 items, anchors, base = html_items(text)
-            links.append(
-                [
-                    {"pos": pos, "tag": tag, "attr": attr, "href": href}
-                    for pos, (tag, attr, href) in enumerate(items)
-                ]
-            )
+            links.append(items)
             ids.append(anchors)
             bases.append(base)
+        tags, attrs, hrefs = zip(*(link for items in links for link in items)) if any(links) else ((), (), ())
+        fields = {
+            "pos": pa.array([pos for items in links for pos in range(len(items))], type=pa.int32()),
+            "tag": pa.array(tags, type=pa.string()),
+            "attr": pa.array(attrs, type=pa.string()),
+            "href": pa.array(hrefs, type=pa.string()),
+        }
         keep = [n for n in batch.schema.names if n != "text"]
-        columns = [batch.column(n) for n in keep]
-        columns += [
-            pa.array(links, type=PARSED.field("links").type),
-            pa.array(ids, type=PARSED.field("ids").type),
-            pa.array(bases, type=pa.string()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=keep + PARSED.names)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(n) for n in keep),
+                _lists(links, pa.StructArray.from_arrays(list(fields.values()), names=list(fields))),
+                _lists(ids, pa.array([i for anchors in ids for i in anchors], type=pa.string())),
+                pa.array(bases, type=pa.string()),
+            ],
+            names=[*keep, "links", "ids", "base_href"],
+        )
 
 
 def parse_docs(docs: DataFrame) -> DataFrame:
