@@ -22,6 +22,7 @@ from sitelake.functions.paths import (
 )
 from sitelake.functions.text import rewrite_figures, rewrite_origins
 from sitelake.operators.catalog import parents
+from sitelake.session import stage
 
 
 def split_http(body: Column) -> tuple[Column, Column, Column]:
@@ -69,8 +70,8 @@ def keep_responses(records: DataFrame, decode_paths: bool = False) -> DataFrame:
     )
 
 
-def latest_payload(records: DataFrame, *order: str) -> DataFrame:
-    """One row per ``(site, rel)``: the last one written."""
+def latest_rows(records: DataFrame, *order: str) -> DataFrame:
+    """One row per ``(site, rel)``, the last one written; for narrow rows."""
     rest = [c for c in records.columns if c not in ("site", "rel")]
     return (
         records.groupBy("site", "rel")
@@ -79,11 +80,37 @@ def latest_payload(records: DataFrame, *order: str) -> DataFrame:
     )
 
 
+def latest_payload(records: DataFrame, *order: str) -> DataFrame:
+    """One row per ``(site, rel)``, the last one written; for rows with payloads.
+
+    ``order`` must tell the rows of a path apart. Only keys are aggregated and
+    shuffled. The rows that lost are written out first, so that their true size
+    decides the last join: as a rule they are few, Spark broadcasts them, and no
+    payload moves at all. ``records`` is read twice, once for its keys, and
+    should be a stored table.
+    """
+    keys = records.select("site", "rel", F.struct(*order).alias("_order"))
+    newest = (
+        keys.groupBy("site", "rel")
+        .agg(F.max("_order").alias("_newest"), F.count(F.lit(1)).alias("_copies"))
+        .filter("_copies > 1")
+    )
+    older = stage(
+        keys.join(newest, ["site", "rel"]).filter("_order < _newest").select("site", "rel", "_order"), "older"
+    )
+    return (
+        records.withColumn("_order", F.struct(*order))
+        .join(older, ["site", "rel", "_order"], "left_anti")
+        .select(*records.columns)
+    )
+
+
 def drop_path_clashes(records: DataFrame, order: str = "seq") -> DataFrame:
     """A path is a file or a folder; whichever came first stays.
 
     ``order`` is any comparable column. Both sides are aggregated before they
     meet, one row per path, so no site or folder becomes a single large group.
+    The paths to drop are written out, and broadcast when they are few.
     """
     files = records.groupBy("site", "rel").agg(F.min(order).alias("_first"))
     below = (
@@ -103,7 +130,8 @@ def drop_path_clashes(records: DataFrame, order: str = "seq") -> DataFrame:
         .join(owners, ["site", "_parent"], "left_semi")
         .select("site", "rel")
     )
-    return records.join(folders.union(shadowed).distinct(), ["site", "rel"], "left_anti")
+    dropped = stage(folders.union(shadowed).distinct(), "clashes")
+    return records.join(dropped, ["site", "rel"], "left_anti")
 
 
 def site_origins(pages: DataFrame, uri: str = "target_uri") -> DataFrame:
@@ -119,11 +147,11 @@ def site_origins(pages: DataFrame, uri: str = "target_uri") -> DataFrame:
 def attach_origins(files: DataFrame, origins: DataFrame) -> DataFrame:
     """Add ``origins``, the list to remove from a site's pages.
 
-    The list has one entry per distinct origin of one archive. It reaches the
-    pages by a join on the site; Spark broadcasts it when it is small and
-    splits a site with many pages otherwise.
+    The list has one entry per distinct origin of one archive. All lists are
+    written out first: by their true size Spark either broadcasts them, and the
+    pages stay where they are, or joins on the site and splits large sites.
     """
-    lists = origins.groupBy("site").agg(F.collect_set("origin").alias("origins"))
+    lists = stage(origins.groupBy("site").agg(F.collect_set("origin").alias("origins")), "origins")
     return files.join(lists, "site", "left")
 
 

@@ -91,20 +91,20 @@ def parse_site(docs: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     An entry page counts as HTML whatever its name. The result is written to
     the shared folder: links, ids and bases each read only their own columns.
     """
-    kind = doc_kind(F.col("rel"))
-    if entries is None:
-        chosen = docs.withColumn("kind", kind)
-    else:
-        named = entries.select("site", F.col("entry").alias("rel"), F.lit("html").alias("_entry_kind")).distinct()
-        chosen = docs.join(named, ["site", "rel"], "left").withColumn(
-            "kind", F.coalesce(kind, "_entry_kind")
+    columns = ["site", "rel", "kind", "truncated", "readable", "text"]
+    docs = docs.withColumn("kind", doc_kind(F.col("rel")))
+    chosen = docs.filter("kind is not null").select(columns)
+    if entries is not None:
+        # Only entries of other kinds need a join; there are few, if any.
+        odd = stage(
+            entries.select("site", F.col("entry").alias("rel"))
+            .filter(doc_kind(F.col("rel")).isNull())
+            .distinct(),
+            "entries",
         )
-    return stage(
-        parse_docs(
-            chosen.filter("kind is not null").select("site", "rel", "kind", "truncated", "readable", "text")
-        ),
-        "parsed",
-    )
+        others = docs.filter("kind is null").join(odd, ["site", "rel"], "left_semi")
+        chosen = chosen.unionByName(others.withColumn("kind", F.lit("html")).select(columns))
+    return stage(parse_docs(chosen), "parsed")
 
 
 def located(pages: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -47,28 +47,33 @@ def latest_generation(results: DataFrame) -> DataFrame:
     return results.join(newest, ["key", "gen"], "left_semi")
 
 
-def doc_batches(picks: DataFrame, limit: int = BATCH_MAX) -> DataFrame:
-    """Documents of each question: distinct, in order of first mention.
+def first_mentions(picks: DataFrame) -> DataFrame:
+    return picks.groupBy("question_id", "rel").agg(F.min("pos").alias("pos"))
+
 
-    ``picks(question_id, pos, rel)`` → adds ``slot`` from 1; picks beyond the
-    limit keep a null slot, so nothing is lost silently.
+def batch_slots(picks: DataFrame, limit: int = BATCH_MAX) -> DataFrame:
+    """Documents sent with each question: distinct, in order of first mention.
+
+    ``picks(question_id, pos, rel)`` → ``(question_id, rel, pos, slot)``, with
+    ``slot`` from 1 to the limit, which holds before the shuffle too.
     """
-    first = picks.groupBy("question_id", "rel").agg(F.min("pos").alias("pos"))
     order = Window.partitionBy("question_id").orderBy("pos", "rel")
-    kept = (
-        first.withColumn("slot", F.row_number().over(order))
-        .filter(F.col("slot") <= limit)
-        .select("question_id", "rel", "slot")
-    )
-    return first.join(kept, ["question_id", "rel"], "left")
+    return first_mentions(picks).withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= limit)
+
+
+def doc_batches(picks: DataFrame, limit: int = BATCH_MAX) -> DataFrame:
+    """As ``batch_slots``, with the documents that found no room, slot null."""
+    kept = batch_slots(picks, limit).select("question_id", "rel", "slot")
+    return first_mentions(picks).join(kept, ["question_id", "rel"], "left")
 
 
 def pages_to_send(questions: DataFrame, batches: DataFrame) -> DataFrame:
     """The batch of a question, else its current page, else an error row.
 
-    ``questions(question_id, current)`` → ``(question_id, slot, rel, error)``.
+    ``questions(question_id, current)``, ``batches`` as from ``batch_slots`` →
+    ``(question_id, slot, rel, error)``.
     """
-    batch = batches.filter("slot is not null").select("question_id", "slot", "rel")
+    batch = batches.select("question_id", "slot", "rel")
     joined = questions.select("question_id", F.nullif(F.trim("current"), F.lit("")).alias("current")).join(
         batch, "question_id", "left"
     )

@@ -13,6 +13,7 @@ from sitelake.constants import (
 )
 from sitelake.functions.models import whole_number
 from sitelake.functions.text import cap_text, clean_html, default_question, is_cut
+from sitelake.session import stage
 
 CHUNK = "struct<message:struct<content:string>,done:boolean,error:string,prompt_eval_count:string>"
 
@@ -36,10 +37,13 @@ def build_prompts(questions: DataFrame, pages: DataFrame, docs: DataFrame) -> Da
     """User message of each question.
 
     ``questions(question_id, question)``, ``pages(question_id, slot, rel)`` with
-    at most eight rows per question, ``docs(rel, text, is_html)``. Each document
-    is cleaned and capped once, before the join copies it to its questions.
+    at most eight rows per question, ``docs(rel, text, is_html)``. Only the
+    documents asked for are read (their names are written out and broadcast when
+    few); each is cleaned and capped once, before the join copies it to its
+    questions.
     """
-    wanted = pages.filter("rel is not null").select("rel").distinct()
+    pages = stage(pages.filter("rel is not null").select("question_id", "slot", "rel"), "pages")
+    wanted = stage(pages.select("rel").distinct(), "wanted")
     text = F.when(F.col("is_html"), clean_html(F.col("text"))).otherwise(F.col("text"))
     blocks = (
         docs.join(wanted, "rel", "left_semi")
@@ -47,8 +51,7 @@ def build_prompts(questions: DataFrame, pages: DataFrame, docs: DataFrame) -> Da
         .select("rel", document_block(F.col("rel"), F.col("text")).alias("block"))
     )
     bodies = (
-        pages.filter("rel is not null")
-        .join(blocks, "rel")
+        pages.join(blocks, "rel")
         .groupBy("question_id")
         .agg(F.array_sort(F.collect_list(F.struct("slot", "block"))).alias("blocks"))
     )

@@ -171,7 +171,7 @@ FROM pages GROUP BY 1
 def latest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All hosts as one site: the last page stored under each path wins."""
     pages = paged(spark, sf_dir).withColumn("site", F.lit("all")).withColumn("chars", F.length("html").cast("bigint"))
-    return archives.latest_payload(pages.select("site", "rel", "page_id", "url", "chars"), "page_id").drop("site")
+    return archives.latest_rows(pages.select("site", "rel", "page_id", "url", "chars"), "page_id").drop("site")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelake.functions.models import context_window as window_of
@@ -83,7 +83,7 @@ def pages_to_send(spark: SparkSession, sf_dir: str) -> DataFrame:
         "current", F.when(F.length(F.col("words")[0]) > 3, F.lit("now.html")).otherwise(F.lit(" "))
     )
     wordy = asked.filter(F.size("words") > 12).select("question_id")
-    batches = history.doc_batches(picks(spark, sf_dir).join(wordy, "question_id", "left_semi"))
+    batches = history.batch_slots(picks(spark, sf_dir).join(wordy, "question_id", "left_semi"))
     return history.pages_to_send(asked, batches).withColumn("slot", F.col("slot").cast("bigint"))
 
 
@@ -95,7 +95,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = questions(spark, sf_dir)
-    batches = history.doc_batches(picks(spark, sf_dir)).filter("slot is not null")
+    batches = history.batch_slots(picks(spark, sf_dir))
     return ops.build_prompts(asked.select("question_id", "question"), batches, documents(spark, sf_dir))
 
 

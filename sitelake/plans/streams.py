@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelake.functions.paths import doc_kind, url_to_rel
 from sitelake.operators import history
-from sitelake.operators.archives import latest_payload
+from sitelake.operators.archives import latest_rows
 from sitelake.operators.prompts import parse_chunks
 from sitelake.plans import prompts as prompt_plans
 from sitelake.plans.register import Plan
@@ -53,7 +53,7 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All hosts as one site, four batches; the last version of a path stays."""
     versions = paged(table(spark, sf_dir, "pages")).withColumn("site", F.lit("all")).select("site", "rel", "page_id", "url")
     stream = restream(versions, 4, "page_id")
-    log = drain(stream, each=lambda batch: latest_payload(batch, "page_id").select("site", "rel", "page_id", "url"))
+    log = drain(stream, each=lambda batch: latest_rows(batch, "page_id").select("site", "rel", "page_id", "url"))
     return jobs.latest_docs(log, "page_id").select("rel", "page_id", "url")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sitelake.constants import CHAT_SILENCE_SECONDS
 from sitelake.functions.paths import safe_request_path
-from sitelake.operators.archives import latest_payload
+from sitelake.operators.archives import latest_rows
 from sitelake.operators.audit import locate_links, page_links, stored_pages
 from sitelake.operators.catalog import Lookup
 from sitelake.operators.history import Batch
@@ -21,7 +21,7 @@ from sitelake.session import stage
 
 def latest_docs(log: DataFrame, *order: str) -> DataFrame:
     """Newest version of each document in a log of documents."""
-    return latest_payload(log, *order)
+    return latest_rows(log, *order)
 
 
 def batch_links(docs: DataFrame, catalog: DataFrame) -> DataFrame:

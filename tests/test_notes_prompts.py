@@ -105,6 +105,7 @@ def test_batches(spark):
     found = history.doc_batches(spark.createDataFrame(picks, "question_id int, pos int, rel string"))
     slots = {(r["question_id"], r["rel"]): r["slot"] for r in found.collect()}
     assert slots[(1, "d7")] == 8 and slots[(1, "d8")] is None and slots[(2, "x")] == 1 and len(slots) == 11
+    found = history.batch_slots(spark.createDataFrame(picks, "question_id int, pos int, rel string"))
     asked = spark.createDataFrame([(1, "now"), (2, None), (3, "now"), (4, " ")], "question_id int, current string")
     sent = {(r["question_id"], r["rel"], r["error"]) for r in history.pages_to_send(asked, found).collect()}
     assert {(2, "x", None), (3, "now", None), (4, None, "no page")} <= sent
