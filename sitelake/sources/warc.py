@@ -35,6 +35,7 @@ ARROW = pa.schema(
 )
 WARC_SUFFIXES = (".warc", ".warc.gz")
 BATCH_BYTES = 32 * 1024 * 1024
+BYTES_PER_TASK = 1024 * 1024 * 1024
 
 
 class BadRecord(ValueError):
@@ -69,16 +70,20 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 @dataclass
 class WarcFile(InputPartition):
-    """One WARC: a file, or a member of a WACZ."""
+    """A WARC file, or part ``index`` of ``count`` of the WARCs in a WACZ."""
 
     path: str
-    member: str | None
     site: str
+    index: int = 0
+    count: int = 1
 
 
 class WarcReader(DataSourceReader):
     """One partition per WARC; gzip members are read as one stream.
 
+    The driver only lists files. A large WACZ gets several partitions by its
+    size, and each takes its share of the WARCs inside.
+
     ``mode`` is FAILFAST (a malformed file fails the job) or DROPMALFORMED (its
     good records are kept and a row with ``_error`` marks where it broke off).
     """
@@ -89,35 +94,31 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[WarcFile]:
         parts = []
-        for path, _ in list_files(self.pattern):
-            site = file_stem(path)
+        for path, size in list_files(self.pattern):
+            count = 1
             if path.lower().endswith(".wacz"):
-                with open_random(self.pattern, path) as file, zipfile.ZipFile(file) as archive:
-                    members = sorted(
-                        i.filename for i in archive.infolist() if i.filename.lower().endswith(WARC_SUFFIXES)
-                    )
-                if not members:
-                    raise ValueError(f"no WARC in {path}")
-                parts += [WarcFile(path, member, site) for member in members]
-            else:
-                parts.append(WarcFile(path, None, site))
+                count = max(1, -(-size // BYTES_PER_TASK))
+            parts += [WarcFile(path, file_stem(path), index, count) for index in range(count)]
         return parts
 
     def read(self, partition: WarcFile) -> Iterator[pa.RecordBatch]:
-        with self._open(partition) as raw:
-            buffered = io.BufferedReader(raw, 1 << 20) if isinstance(raw, io.RawIOBase) else raw
-            head = buffered.peek(2)[:2] if hasattr(buffered, "peek") else b""
-            stream = gzip.open(buffered) if head == b"\x1f\x8b" else buffered
-            yield from self._batches(partition, stream)
-
-    def _open(self, partition: WarcFile):
-        if partition.member is None:
-            return io.BufferedReader(_Raw(open_stream(self.pattern, partition.path)), 1 << 20)
-        archive = zipfile.ZipFile(open_random(self.pattern, partition.path))
-        return io.BufferedReader(archive.open(partition.member), 1 << 20)
-
-    def _batches(self, partition: WarcFile, stream) -> Iterator[pa.RecordBatch]:
-        name = partition.path if partition.member is None else f"{partition.path}!{partition.member}"
+        if not partition.path.lower().endswith(".wacz"):
+            raw = _Raw(open_stream(self.pattern, partition.path))
+            yield from self._read_stream(partition, partition.path, raw)
+            return
+        with open_random(self.pattern, partition.path) as file, zipfile.ZipFile(file) as archive:
+            members = sorted(i.filename for i in archive.infolist() if i.filename.lower().endswith(WARC_SUFFIXES))
+            if not members:
+                raise ValueError(f"no WARC in {partition.path}")
+            for member in members[partition.index :: partition.count]:
+                yield from self._read_stream(partition, f"{partition.path}!{member}", archive.open(member))
+
+    def _read_stream(self, partition: WarcFile, name: str, raw) -> Iterator[pa.RecordBatch]:
+        with io.BufferedReader(raw, 1 << 20) as buffered:
+            packed = buffered.peek(2)[:2] == b"\x1f\x8b"
+            yield from self._batches(partition, name, gzip.open(buffered) if packed else buffered)
+
+    def _batches(self, partition: WarcFile, name: str, stream) -> Iterator[pa.RecordBatch]:
         rows, held, seq = [], 0, -1
 
         def row(**values) -> dict:

@@ -37,17 +37,27 @@ MEMBERS_ARROW = pa.schema(
     ]
 )
 ROWS = 10_000
-MEMBERS_PER_TASK = 10_000
+BYTES_PER_TASK = 256 * 1024 * 1024
 BATCH_BYTES = 32 * 1024 * 1024
 
 
 @dataclass
 class ZipPart(InputPartition):
-    """Members ``first`` to ``last`` of one archive."""
+    """Part ``index`` of ``count`` of the members of one archive."""
 
     path: str
-    first: int
-    last: int | None
+    index: int
+    count: int
+
+    def slice(self, members: list) -> list:
+        size = len(members)
+        return members[size * self.index // self.count : size * (self.index + 1) // self.count]
+
+
+def zip_parts(path: str, size: int) -> list[ZipPart]:
+    """Parts by file size alone: no archive is opened on the driver."""
+    count = max(1, -(-size // BYTES_PER_TASK))
+    return [ZipPart(path, index, count) for index in range(count)]
 
 
 class CatalogReader(DataSourceReader):
@@ -57,7 +67,7 @@ class CatalogReader(DataSourceReader):
         self.pattern = options["path"]
 
     def partitions(self) -> list[ZipPart]:
-        return [ZipPart(path, 0, None) for path, _ in list_files(self.pattern, ZIP_SUFFIXES)]
+        return [ZipPart(path, 0, 1) for path, _ in list_files(self.pattern, ZIP_SUFFIXES)]
 
     def read(self, partition: ZipPart) -> Iterator[pa.RecordBatch]:
         with open_random(self.pattern, partition.path) as file, zipfile.ZipFile(file) as archive:
@@ -94,20 +104,13 @@ class MembersReader(DataSourceReader):
         self.names = set(listed.split("\n")) if listed is not None else None
 
     def partitions(self) -> list[ZipPart]:
-        parts = []
-        for path, _ in list_files(self.pattern, ZIP_SUFFIXES):
-            with open_random(self.pattern, path) as file, zipfile.ZipFile(file) as archive:
-                count = len(archive.namelist())
-            parts += [
-                ZipPart(path, at, min(at + MEMBERS_PER_TASK, count))
-                for at in range(0, count, MEMBERS_PER_TASK)
-            ]
-        return parts
+        found = list_files(self.pattern, ZIP_SUFFIXES)
+        return [part for path, size in found for part in zip_parts(path, size)]
 
     def read(self, partition: ZipPart) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         with open_random(self.pattern, partition.path) as file, zipfile.ZipFile(file) as archive:
-            for info in archive.infolist()[partition.first : partition.last]:
+            for info in partition.slice(archive.infolist()):
                 if info.is_dir() or (self.names is not None and info.filename not in self.names):
                     continue
                 with archive.open(info) as member:
