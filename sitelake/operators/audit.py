@@ -165,15 +165,24 @@ def group_sources(broken: DataFrame, shown: int = SOURCES_SHOWN) -> DataFrame:
 
 
 def broken_report(broken: DataFrame, shown: int = BROKEN_SHOWN) -> DataFrame:
-    """The first ``shown`` broken targets of each site with their sources."""
+    """The first ``shown`` broken targets of each site, with ``total`` and sources.
+
+    Targets come in the order the crawl met them, absent anchors last.
+    """
+    groups = broken_groups(broken)
     order = Window.partitionBy("site").orderBy(F.col("reason") == "anchor", "first", "key", "reason", "fragment")
-    top = broken_groups(broken).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= shown)
+    top = groups.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= shown)
+    totals = groups.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
     sources = (
         group_sources(broken)
         .groupBy("site", "key", "reason", "fragment")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "page", "href"))).alias("sources"))
     )
-    return top.join(sources, ["site", "key", "reason", "fragment"], "left").drop("key", "first")
+    return (
+        top.join(sources, ["site", "key", "reason", "fragment"], "left")
+        .join(totals, "site")
+        .drop("key", "first")
+    )
 
 
 def referrers(links: DataFrame) -> DataFrame:
@@ -185,15 +194,12 @@ def referrers(links: DataFrame) -> DataFrame:
     )
 
 
-def external_count(links: DataFrame) -> DataFrame:
-    """Distinct external URLs per site."""
-    return (
-        links.filter("external is not null")
-        .select("site", "external")
-        .distinct()
-        .groupBy("site")
-        .agg(F.count(F.lit(1)).alias("external"))
-    )
+def external_count(links: DataFrame, approximate: bool = False) -> DataFrame:
+    """Distinct external URLs per site; roughly, in one shuffle, if asked."""
+    urls = links.filter("external is not null").select("site", "external")
+    if approximate:
+        return urls.groupBy("site").agg(F.approx_count_distinct("external").alias("external"))
+    return urls.distinct().groupBy("site").agg(F.count(F.lit(1)).alias("external"))
 
 
 def reached_files(links: DataFrame, entries: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitelake.constants import PATHS_SHOWN
 from sitelake.functions.paths import doc_kind
 from sitelake.operators.audit import (
     audit_report,
@@ -19,6 +20,7 @@ from sitelake.operators.audit import (
     visit_url,
     visited_pages,
 )
+from sitelake.operators.ordering import natural_key
 from sitelake.operators.parse import parse_docs
 from sitelake.session import new_folder, stage
 
@@ -79,6 +81,19 @@ class Crawl:
         )
         return broken_links(self.links, self.parsed, self.catalog).unionByName(entry)
 
+    def pages(self, kind: str = "html", shown: int = PATHS_SHOWN) -> DataFrame:
+        """The first ``shown`` files read of each site, with ``total``."""
+        read = self.parsed.filter(F.col("readable") & (F.col("kind") == kind))
+        first = (
+            self.visits.join(read.select("site", F.col("rel").alias("file")), ["site", "file"], "left_semi")
+            .groupBy("site", "file")
+            .agg(F.min("ord").alias("ord"))
+        )
+        order = Window.partitionBy("site").orderBy("ord")
+        listed = first.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= shown)
+        totals = first.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
+        return listed.join(totals, "site").select("site", "pos", "file", "total")
+
     def report(self) -> DataFrame:
         return audit_report(
             self.visits, self.links, self.parsed, self.catalog, self.entries, self.broken()
@@ -132,6 +147,9 @@ def link_graph(links: DataFrame) -> DataFrame:
 def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
     """Visit each site from its entry page, breadth first.
 
+    A site without one may be given several (``ordering.seed_pages``); they are
+    then visited in natural order.
+
     All documents are parsed, resolved and located once, in parallel, as
     visited under their own path; the loop then only walks the edge table. A
     page shown under another URL (a folder without its slash) resolves its
@@ -152,14 +170,14 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
     def visited(*steps: int) -> DataFrame:
         return spark.read.schema(schema).parquet(*[part("visits", n) for n in steps])
 
-    def number(found: DataFrame, n: int, *order: str) -> None:
+    def number(found: DataFrame, n: int, *order) -> None:
         # Ids grow along the sorted ranges, so they carry the order to the next step.
         found.orderBy(*order).select(
             "site", "url", "file", F.lit(n).alias("lvl"), F.monotonically_increasing_id().alias("ord")
         ).write.parquet(part("visits", n))
 
     start = entries.select("site", F.col("entry").alias("url"), F.col("entry").alias("file")).distinct()
-    number(start, 0, "site", "url")
+    number(start, 0, "site", *natural_key(F.col("url")))
     alias_links: list[DataFrame] = []
     n = 0
     while True:

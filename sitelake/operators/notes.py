@@ -20,6 +20,7 @@ from sitelake.functions.paths import (
 )
 from sitelake.functions.slugs import article_slug, normalize_slug, source_rank
 from sitelake.operators.catalog import Lookup, dir_table, with_folded
+from sitelake.session import stage
 
 
 # Names of files are at most this long; longer needles match none of them.
@@ -98,10 +99,10 @@ def search_counts(notes: DataFrame, needles: DataFrame) -> DataFrame:
 
     Substring search for many needles at once without comparing all pairs:
     each name yields its distinct substrings of the needles' lengths, which
-    then meet the needles by equality.
+    then meet the needles by equality, without a shuffle when those are few.
     """
     clean = needles.select(F.lower(F.trim("needle")).alias("needle")).distinct()
-    clean = clean.filter(F.length("needle").between(2, LONGEST_NAME))
+    clean = stage(clean.filter(F.length("needle").between(2, LONGEST_NAME)), "needles")
     lengths = clean.select(F.length("needle").alias("n")).distinct().orderBy("n").collect()
     name = F.col("name_lower")
     substrings = [

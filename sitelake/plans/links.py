@@ -475,6 +475,50 @@ def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawled(spark, sf_dir).report()
 
 
+@query(
+    SQL_LEVELS
+    + f""",
+ranks AS (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY lvl, trail) AS n FROM trails),
+followed AS (SELECT l.*, r.n FROM links l JOIN ranks r ON r.site = l.site AND r.url = l.url),
+broken AS (
+  SELECT site, CASE cls WHEN 'escape' THEN href ELSE path END AS label,
+         CASE cls WHEN 'escape' THEN href ELSE {SQL_FOLD.format("path")} END AS k, CASE cls WHEN 'escape' THEN 'escape' ELSE 'missing' END AS reason,
+         '' AS fragment, n, pos
+  FROM followed WHERE cls = 'escape' OR (cls = 'local' AND found IS NULL)
+  UNION ALL SELECT site, found || '#nope', {SQL_FOLD.format("found")}, 'anchor', fragment, n, pos FROM followed WHERE found IS NOT NULL AND fragment = 'nope'),
+groups AS (SELECT site, k, reason, fragment, min_by(label, (n, pos)) AS path, count(*) AS source_count, min((n, pos)) AS first FROM broken GROUP BY ALL)
+SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY reason = 'anchor', first) AS BIGINT) AS rank, path, reason, source_count,
+  least(source_count, 20) AS shown, count(*) OVER (PARTITION BY site) AS total
+FROM groups QUALIFY rank <= 300
+"""
+)
+def broken_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken targets in crawl order, as a report shows them."""
+    found = audit.broken_report(crawled(spark, sf_dir).broken())
+    return found.select(
+        "site",
+        F.col("rank").cast("bigint").alias("rank"),
+        "path",
+        "reason",
+        "source_count",
+        F.size("sources").cast("bigint").alias("shown"),
+        "total",
+    )
+
+
+@query(
+    SQL_LEVELS
+    + """
+SELECT site, url AS file, CAST(row_number() OVER (PARTITION BY site ORDER BY lvl, trail) AS BIGINT) AS pos,
+       count(*) OVER (PARTITION BY site) AS total
+FROM trails QUALIFY pos <= 400
+"""
+)
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read, in crawl order, as a report lists them."""
+    return crawled(spark, sf_dir).pages().withColumn("pos", F.col("pos").cast("bigint"))
+
+
 @query(
     """
 WITH RECURSIVE edges AS (
