@@ -231,48 +231,54 @@ def anchor_rows(parsed: DataFrame, *keys: str) -> DataFrame:
     return parsed.select(*keys, F.explode("ids").alias("fragment"))
 
 
+# Markdown links. Runs of plain characters are taken in one step and the steps
+# are bounded, since the regular expression engine nests one call per step.
+CODE = (
+    r"(?s)(?m:^ {0,3}(```+|~~~+)[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z))"
+    r"|(`+)(?!`).+?(?<!`)\2(?!`)"
+)
+LABEL = r"\[((?:[^\[\]\\\n]++|\\.|\[[^\[\]\n]*+\]){0,500}+)\]"
+INLINE = (
+    rf"(!?){LABEL}\([ \t]*\n?[ \t]*(?:<([^<>\n]*)>|((?:[^\s()<]++|\([^\s()]*+\)){{0,100}}+))"
+    r"(?:[ \t\n]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*\n?[ \t]*\)"
+)
+REFERENCE = rf"(!?){LABEL}(?:\[([^\[\]]*)\])?(?![\[(:])"
+DEFINITION = r"(?m)^ {0,3}\[([^\[\]\n]+)\]:[ \t]*\n?[ \t]*(?:<([^<>\n]*)>|([^\s<]\S*))[^\n]*$"
+AUTOLINK = r"<([A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*)>"
+
+
 def note_link_rows(notes: DataFrame) -> DataFrame:
-    """Markdown links and images: ``(rel, pos, dest, is_image)``.
+    """Markdown links and images: ``(…, pos, dest, is_image)``.
 
     Inline links, full and short reference links and autolinks; code is skipped.
     """
-    code = r"(?s)(?m:^ {0,3}(```+|~~~+)[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z))|(`+)(?!`).+?(?<!`)\2(?!`)"
-    label = r"\[((?:[^\[\]\\\n]|\\.|\[[^\[\]\n]*\])*+)\]"
-    inline = (
-        r"(!?)" + label + r"\([ \t]*\n?[ \t]*(?:<([^<>\n]*)>|((?:[^\s()<]|\([^\s()]*\))*+))"
-        r"(?:[ \t\n]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*\n?[ \t]*\)"
-    )
-    reference = r"(!?)" + label + r"(?:\[([^\[\]]*)\])?(?![\[(:])"
-    definition = r"(?m)^ {0,3}\[([^\[\]\n]+)\]:[ \t]*\n?[ \t]*(?:<([^<>\n]*)>|([^\s<]\S*))[^\n]*$"
-    auto = r"<([A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*)>"
-
-    text = F.regexp_replace(F.col("text"), code, " ")
+    text = F.regexp_replace(F.col("text"), CODE, " ")
     name = lambda col: F.lower(F.regexp_replace(F.trim(col), r"\s+", " "))
     definitions = F.transform(
-        F.regexp_extract_all("_text", F.lit(definition), F.lit(0)),
+        F.regexp_extract_all("_text", F.lit(DEFINITION), F.lit(0)),
         lambda d: F.struct(
-            name(F.regexp_extract(d, definition, 1)).alias("name"),
+            name(F.regexp_extract(d, DEFINITION, 1)).alias("name"),
             F.concat(
-                F.regexp_extract(d, definition, 2), F.regexp_extract(d, definition, 3)
+                F.regexp_extract(d, DEFINITION, 2), F.regexp_extract(d, DEFINITION, 3)
             ).alias("dest"),
         ),
     )
     rows = (
         notes.withColumn("_text", text)
         .withColumn("_defs", definitions)
-        .withColumn("_body", F.regexp_replace("_text", definition, ""))
+        .withColumn("_body", F.regexp_replace("_text", DEFINITION, ""))
         .withColumn(
             "_tokens",
-            F.regexp_extract_all("_body", F.lit(f"{inline}|{reference}|{auto}"), F.lit(0)),
+            F.regexp_extract_all("_body", F.lit(f"{INLINE}|{REFERENCE}|{AUTOLINK}"), F.lit(0)),
         )
         .drop("text", "_text", "_body")
     )
     token = F.col("_token")
     used = F.coalesce(
-        F.nullif(F.regexp_extract(token, rf"(?s)\A{reference}\z", 3), F.lit("")),
-        F.regexp_extract(token, rf"(?s)\A{reference}\z", 2),
+        F.nullif(F.regexp_extract(token, rf"(?s)\A{REFERENCE}\z", 3), F.lit("")),
+        F.regexp_extract(token, rf"(?s)\A{REFERENCE}\z", 2),
     )
-    whole_inline = rf"(?s)\A{inline}\z"
+    whole_inline = rf"(?s)\A{INLINE}\z"
     dest = (
         F.when(
             token.rlike(whole_inline),

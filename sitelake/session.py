@@ -32,8 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/sitelake-{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/sitelake-{label}-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return folder
+
+
+def drop_staged() -> None:
+    """Delete the intermediate tables this program has made.
+
+    Call it when no result built on them is needed any more.
+    """
+    from pyarrow import fs
+
+    from sitelake.sources.files import file_system
+
+    while _made:
+        system, path = file_system(_made.pop())
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            system.delete_dir(path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

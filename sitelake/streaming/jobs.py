@@ -95,21 +95,31 @@ class ChatAnswers(StatefulProcessor):
         self.chunks = handle.getListState(
             "chunks", "ord bigint, content string, tokens bigint, done boolean, error string"
         )
+        # How many chunks there are, the last one's number, and whether one ends
+        # the response. The chunks themselves are read only once, at the end.
+        self.progress = handle.getValueState("progress", "n bigint, top bigint, ended boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, top, ended = self.progress.get() or (0, -1, False)
         latest = 0
         for frame in rows:
             latest = max(latest, int(frame["ts"].max().timestamp() * 1000))
             columns = ["ord", "content", "tokens", "done", "error"]
-            self.chunks.appendList([_state_row(row) for row in frame[columns].itertuples(index=False)])
-        parts = sorted(self.chunks.get())
-        ended = [p for p in parts if p[3] or p[4] is not None]
-        if ended and [p[0] for p in parts[: ended[0][0] + 1]] == list(range(ended[0][0] + 1)):
-            yield self._finish(key, parts)
+            chunks = [_state_row(row) for row in frame[columns].itertuples(index=False)]
+            self.chunks.appendList(chunks)
+            n += len(chunks)
+            top = max(top, *(c[0] for c in chunks))
+            ended = ended or any(c[3] or c[4] is not None for c in chunks)
+        if ended and n == top + 1:
+            yield self._finish(key, sorted(self.chunks.get()))
             return
+        self.progress.update((n, top, ended))
+        self._forget_timers()
+        self.handle.registerTimer(latest + CHAT_SILENCE_SECONDS * 1000)
+
+    def _forget_timers(self) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(latest + CHAT_SILENCE_SECONDS * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         parts = sorted(self.chunks.get())
@@ -118,8 +128,8 @@ class ChatAnswers(StatefulProcessor):
 
     def _finish(self, key, parts: list[tuple]) -> pd.DataFrame:
         self.chunks.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        self.progress.clear()
+        self._forget_timers()
         errors = [p[4] for p in parts if p[4] is not None]
         answer = "".join(p[1] for p in parts)
         if errors:

@@ -98,3 +98,10 @@ def test_note_links(spark):
         ("x.md", False), ("p q.png", True), ("/page/A_(x)#f", False), ("https://h/x", False),
         ("r.md", False), ("s t.md", False), ("y", False),
     ]
+
+
+def test_long_lines_of_brackets(spark):
+    texts = ["[" + "x" * 200_000, "[" * 50_000, "[a](" + "(" * 50_000, "[" + "\\a" * 50_000 + "](y)", "[a](b)" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    found = note_link_rows(df).groupBy("n").count().collect()
+    assert {r["n"]: r["count"] for r in found}[4] == 20_000
