@@ -1,181 +1,241 @@
 """Link audits of small sites: what is read, reached, missing."""
 
 import pytest
-from pyspark.sql import functions as F
-
 from sitelake.operators import audit, crawl, ordering
 
 SCHEMA = "site string, rel string, text string, readable boolean, truncated boolean"
 
 
-class Checked:
-    """The crawl of one site as plain values."""
-
-    def __init__(self, spark, files, entry="index.html", truncated=(), unreadable=()):
-        rows = [("s", rel, text, rel not in unreadable, rel in truncated) for rel, text in files.items()]
+class Site:
+    """Files of one site, how they are read, and what the audit says."""
+
+    def __init__(self, files, entry="index.html", truncated=(), unreadable=()):
+        self.files, self.entry, self.truncated, self.unreadable = files, entry, truncated, unreadable
+
+
+SITES = {
+    "missing": Site({"index.html": '<a href="absent.html"><img src=gone.png><a href="#missing"><a href="#ok"><h1 id=ok>'}),
+    "schemes": Site(
+        {
+            "index.html": """<a href="https://ex.com/a"><a href="mailto:x@y"><a href="//cdn.ex.com/b#f"><img src="data:image/png,AA">
+            <script src=app.js>document.write('<a href="ghost.html">')</script>""",
+            "app.js": "",
+        }
+    ),
+    "escape": Site({"index.html": '<a href="../secret.html">'}),
+    "folders": Site(
+        {
+            "index.html": '<a href="docs/"><a href="?q=1"><a href="#">',
+            "docs/index.html": '<a href="page.html"><a href="../index.html">',
+            "docs/page.html": '<a href="/index.html">',
+        }
+    ),
+    "styles": Site(
+        {
+            "index.html": """<link href=site.css><img srcset="ok.png 1x, gone.png 2x"><p style="background:url('miss-inline.png')">""",
+            "ok.png": "",
+            "site.css": '/* url("nope.png") */ @import "css/extra.css"; a{b:url(https://ex.com/f.woff)}',
+            "css/extra.css": "a{b:url(miss.png)} c{d:url(../ok.png)}",
+        }
+    ),
+    "forms": Site(
+        {"index.html": '<img src="img/a.png"><a href="cafe\u0301.html">', "Img/A.PNG": "", "caf\u00e9.html": ""}
+    ),
+    "spellings": Site(
+        {
+            "index.html": "<img src=missing.png><img src=Missing.PNG><a href=b.html>",
+            "b.html": "<img src=missing.png>",
+        }
+    ),
+    "truncated page": Site({"index.html": '<a href="#bottom">'}, truncated=["index.html"]),
+    "remote base": Site({"index.html": '<base href="https://ex.com/sub/"><a href=a.html><a href=/b.html><img src=c.png>'}),
+    "local base": Site({"index.html": '<base href="files/"><a href=a.html>', "files/a.html": ""}),
+    "escaping base": Site(
+        {"index.html": '<a href="sub/index.html">', "sub/index.html": '<base href="../../out/"><img src="a.png">'}
+    ),
+    "odd schemes": Site(
+        {"index.html": '<a href="http:foo.html"><a href="https:foo"><a href="about:blank"><a href="tel:1">', "foo.html": ""}
+    ),
+    "data url": Site({"index.html": '<img srcset="data:image/png;base64,AA,BB 1x, gone.png 2x">'}),
+    "backslashes": Site(
+        {
+            "index.html": '<img src="img\\bar.png"><link href="s.css">',
+            "img/bar.png": "",
+            "s.css": "a{b:url(img\\plain.png)}",
+            "img/plain.png": "",
+        }
+    ),
+    "no slash": Site({"index.html": '<a href="docs">', "docs/index.html": '<a href="page.html">', "docs/page.html": ""}),
+    "truncated sheet": Site({"index.html": "<link href=big.css>", "big.css": "a{}"}, truncated=["big.css"]),
+    "unreadable": Site(
+        {"index.html": "<a href=b.html><a href=b.html#x><a href=c.html>", "b.html": "", "c.html": '<a href="B.html">'},
+        unreadable=["b.html"],
+    ),
+    "unreadable entry": Site({"index.html": "<a href=b.html>", "b.html": ""}, unreadable=["index.html"]),
+    "many sources": Site({"index.html": "<img src=x.png>" * 30}),
+    "missing folders": Site({"index.html": '<a href="docs/"><a href="none/">', "docs/x.png": ""}),
+    "odd entry": Site({"start": "<img src=gone.png>"}, entry="start"),
+    "cycle": Site(
+        {"index.html": "<a href=a.html>", "a.html": "<a href=b.html><a href=a.html>", "b.html": "<a href=index.html>"}
+    ),
+}
+
+
+class Audited:
+    """All sites checked in one crawl, as plain values."""
+
+    def __init__(self, spark):
+        rows = [
+            (name, rel, text, rel not in site.unreadable, rel in site.truncated)
+            for name, site in SITES.items()
+            for rel, text in site.files.items()
+        ]
         docs = spark.createDataFrame(rows, SCHEMA)
-        entries = spark.createDataFrame([("s", entry)], "site string, entry string")
-        self.run = crawl.crawl(docs, docs.select("site", "rel"), entries)
-        self.report = self.run.report().first().asDict()
-        groups = audit.broken_report(self.run.broken()).orderBy("rank").collect()
+        entries = spark.createDataFrame([(n, s.entry) for n, s in SITES.items()], "site string, entry string")
+        run = crawl.crawl(docs, docs.select("site", "rel"), entries)
+        self.reports = {r["site"]: r.asDict() for r in run.report().collect()}
+        self.groups = audit.broken_report(run.broken()).orderBy("rank").collect()
+        self.listed = {kind: run.pages(kind).orderBy("pos").collect() for kind in ("html", "css")}
+        self.levels = {(r["site"], r["url"]): r["lvl"] for r in run.visits.collect()}
+
+
+class Result:
+    """What the crawl says of one site."""
+
+    def __init__(self, audited, name):
+        self.report = audited.reports[name]
+        groups = [g for g in audited.groups if g["site"] == name]
         self.broken = [(g["path"], g["reason"], g["source_count"]) for g in groups]
         self.sources = {g["path"]: [(s["page"], s["href"]) for s in g["sources"]] for g in groups}
+        self.pages = [r["file"] for r in audited.listed["html"] if r["site"] == name]
+        self.sheets = [r["file"] for r in audited.listed["css"] if r["site"] == name]
+        self.levels = {url: lvl for (site, url), lvl in audited.levels.items() if site == name}
+
 
-    def pages(self, kind="html"):
-        ordered = ordering.ranked(self.run.visits, ["site"], [F.col("ord")]).join(
-            self.run.parsed.filter(F.col("readable") & (F.col("kind") == kind)).select(F.col("rel").alias("file")), "file", "left_semi"
-        )
-        return list(dict.fromkeys(r["file"] for r in ordered.orderBy("rank").collect()))
+@pytest.fixture(scope="module")
+def site(spark):
+    audited = Audited(spark)
+    return lambda name: Result(audited, name)
 
 
-def test_missing_page_image_and_anchor(spark):
-    found = Checked(spark, {"index.html": '<a href="absent.html"><img src=gone.png><a href="#missing"><a href="#ok"><h1 id=ok>'})
+def test_missing_page_image_and_anchor(site):
+    found = site("missing")
     assert found.broken == [("absent.html", "missing", 1), ("gone.png", "missing", 1), ("index.html#missing", "anchor", 1)]
     assert found.report["verdict"] == "broken"
 
 
-def test_external_and_other_schemes(spark):
-    html = """<a href="https://ex.com/a"><a href="mailto:x@y"><a href="//cdn.ex.com/b#f"><img src="data:image/png,AA">
-    <script src=app.js>document.write('<a href="ghost.html">')</script>"""
-    found = Checked(spark, {"index.html": html, "app.js": ""})
+def test_external_and_other_schemes(site):
+    found = site("schemes")
     assert found.broken == []
     assert (found.report["external"], found.report["pages"], found.report["verdict"]) == (2, 1, "clean")
 
 
-def test_escapes(spark):
-    found = Checked(spark, {"index.html": '<a href="../secret.html">'})
-    assert found.broken == [("../secret.html", "escape", 1)]
+def test_escapes(site):
+    assert site("escape").broken == [("../secret.html", "escape", 1)]
 
 
-def test_directories_and_parents(spark):
-    files = {
-        "index.html": '<a href="docs/"><a href="?q=1"><a href="#">',
-        "docs/index.html": '<a href="page.html"><a href="../index.html">',
-        "docs/page.html": '<a href="/index.html">',
-    }
-    found = Checked(spark, files)
+def test_directories_and_parents(site):
+    found = site("folders")
     assert found.broken == []
-    assert found.pages() == ["index.html", "docs/index.html", "docs/page.html"]
+    assert found.pages == ["index.html", "docs/index.html", "docs/page.html"]
 
 
-def test_srcset_styles_and_imports(spark):
-    files = {
-        "index.html": """<link href=site.css><img srcset="ok.png 1x, gone.png 2x"><p style="background:url('miss-inline.png')">""",
-        "ok.png": "",
-        "site.css": '/* url("nope.png") */ @import "css/extra.css"; a{b:url(https://ex.com/f.woff)}',
-        "css/extra.css": "a{b:url(miss.png)} c{d:url(../ok.png)}",
-    }
-    found = Checked(spark, files)
+def test_srcset_styles_and_imports(site):
+    found = site("styles")
     assert {b[0] for b in found.broken} == {"gone.png", "miss-inline.png", "css/miss.png"}
-    assert found.pages("css") == ["site.css", "css/extra.css"]
+    assert found.sheets == ["site.css", "css/extra.css"]
     assert found.report["external"] == 1
 
 
-def test_case_and_unicode_forms(spark):
-    files = {"index.html": '<img src="img/a.png"><a href="café.html">', "Img/A.PNG": "", "café.html": ""}
-    found = Checked(spark, files)
+def test_case_and_unicode_forms(site):
+    found = site("forms")
     assert found.broken == []
     assert (found.report["reached"], found.report["files"]) == (3, 3)
 
 
-def test_spellings_are_one_group(spark):
-    files = {
-        "index.html": '<img src=missing.png><img src=Missing.PNG><a href=b.html>',
-        "b.html": "<img src=missing.png>",
-    }
-    found = Checked(spark, files)
+def test_spellings_are_one_group(site):
+    found = site("spellings")
     assert found.broken == [("missing.png", "missing", 3)]
     assert found.sources["missing.png"] == [("index.html", "missing.png"), ("index.html", "Missing.PNG"), ("b.html", "missing.png")]
 
 
-def test_truncated_page_has_no_verdict_on_anchors(spark):
-    found = Checked(spark, {"index.html": '<a href="#bottom">'}, truncated=["index.html"])
+def test_truncated_page_has_no_verdict_on_anchors(site):
+    found = site("truncated page")
     assert found.broken == []
     assert (found.report["verdict"], found.report["truncated"]) == ("incomplete", 1)
 
 
-def test_remote_and_local_bases(spark):
-    remote = Checked(spark, {"index.html": '<base href="https://ex.com/sub/"><a href=a.html><a href=/b.html><img src=c.png>'})
-    assert (remote.broken, remote.report["external"]) == ([], 3)
-    local = Checked(spark, {"index.html": '<base href="files/"><a href=a.html>', "files/a.html": ""})
-    assert local.broken == []
+def test_remote_and_local_bases(site):
+    assert (site("remote base").broken, site("remote base").report["external"]) == ([], 3)
+    assert site("local base").broken == []
 
 
-def test_escaping_base_is_a_broken_link(spark):
-    files = {"index.html": '<a href="sub/index.html">', "sub/index.html": '<base href="../../out/"><img src="a.png">'}
-    found = Checked(spark, files)
+def test_escaping_base_is_a_broken_link(site):
+    found = site("escaping base")
     assert found.broken == [("../out/", "escape", 1), ("../out/a.png", "escape", 1)]
     assert found.report["broken_links"] == 2
 
 
-def test_schemes(spark):
-    html = '<a href="http:foo.html"><a href="https:foo"><a href="about:blank"><a href="tel:1">'
-    found = Checked(spark, {"index.html": html, "foo.html": ""})
+def test_schemes(site):
+    found = site("odd schemes")
     assert (found.broken, found.report["external"], found.report["reached"]) == ([], 1, 2)
 
 
-def test_data_url_in_srcset(spark):
-    found = Checked(spark, {"index.html": '<img srcset="data:image/png;base64,AA,BB 1x, gone.png 2x">'})
-    assert found.broken == [("gone.png", "missing", 1)]
+def test_data_url_in_srcset(site):
+    assert site("data url").broken == [("gone.png", "missing", 1)]
 
 
-def test_backslashes(spark):
-    files = {
-        "index.html": '<img src="img\\bar.png"><link href="s.css">',
-        "img/bar.png": "",
-        "s.css": "a{b:url(img\\plain.png)}",
-        "img/plain.png": "",
-    }
-    found = Checked(spark, files)
+def test_backslashes(site):
+    found = site("backslashes")
     assert (found.broken, found.report["reached"]) == ([], 4)
 
 
-def test_folder_without_slash_resolves_from_its_parent(spark):
-    files = {"index.html": '<a href="docs">', "docs/index.html": '<a href="page.html">', "docs/page.html": ""}
-    found = Checked(spark, files)
+def test_folder_without_slash_resolves_from_its_parent(site):
+    found = site("no slash")
     assert found.broken == [("page.html", "missing", 1)]
     assert found.sources["page.html"] == [("docs", "page.html")]
-    assert "docs/page.html" not in found.pages()
+    assert "docs/page.html" not in found.pages
 
 
-def test_truncated_stylesheet(spark):
-    found = Checked(spark, {"index.html": "<link href=big.css>", "big.css": "a{}"}, truncated=["big.css"])
-    assert (found.report["truncated"], found.report["stylesheets"], found.report["verdict"]) == (1, 1, "incomplete")
+def test_truncated_stylesheet(site):
+    report = site("truncated sheet").report
+    assert (report["truncated"], report["stylesheets"], report["verdict"]) == (1, 1, "incomplete")
 
 
-def test_unreadable_files(spark):
-    files = {"index.html": '<a href=b.html><a href=b.html#x><a href=c.html>', "b.html": "", "c.html": '<a href="B.html">'}
-    found = Checked(spark, files, unreadable=["b.html"])
-    assert found.broken == [("b.html", "unreadable", 3)]
-    lost = Checked(spark, files, unreadable=["index.html"])
+def test_unreadable_files(site):
+    assert site("unreadable").broken == [("b.html", "unreadable", 3)]
+    lost = site("unreadable entry")
     assert lost.broken == [("index.html", "unreadable", 1)]
-    assert lost.sources["index.html"] == [("entrée", "index.html")]
+    assert lost.sources["index.html"] == [("entr\u00e9e", "index.html")]
 
 
-def test_only_twenty_sources_are_kept_and_all_counted(spark):
-    files = {"index.html": "<img src=x.png>" * 30}
-    found = Checked(spark, files)
+def test_only_twenty_sources_are_kept_and_all_counted(site):
+    found = site("many sources")
     assert found.broken == [("x.png", "missing", 30)]
     assert len(found.sources["x.png"]) == 20
 
 
-def test_missing_folder_names_its_index(spark):
-    files = {"index.html": '<a href="docs/"><a href="none/">', "docs/x.png": ""}
-    found = Checked(spark, files)
-    assert found.broken == [("docs/index.html", "missing", 1), ("none", "missing", 1)]
+def test_missing_folder_names_its_index(site):
+    assert site("missing folders").broken == [("docs/index.html", "missing", 1), ("none", "missing", 1)]
 
 
-def test_entry_of_unknown_kind_is_read_as_html(spark):
-    found = Checked(spark, {"start": "<img src=gone.png>"}, entry="start")
+def test_entry_of_unknown_kind_is_read_as_html(site):
+    found = site("odd entry")
     assert (found.broken, found.report["pages"]) == ([("gone.png", "missing", 1)], 1)
 
 
-def test_cycles_end(spark):
-    files = {"index.html": "<a href=a.html>", "a.html": "<a href=b.html><a href=a.html>", "b.html": "<a href=index.html>"}
-    found = Checked(spark, files)
-    assert found.pages() == ["index.html", "a.html", "b.html"]
-    levels = {r["url"]: r["lvl"] for r in found.run.visits.collect()}
-    assert levels == {"index.html": 0, "a.html": 1, "b.html": 2}
+def test_cycles_end(site):
+    found = site("cycle")
+    assert found.pages == ["index.html", "a.html", "b.html"]
+    assert found.levels == {"index.html": 0, "a.html": 1, "b.html": 2}
+
+
+def test_site_without_entry_starts_from_its_pages_in_natural_order(spark):
+    files = [("s", "10.html", "<a href=x.png>"), ("s", "2.html", "<a href=deep/a.html>"), ("s", "deep/a.html", "")]
+    docs = spark.createDataFrame([(*f, True, False) for f in files], SCHEMA)
+    seeds = ordering.seed_pages(docs, ["index.html"]).withColumnRenamed("rel", "entry")
+    run = crawl.crawl(docs, docs.select("site", "rel"), seeds)
+    assert [r["file"] for r in run.pages().orderBy("pos").collect()] == ["2.html", "10.html", "deep/a.html"]
 
 
 @pytest.mark.parametrize("edges, want", [([(1, 2), (2, 3), (3, 1), (4, 5)], {1: 0, 2: 1, 3: 2}), ([(2, 1)], {1: 0})])
