@@ -22,7 +22,7 @@ from sitelake.operators.audit import (
 )
 from sitelake.operators.ordering import natural_key
 from sitelake.operators.parse import parse_docs
-from sitelake.session import new_folder, stage
+from sitelake.session import Steps, stage
 
 
 def keep_partitioned(edges: DataFrame, *keys: str) -> DataFrame:
@@ -42,27 +42,17 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     short and a lost executor costs one step. Spark broadcasts a small frontier
     and shuffles a large one.
     """
-    spark = edges.sparkSession
-    folder = new_folder(spark, "reachable")
-    schema = seeds.select("node").withColumn("lvl", F.lit(0)).schema
-
-    def step_path(n: int) -> str:
-        return f"{folder}/step-{n:05d}"
-
-    def read(*steps: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(*[step_path(n) for n in steps])
-
-    seeds.select("node").distinct().withColumn("lvl", F.lit(0)).write.parquet(step_path(0))
+    node_type = seeds.schema["node"].dataType.simpleString()
+    steps = Steps(edges.sparkSession, "reachable", f"node {node_type}, lvl int")
+    steps.write(seeds.select("node").distinct().withColumn("lvl", F.lit(0)))
     kept = keep_partitioned(stage(edges.select("src", "dst").distinct(), "edges"), "src")
-    n = 0
-    while not read(n).isEmpty():
-        frontier = read(n).select(F.col("node").alias("src"))
-        seen = read(*range(n + 1)).select(F.col("node").alias("dst"))
+    while not steps.newest().isEmpty():
+        frontier = steps.newest().select(F.col("node").alias("src"))
+        seen = steps.everything().select(F.col("node").alias("dst"))
         found = kept.join(frontier, "src").select("dst").distinct().join(seen, "dst", "left_anti")
-        n += 1
-        found.select(F.col("dst").alias("node"), F.lit(n).alias("lvl")).write.parquet(step_path(n))
+        steps.write(found.select(F.col("dst").alias("node"), F.lit(steps.count).alias("lvl")))
     kept.unpersist()
-    return read(*range(n))
+    return steps.everything()
 
 
 @dataclass
@@ -155,50 +145,40 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
     page shown under another URL (a folder without its slash) resolves its
     links anew; only such visits are resolved inside the loop.
     """
-    spark = docs.sparkSession
     catalog = stage(catalog.select("site", "rel").distinct(), "catalog")
     parsed = parse_site(docs, entries)
     stored_links = located(stored_pages(parsed), catalog)
     edges = keep_partitioned(stage(link_graph(stored_links), "graph"), "site", "url")
+    steps = Steps(docs.sparkSession, "crawl", "site string, url string, file string, lvl int, ord bigint")
 
-    folder = new_folder(spark, "crawl")
-    schema = "site string, url string, file string, lvl int, ord bigint"
-
-    def part(kind: str, n: int) -> str:
-        return f"{folder}/{kind}-{n:05d}"
-
-    def visited(*steps: int) -> DataFrame:
-        return spark.read.schema(schema).parquet(*[part("visits", n) for n in steps])
-
-    def number(found: DataFrame, n: int, *order) -> None:
+    def number(found: DataFrame, *order) -> None:
         # Ids grow along the sorted ranges, so they carry the order to the next step.
-        found.orderBy(*order).select(
-            "site", "url", "file", F.lit(n).alias("lvl"), F.monotonically_increasing_id().alias("ord")
-        ).write.parquet(part("visits", n))
+        steps.write(
+            found.orderBy(*order).select(
+                "site", "url", "file", F.lit(steps.count).alias("lvl"), F.monotonically_increasing_id().alias("ord")
+            )
+        )
 
     start = entries.select("site", F.col("entry").alias("url"), F.col("entry").alias("file")).distinct()
-    number(start, 0, "site", *natural_key(F.col("url")))
+    number(start, "site", *natural_key(F.col("url")))
     alias_links: list[DataFrame] = []
-    n = 0
     while True:
-        frontier = visited(n)
+        frontier = steps.newest()
         size, alias_count = frontier.agg(F.count(F.lit(1)), F.count_if(F.col("url") != F.col("file"))).first()
         if size == 0:
             break
-        steps = edges.join(
-            frontier.filter("url = file").select("site", "url", "ord"), ["site", "url"]
-        )
+        followed = edges.join(frontier.filter("url = file").select("site", "url", "ord"), ["site", "url"])
         if alias_count > 0:
             aliases = frontier.filter("url <> file")
             found = located(visited_pages(aliases.select("site", "url", "file"), parsed), catalog)
             alias_links.append(found)
-            steps = steps.unionByName(
+            followed = followed.unionByName(
                 link_graph(found).join(aliases.select("site", "url", "ord"), ["site", "url"])
             )
         new = (
-            steps.groupBy("site", F.col("to_url").alias("url"))
+            followed.groupBy("site", F.col("to_url").alias("url"))
             .agg(F.min(F.struct("ord", "pos", "to_file")).alias("_first"))
-            .join(visited(*range(n + 1)).select("site", "url"), ["site", "url"], "left_anti")
+            .join(steps.everything().select("site", "url"), ["site", "url"], "left_anti")
             .select(
                 "site",
                 "url",
@@ -207,10 +187,9 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
                 F.col("_first.pos").alias("_pos"),
             )
         )
-        n += 1
-        number(new, n, "_parent", "_pos", "site", "url")
+        number(new, "_parent", "_pos", "site", "url")
     edges.unpersist()
-    visits = visited(*range(n)).withColumn("ord", F.struct("lvl", F.col("ord").alias("n")))
+    visits = steps.everything().withColumn("ord", F.struct("lvl", F.col("ord").alias("n")))
     links = stored_links
     for found in alias_links:
         links = links.unionByName(found)

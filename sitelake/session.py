@@ -67,6 +67,40 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """The tables a loop writes, one per step, in the shared folder.
+
+    Every step's plan starts from written files, so plans stay short and a lost
+    executor costs no more than the step it was in. Every ``merge_every`` steps
+    the tables are rewritten as one, so deep loops do not open ever more files.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, schema: str, merge_every: int = 8):
+        self.spark, self.schema, self.merge_every = spark, schema, merge_every
+        self.folder = new_folder(spark, label)
+        self.count = 0
+        self.paths: list[str] = []
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def write(self, step: DataFrame) -> None:
+        path = f"{self.folder}/step-{self.count:05d}"
+        step.write.parquet(path)
+        self.count += 1
+        self.paths.append(path)
+
+    def newest(self) -> DataFrame:
+        return self._read(self.paths[-1:])
+
+    def everything(self) -> DataFrame:
+        if len(self.paths) > self.merge_every:
+            merged = f"{self.folder}/merged-{self.count:05d}"
+            self._read(self.paths[:-1]).write.parquet(merged)
+            self.paths = [merged, self.paths[-1]]
+        return self._read(self.paths)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 

@@ -244,3 +244,9 @@ def test_reachable(spark, edges, want):
         spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([(1,)], "node int")
     )
     assert {r["node"]: r["lvl"] for r in found.collect()} == want
+
+
+def test_deep_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(21)], "src int, dst int")
+    found = crawl.reachable(edges, spark.createDataFrame([(0,)], "node int"))
+    assert {r["node"]: r["lvl"] for r in found.collect()} == {i: i for i in range(22)}
