@@ -20,16 +20,17 @@ SETTINGS = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, with its file system named.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    It is the checkpoint folder of the application, which Spark makes inside
+    ``spark.checkpoint.dir``. Only a session that names none (a local test) gets
+    a folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        current = spark.sparkContext.getCheckpointDir()
-        named = current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 _made: list[str] = []

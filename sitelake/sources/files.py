@@ -11,7 +11,8 @@ from pyarrow import fs
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """File system and bare path of a URI or a local path."""
     if re.match(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", path):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+        # Spark writes file:/x and s3a://x where Arrow reads file:///x and s3://x.
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/(?!/)", "file:///", path)))
     return fs.LocalFileSystem(), path
 
 
