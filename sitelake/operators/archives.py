@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from sitelake.constants import ENTRY_NAMES, WRAPPER_DEPTH
 from sitelake.functions.paths import (
     ascii_lower,
-    fold_key,
     is_dir_member,
-    is_hidden,
     is_html_type,
     is_http,
     is_markdown,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.constants import BROKEN_SHOWN, SOURCES_SHOWN
+from sitelake.constants import BROKEN_SHOWN, ENTRY_SOURCE, SOURCES_SHOWN
 from sitelake.functions.paths import doc_kind, fold_key
 from sitelake.operators.catalog import locate
 from sitelake.operators.parse import anchor_rows
@@ -92,11 +92,8 @@ def missing_anchors(links: DataFrame, parsed: DataFrame) -> DataFrame:
     )
 
 
-def broken_links(links: DataFrame, parsed: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row per broken link: ``(site, path, reason, fragment, page, href, ord, pos)``.
-
-    ``catalog`` is not read for this; located links already carry its answer.
-    """
+def broken_links(links: DataFrame, parsed: DataFrame) -> DataFrame:
+    """One row per broken link: ``(site, path, reason, fragment, page, href, ord, pos)``."""
     source = ["site", F.col("url").alias("page"), "href", "ord", "pos"]
     direct = links.filter(
         (F.col("cls") == "escape") | F.col("missing").isNotNull()
@@ -123,17 +120,20 @@ def broken_links(links: DataFrame, parsed: DataFrame, catalog: DataFrame) -> Dat
     return direct.unionByName(unreadable).unionByName(absent)
 
 
+def with_group_key(broken: DataFrame) -> DataFrame:
+    """Add ``key``: spellings of one path are one target, but not outside the archive."""
+    return broken.withColumn(
+        "key", F.when(F.col("reason") == "escape", F.col("path")).otherwise(fold_key(F.col("path")))
+    )
+
+
 def broken_groups(broken: DataFrame) -> DataFrame:
     """Broken targets: ``(site, path, reason, source_count, first)`` and the key.
 
-    Spellings of one path are one target, except for paths that leave the
-    archive. The label is the first spelling met. Everything is a partial
-    aggregate, so a target half the corpus links to costs one row per task.
+    The label is the first spelling met. Everything is a partial aggregate, so a
+    target half the corpus links to costs one row per task.
     """
-    keyed = broken.withColumn(
-        "key",
-        F.when(F.col("reason") == "escape", F.col("path")).otherwise(fold_key(F.col("path"))),
-    )
+    keyed = with_group_key(broken)
     first = F.struct("ord", "pos", "page", "href")
     label = F.when(
         F.col("reason") == "anchor", F.concat("path", F.lit("#"), "fragment")
@@ -154,10 +154,7 @@ def group_sources(broken: DataFrame, shown: int = SOURCES_SHOWN) -> DataFrame:
 
     The limit per target applies before the shuffle as well as after it.
     """
-    keyed = broken.withColumn(
-        "key",
-        F.when(F.col("reason") == "escape", F.col("path")).otherwise(fold_key(F.col("path"))),
-    )
+    keyed = with_group_key(broken)
     order = Window.partitionBy("site", "key", "reason", "fragment").orderBy("ord", "pos", "page", "href")
     return keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= shown).select(
         "site", "key", "reason", "fragment", "rank", "page", "href"
@@ -219,8 +216,6 @@ def orphans(catalog: DataFrame, reached: DataFrame) -> DataFrame:
 
 def unreadable_entries(entries: DataFrame, parsed: DataFrame) -> DataFrame:
     """Entry pages that could not be read: broken, with the entry as source."""
-    from sitelake.constants import ENTRY_SOURCE
-
     failed = parsed.filter("not readable").select("site", F.col("rel").alias("entry"))
     return entries.join(failed, ["site", "entry"], "left_semi").select(
         F.col("entry").alias("path"),

@@ -69,7 +69,7 @@ class Crawl:
         entry = unreadable_entries(self.entries, self.parsed).withColumns(
             {"ord": F.struct(F.lit(-1).alias("lvl"), F.lit(0).cast("bigint").alias("n")), "pos": F.lit(0)}
         )
-        return broken_links(self.links, self.parsed, self.catalog).unionByName(entry)
+        return broken_links(self.links, self.parsed).unionByName(entry)
 
     def pages(self, kind: str = "html", shown: int = PATHS_SHOWN) -> DataFrame:
         """The first ``shown`` files read of each site, with ``total``."""

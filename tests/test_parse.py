@@ -1,7 +1,5 @@
 """Links, anchors and bases of HTML and CSS."""
 
-from pyspark.sql import functions as F
-
 from sitelake.operators.parse import (
     anchor_rows,
     css_links,
