@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 import zipfile
@@ -117,4 +118,8 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(root.rglob("*.py")):
             archive.write(file, file.relative_to(root.parent))
     context.addPyFile(str(target))
+    # Workers that prepare custom state run on the driver and get no such files;
+    # there the package is found where the driver found it.
+    paths = [context.environment.get("PYTHONPATH"), str(root.parent)]
+    context.environment["PYTHONPATH"] = os.pathsep.join(p for p in paths if p)
     context._sitelake_shipped = True
