@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm import bpe, langid, mixing, pii, quality, simhash, urls
+from sitelake.llm import bpe, langid, mixing, neighbours, ngrams, pii, quality, simhash, topk, urls
+from sitelake.llm.vectors import usable
 from sitelake.plans.register import Plan
 from sitelake.plans.tables import table
 
@@ -42,6 +43,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@plan.query()
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(table(spark, sf_dir, "documents"))
+
+
+@plan.query()
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 SQL_MIX = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -86,6 +97,25 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.v, v.v)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@plan.query(SQL_TOP_K)
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double")))
+    rows = table(spark, sf_dir, "embeddings").filter(usable(F.col("embedding"))).withColumn("embedding", whole)
+    found = topk.top_k(rows, F.col("vec_id") % 50 == 0, 5)
+    return found.withColumn("score", F.col("score").cast("long"))
+
+
 # The given pages declare no canonical links and no refreshes, so the rules alone
 # decide; linked pages are tested on small tables.
 SQL_URLS = r"""
