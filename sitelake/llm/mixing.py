@@ -31,6 +31,7 @@ class Mix:
         """``sized`` with ``_source_size``, ``_target`` and ``_copies``."""
         plan = self.sources.withColumnRenamed("_source", "_of")
         taken = F.col("_whole") + F.when(F.col("_key") <= F.col("_cut"), 1).otherwise(0)
+        taken = F.when(F.col("_size") > 0, taken).otherwise(0)
         return (
             self.sized.join(plan, F.col("_source").eqNullSafe(F.col("_of")))
             .withColumn("_copies", taken.cast("long"))

@@ -169,15 +169,19 @@ def edges(graph: DataFrame) -> DataFrame:
     return graph.select("id", "near").mapInArrow(run, "id long, to long, score float")
 
 
-def members(graph: DataFrame, degree: int) -> DataFrame:
-    """``center, member``: neighbours both ways.
+def mutual(graph: DataFrame, degree: int) -> DataFrame:
+    """The edges that both ends keep.
 
     Of the nodes that count a node among their neighbours its best ``degree``
     remain, so that no hub gathers an unbounded list.
     """
     best = Window.partitionBy("to").orderBy(F.desc("score"), "id")
-    kept = edges(graph).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= degree)
-    return kept.select(F.col("to").alias("center"), F.col("id").alias("member")).union(kept.select("id", "to"))
+    return edges(graph).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= degree)
+
+
+def both_ways(kept: DataFrame, forward: DataFrame) -> DataFrame:
+    """``center, member``: the nodes of ``kept`` edges back to front, and of ``forward`` as they are."""
+    return kept.select(F.col("to").alias("center"), F.col("id").alias("member")).union(forward.select("id", "to"))
 
 
 def descend(graph: DataFrame, small: DataFrame, degree: int, partners: int = PARTNERS) -> DataFrame:
@@ -186,8 +190,9 @@ def descend(graph: DataFrame, small: DataFrame, degree: int, partners: int = PAR
     Every node joins its neighbours, both ways, with their vectors; each of them
     hears of the partners among the others that lie nearest to it.
     """
+    kept = mutual(graph, degree)
     lists = (
-        members(graph, degree)
+        both_ways(kept, kept)
         .join(small, F.col("member") == F.col("id"))
         .groupBy("center")
         .agg(F.collect_list(F.struct("member", "q", "scale")).alias("all"))
@@ -305,7 +310,9 @@ def nearest(
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     small = stage(compact(vectors, width), "nearest-compact")
-    links = stage(members(build_graph(small, degree, rounds), degree).distinct(), "nearest-links")
+    graph = build_graph(small, degree, rounds)
+    # A node always leads to all its neighbours, even where a hub does not know it.
+    links = stage(both_ways(mutual(graph, degree), edges(graph)).distinct(), "nearest-links")
 
     def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
