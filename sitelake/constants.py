@@ -91,6 +91,40 @@ MEDIA_TYPES = {
     "otf": "font/otf",
     "woff": "font/woff",
     "woff2": "font/woff2",
+    "rtf": "text/rtf",
+    "tsv": "text/tab-separated-values",
+    "yaml": "text/x-yaml",
+    "yml": "text/x-yaml",
+    "eot": "application/vnd.ms-fontobject",
+    "map": "application/json",
+    "rss": "application/rss+xml",
+    "atom": "application/atom+xml",
+    "jsonld": "application/ld+json",
+    "doc": "application/msword",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "xls": "application/vnd.ms-excel",
+    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "ppt": "application/vnd.ms-powerpoint",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "odt": "application/vnd.oasis.opendocument.text",
+    "tar": "application/x-tar",
+    "bz2": "application/x-bzip2",
+    "7z": "application/x-7z-compressed",
+    "rar": "application/vnd.rar",
+    "heic": "image/heic",
+    "m4a": "audio/mp4",
+    "aac": "audio/aac",
+    "flac": "audio/flac",
+    "oga": "audio/ogg",
+    "opus": "audio/opus",
+    "mid": "audio/midi",
+    "ogv": "video/ogg",
+    "mov": "video/quicktime",
+    "avi": "video/x-msvideo",
+    "mkv": "video/x-matroska",
+    "mpeg": "video/mpeg",
+    "mpg": "video/mpeg",
+    "m4v": "video/x-m4v",
 }
 DEFAULT_MEDIA_TYPE = "application/octet-stream"
 

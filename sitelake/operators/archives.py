@@ -25,14 +25,16 @@ from sitelake.session import stage
 
 def split_http(body: Column) -> tuple[Column, Column, Column]:
     """Status, content type and payload of an HTTP response held in a record."""
-    mark = F.position(F.lit(b"\r\n\r\n"), body)
-    head = F.try_validate_utf8(F.substring(body, F.lit(1), mark - 1).cast("string"))
+    # Offsets count bytes: heads and payloads need not be text.
+    raw = F.substring_index(body.cast("string"), "\r\n\r\n", 1)
+    size = F.octet_length(raw)
+    head = F.try_validate_utf8(raw)
     status = F.regexp_extract(
         F.regexp_extract(head, r"\A[^\n]*", 0), r"^\s*\S+\s+\+?(\d+)(?!\S)", 1
     ).try_cast("int")
     ctype = F.regexp_extract(head, r"(?im)^content-type:[ \t]*([^\r\n]*?)[ \t\r]*$", 1)
-    payload = F.substring(body, mark + 4, F.length(body))
-    good = (mark > 0) & (status <= 65535)
+    payload = F.substring(body, size + 5, F.octet_length(body))
+    good = (size < F.octet_length(body)) & (status <= 65535)
     return (
         F.when(good, status),
         F.when(good, ctype),

@@ -59,7 +59,7 @@ def warc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def http_body(fields: DataFrame) -> DataFrame:
     response = F.concat(
-        F.lit("HTTP/1.1 "), "status_line", F.lit("\r\nServer: x\r\nContent-Type: "), "ctype", F.lit("\r\n\r\n"), "html"
+        F.lit("HTTP/1.1 "), "status_line", F.lit("\r\nServer: café é ü\r\nContent-Type: "), "ctype", F.lit("\r\n\r\n"), "html"
     )
     return fields.withColumn(
         "body", F.when(F.col("warc_type") == "resource", F.col("html")).otherwise(response)
@@ -133,7 +133,7 @@ def keep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL_KEPT)
 def warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC files by Spark and read back as records."""
-    records = read_warc(spark, write_warcs(spark, sf_dir))
+    records = read_warc(spark, write_warcs(spark, sf_dir) + "/part-*", types=("response", "resource"))
     return kept_summary(archives.keep_responses(records))
 
 
@@ -416,8 +416,8 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH {SQL_FILES}
-SELECT site || '/' || rel AS rel, CAST(octet_length(encode(html)) AS BIGINT) AS size, md5(html) AS digest,
-       'html' AS kind, false AS truncated FROM files
+SELECT CASE length(rel) % 3 WHEN 0 THEN '_static/' WHEN 1 THEN '.well-known/' ELSE '' END || site || '/' || rel AS rel,
+       CAST(octet_length(encode(html)) AS BIGINT) AS size, md5(html) AS digest, 'html' AS kind, false AS truncated FROM files
 """
 )
 def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,7 +435,8 @@ def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
                     out.write(html.encode())
             yield frame[["site"]]
 
-    site_files(spark, sf_dir).select("site", "rel", "html").mapInPandas(save, "site string").write.format(
+    top = F.element_at(F.array(F.lit("_static/"), F.lit(".well-known/"), F.lit("")), F.length("rel") % 3 + 1)
+    site_files(spark, sf_dir).select(F.concat(top, "site").alias("site"), "rel", "html").mapInPandas(save, "site string").write.format(
         "noop"
     ).mode("overwrite").save()
     files = read_folder(spark, folder, "folder")

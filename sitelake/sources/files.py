@@ -16,6 +16,10 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
+#: What Spark's writers leave beside their files.
+COMMIT_NAMES = {"_temporary", "_SUCCESS"}
+
+
 def list_files(pattern: str, suffixes: tuple[str, ...] = ()) -> list[tuple[str, int]]:
     """``(path, size)`` of the files a glob or folder names, in name order."""
     system, path = file_system(pattern)
@@ -33,7 +37,7 @@ def list_files(pattern: str, suffixes: tuple[str, ...] = ()) -> list[tuple[str,
         for f in found
         if f.type == fs.FileType.File
         and match(f.path)
-        and not any(part.startswith(("_", ".")) for part in f.path[len(root) :].split("/"))
+        and not any(part in COMMIT_NAMES for part in f.path[len(root) :].split("/"))
         and (not suffixes or f.path.lower().endswith(suffixes))
     ]
     return sorted(names)

@@ -1,50 +1,151 @@
-"""Folders of site files or notes, read through Spark's own file listing."""
+"""``folder``: files of a folder tree, listed and read in tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from dataclasses import dataclass
+from datetime import UTC, datetime
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from sitelake.constants import TEXT_LIMIT
 from sitelake.functions.paths import doc_kind, is_visible_path
+from sitelake.sources.files import file_system
+
+SCHEMA = "rel string, size bigint, modified timestamp, content binary"
+ARROW = pa.schema(
+    [
+        ("rel", pa.string()),
+        ("size", pa.int64()),
+        ("modified", pa.timestamp("us", "UTC")),
+        ("content", pa.binary()),
+    ]
+)
+#: Folders that are listed on the driver before the rest is left to tasks.
+LISTED = 1000
+FILES_PER_TASK = 1000
+BATCH_BYTES = 32 * 1024 * 1024
+BATCH_ROWS = 10_000
+
 
+@dataclass
+class FolderPart(InputPartition):
+    """Files by name, and folders whose trees are walked in the task."""
 
-def read_folder(spark: SparkSession, root: str, site: str | None = None) -> DataFrame:
-    """``(site, rel, size, modified, content, truncated)`` of a folder tree.
+    files: list[str]
+    folders: list[str]
 
-    Hidden files and folders are left out and contents are cut at 16 MiB. A
-    query that does not use ``content`` never opens the files.
+
+class FolderReader(DataSourceReader):
+    """The driver lists the upper folders only; each folder below them is a task.
+
+    ``content`` "false" lists files without opening them.
     """
-    bare = root.rstrip("/")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreMissingFiles", "true")
-        .load(bare)
-    )
-    local = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "/")
-    start = "/" + bare.split(":", 1)[-1].strip("/") + "/" if ":" in bare else bare + "/"
-    rel = F.substr(local, F.lit(len(start) + 1))
-    return (
-        files.select(
-            F.lit(site or bare.rsplit("/", 1)[-1]).alias("site"),
-            rel.alias("rel"),
-            F.col("length").alias("size"),
-            F.col("modificationTime").alias("modified"),
-            F.substring("content", 1, TEXT_LIMIT).alias("content"),
-            (F.col("length") > TEXT_LIMIT).alias("truncated"),
-        )
-        .filter(is_visible_path(F.col("rel")))
-    )
 
+    def __init__(self, options: dict):
+        self.root = options["path"].rstrip("/")
+        self.content = options.get("content", "true") == "true"
+
+    def partitions(self) -> list[FolderPart]:
+        system, root = file_system(self.root)
+        waiting, files, listed = [root], [], 0
+        while waiting and listed < LISTED and len(waiting) < LISTED:
+            level, waiting = waiting, []
+            for folder in level:
+                found = system.get_file_info(fs.FileSelector(folder))
+                files += [f.path for f in found if f.type == fs.FileType.File]
+                waiting += [f.path for f in found if f.type == fs.FileType.Directory]
+                listed += 1
+        parts = [FolderPart(files[i : i + FILES_PER_TASK], []) for i in range(0, len(files), FILES_PER_TASK)]
+        return parts + [FolderPart([], [folder]) for folder in waiting] or [FolderPart([], [])]
+
+    def read(self, partition: FolderPart) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(self.root)
+        found = system.get_file_info(partition.files) if partition.files else []
+        for folder in partition.folders:
+            found += system.get_file_info(fs.FileSelector(folder, recursive=True))
+        rows, held = [], 0
+        for info in found:
+            if info.type != fs.FileType.File:
+                continue
+            content = None
+            if self.content:
+                with system.open_input_stream(info.path, compression=None) as stream:
+                    content = stream.read()
+            rows.append(
+                {
+                    "rel": info.path[len(root) :].lstrip("/"),
+                    "size": info.size,
+                    "modified": info.mtime or datetime.fromtimestamp(0, UTC),
+                    "content": content,
+                }
+            )
+            held += len(content or b"")
+            if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+
+
+class FolderSource(DataSource):
+    """Files of a folder tree, whatever their names begin with."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "folder"
 
-def to_docs(files: DataFrame) -> DataFrame:
-    """Files with contents as documents: invalid UTF-8 becomes U+FFFD."""
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema: StructType) -> FolderReader:
+        return FolderReader(dict(self.options))
+
+
+def read_folder(
+    spark: SparkSession,
+    root: str,
+    site: str | None = None,
+    content: bool = True,
+    visible: Column | None = None,
+) -> DataFrame:
+    """``(site, rel, size, modified, content)`` of a folder tree, contents whole.
+
+    Every file is a row, also those below names that begin with ``_`` or ``.``:
+    sites keep styles in ``_static`` and documents in ``.well-known``.
+    ``visible``, a condition on ``rel``, leaves others out; ``visible_notes`` is
+    the one for notes. ``content=False`` lists without opening the files.
+    """
+    spark.dataSource.register(FolderSource)
+    files = spark.read.format("folder").option("content", str(content).lower()).load(root)
+    name = site or root.rstrip("/").rsplit("/", 1)[-1]
+    files = files.select(F.lit(name).alias("site"), "rel", "size", "modified", "content")
+    return files if visible is None else files.filter(visible)
+
+
+def visible_notes() -> Column:
+    """No part of the path begins with a dot."""
+    return is_visible_path(F.col("rel"))
+
+
+def to_docs(files: DataFrame, limit: int | None = TEXT_LIMIT) -> DataFrame:
+    """Files with contents as documents: invalid UTF-8 becomes U+FFFD.
+
+    Texts longer than ``limit`` bytes are cut and marked; ``None`` cuts nothing.
+    """
+    content = F.col("content")
+    long = F.lit(False) if limit is None else F.octet_length(content) > limit
+    shown = content if limit is None else F.substring(content, 1, limit)
     return files.select(
         "site",
         "rel",
         doc_kind(F.col("rel")).alias("kind"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
-        "truncated",
-        F.col("content").isNotNull().alias("readable"),
+        F.make_valid_utf8(shown.cast("string")).alias("text"),
+        F.coalesce(long, F.lit(False)).alias("truncated"),
+        content.isNotNull().alias("readable"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,37 +36,62 @@ ARROW = pa.schema(
 )
 WARC_SUFFIXES = (".warc", ".warc.gz")
 BATCH_BYTES = 32 * 1024 * 1024
+BATCH_ROWS = 10_000
 BYTES_PER_TASK = 1024 * 1024 * 1024
 
 
-class BadRecord(ValueError):
-    """The stream stops being WARC here; nothing after it can be read."""
+SKIP_BYTES = 1 << 20
 
 
-def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names lower-cased) and body of each record of a stream."""
-    while version := stream.readline():
+def skip(stream, size: int) -> int:
+    """Read past ``size`` bytes; how many there were."""
+    left = size
+    while left and (block := stream.read(min(left, SKIP_BYTES))):
+        left -= len(block)
+    return size - left
+
+
+def records(stream, wanted=lambda headers: True, largest: int = MAX_WARC_RECORD) -> Iterator[tuple[dict, bytes | None, str | None]]:
+    """Headers (names lower-cased), body and error of each record of a stream.
+
+    Bodies that are not ``wanted``, or are larger than ``largest``, are read past
+    by their length. After a header that says no length, reading goes on at the
+    next line that begins a record.
+    """
+    lost = False
+    while version := stream.readline(SKIP_BYTES):
         if not version.strip():
             continue
         if not version.upper().startswith(b"WARC/"):
-            raise BadRecord(f"unexpected WARC header: {version[:80]!r}")
+            if not lost:
+                yield {}, None, f"unexpected WARC header: {version[:80]!r}"
+            lost = True
+            continue
+        lost = False
         headers = {}
         while line := stream.readline().rstrip(b"\r\n"):
             name, colon, value = line.decode("utf-8", "replace").partition(":")
             if colon:
                 headers[name.strip().lower()] = value.strip()
-        if "content-length" not in headers:
-            raise BadRecord("record without Content-Length")
-        length = headers["content-length"]
-        if not length.isascii() or not length.isdigit():
-            raise BadRecord("invalid Content-Length")
+        length = headers.get("content-length")
+        if length is None or not length.isascii() or not length.isdigit():
+            yield headers, None, "record without Content-Length" if length is None else "invalid Content-Length"
+            lost = True
+            continue
         size = int(length)
-        if size > MAX_WARC_RECORD:
-            raise BadRecord(f"record too large ({size} bytes, at most {MAX_WARC_RECORD})")
-        body = stream.read(size)
-        if len(body) < size:
-            raise BadRecord("record body cut short")
-        yield headers, body
+        if size > largest:
+            skip(stream, size)
+            yield headers, None, f"record too large ({size} bytes, at most {largest})"
+        elif wanted(headers):
+            body = stream.read(size)
+            if len(body) < size:
+                yield headers, None, "record body cut short"
+            else:
+                yield headers, body, None
+        elif skip(stream, size) < size:
+            yield headers, None, "record body cut short"
+        else:
+            yield headers, None, None
 
 
 @dataclass
@@ -84,24 +110,37 @@ class WarcReader(DataSourceReader):
     The driver only lists files. A large WACZ gets several partitions by its
     size, and each takes its share of the WARCs inside.
 
-    ``mode`` is FAILFAST (a malformed file fails the job) or DROPMALFORMED (its
-    good records are kept and a row with ``_error`` marks where it broke off).
+    ``mode`` is FAILFAST (a malformed record fails the job) or DROPMALFORMED (a
+    row with ``_error`` stands for it and the records after it are read).
+    ``types`` (names with commas between) leaves other records out before they
+    reach Spark; ``body`` "false" leaves bodies out; ``largest`` is the size from
+    which a record counts as malformed.
     """
 
     def __init__(self, options: dict):
         self.pattern = options["path"]
         self.mode = options.get("mode", "FAILFAST").upper()
+        self.types = set(options["types"].split(",")) if options.get("types") else None
+        self.body = options.get("body", "true") == "true"
+        self.largest = int(options.get("largest", MAX_WARC_RECORD))
+
+    def _asked(self, headers: dict) -> bool:
+        return self.types is None or headers.get("warc-type") in self.types
 
     def partitions(self) -> list[WarcFile]:
         parts = []
-        for path, size in list_files(self.pattern):
+        # A folder may hold indexes too; a pattern says itself what it names.
+        suffixes = () if re.search(r"[*?\[]", self.pattern) else (*WARC_SUFFIXES, ".wacz")
+        for path, size in list_files(self.pattern, suffixes):
             count = 1
             if path.lower().endswith(".wacz"):
                 count = max(1, -(-size // BYTES_PER_TASK))
             parts += [WarcFile(path, file_stem(path), index, count) for index in range(count)]
         return parts
 
-    def read(self, partition: WarcFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: WarcFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no file at all
+            return
         if not partition.path.lower().endswith(".wacz"):
             raw = _Raw(open_stream(self.pattern, partition.path))
             yield from self._read_stream(partition, partition.path, raw)
@@ -124,26 +163,33 @@ class WarcReader(DataSourceReader):
         def row(**values) -> dict:
             return {"site": partition.site, "file": name, "seq": seq, **values}
 
+        def failed(error: str) -> dict:
+            if self.mode == "FAILFAST":
+                raise ValueError(f"{name}: {error}")
+            return row(_error=error)
+
         try:
-            for seq, (headers, body) in enumerate(records(stream)):
-                rows.append(
-                    row(
-                        warc_type=headers.get("warc-type"),
-                        target_uri=headers.get("warc-target-uri"),
-                        headers=list(headers.items()),
-                        content_length=len(body),
-                        body=body,
+            found = records(stream, lambda headers: self.body and self._asked(headers), self.largest)
+            for seq, (headers, body, error) in enumerate(found):
+                if error is not None:
+                    rows.append(failed(error))
+                elif self._asked(headers):
+                    rows.append(
+                        row(
+                            warc_type=headers.get("warc-type"),
+                            target_uri=headers.get("warc-target-uri"),
+                            headers=list(headers.items()),
+                            content_length=int(headers["content-length"]),
+                            body=body,
+                        )
                     )
-                )
-                held += len(body)
-                if held >= BATCH_BYTES:
+                    held += len(body or b"")
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
                     rows, held = [], 0
-        except (BadRecord, EOFError, gzip.BadGzipFile) as error:
-            if self.mode == "FAILFAST":
-                raise ValueError(f"{name}: {error}") from error
+        except (EOFError, gzip.BadGzipFile) as error:
             seq += 1
-            rows.append(row(_error=str(error)))
+            rows.append(failed(str(error)))
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
@@ -181,12 +227,24 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
 
-def read_warc(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """Records of all WARCs a glob or folder names."""
+def read_warc(
+    spark: SparkSession,
+    path: str,
+    mode: str = "FAILFAST",
+    types: tuple[str, ...] = (),
+    body: bool = True,
+    largest: int = MAX_WARC_RECORD,
+) -> DataFrame:
+    """Records of all WARCs a glob or folder names; other files are passed over.
+
+    ``types`` reads records of these types only, and ``body=False`` no bodies:
+    what is not asked for never leaves the reader.
+    """
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("mode", mode).load(path)
+    reader = spark.read.format("warc").option("mode", mode).option("types", ",".join(types))
+    return reader.option("body", str(body).lower()).option("largest", largest).load(path)
 
 
-def read_wacz(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+def read_wacz(spark: SparkSession, path: str, mode: str = "FAILFAST", **options) -> DataFrame:
     """Records of all WARCs inside each WACZ; a WACZ without one is an error."""
-    return read_warc(spark, path, mode)
+    return read_warc(spark, path, mode, **options)

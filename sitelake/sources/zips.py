@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.types import StructType
 
-from sitelake.constants import TEXT_LIMIT
 from sitelake.sources.files import list_files, open_random
 
 ZIP_SUFFIXES = (".zip", ".wacz")
@@ -50,8 +49,12 @@ class ZipPart(InputPartition):
     count: int
 
     def slice(self, members: list) -> list:
-        size = len(members)
-        return members[size * self.index // self.count : size * (self.index + 1) // self.count]
+        """The members that begin in this part's share of the archive's bytes."""
+        if self.count == 1:
+            return members
+        end = max(m.header_offset + m.compress_size for m in members) if members else 0
+        share = end // self.count + 1
+        return [m for m in members if m.header_offset // share == self.index]
 
 
 def zip_parts(path: str, size: int) -> list[ZipPart]:
@@ -90,7 +93,7 @@ class CatalogReader(DataSourceReader):
 
 
 class MembersReader(DataSourceReader):
-    """Contents of members, each cut at 16 MiB.
+    """Contents of members, whole unless ``limit`` (bytes) cuts them.
 
     Large archives are split into ranges of members, so that one archive does
     not mean one task. The ``names`` option (one name per line) reads only those
@@ -102,6 +105,7 @@ class MembersReader(DataSourceReader):
         self.pattern = options["path"]
         listed = options.get("names")
         self.names = set(listed.split("\n")) if listed is not None else None
+        self.limit = int(options["limit"]) if options.get("limit") else None
 
     def partitions(self) -> list[ZipPart]:
         found = list_files(self.pattern, ZIP_SUFFIXES)
@@ -114,14 +118,14 @@ class MembersReader(DataSourceReader):
                 if info.is_dir() or (self.names is not None and info.filename not in self.names):
                     continue
                 with archive.open(info) as member:
-                    content = member.read(TEXT_LIMIT)
+                    content = member.read() if self.limit is None else member.read(self.limit)
                 rows.append(
                     {
                         "archive": partition.path,
                         "name": info.filename,
                         "size": info.file_size,
                         "content": content,
-                        "truncated": info.file_size > TEXT_LIMIT,
+                        "truncated": self.limit is not None and info.file_size > self.limit,
                     }
                 )
                 held += len(content)
@@ -184,11 +188,18 @@ def read_zip_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("zipcatalog").load(path)
 
 
-def read_zip_members(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
-    """Contents of the named members, or of all, of many archives."""
+def read_zip_members(
+    spark: SparkSession, path: str, names: list[str] | None = None, limit: int | None = None
+) -> DataFrame:
+    """Contents of the named members, or of all, of many archives.
+
+    They are whole; ``limit`` cuts each at so many bytes and marks it.
+    """
     spark.dataSource.register(ZipMembersSource)
     reader = spark.read.format("zipmembers")
     if names is not None:
         reader = reader.option("names", "\n".join(names))
+    if limit is not None:
+        reader = reader.option("limit", limit)
     pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     return reader.option("pushdown", pushes).load(path)

@@ -2,6 +2,7 @@
 
 import gzip
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from sitelake.constants import ENTRY_NAMES, MAX_WARC_RECORD
 from sitelake.functions.paths import content_type
 from sitelake.operators import archives, catalog, crawl, ordering
-from sitelake.sources.folders import read_folder, to_docs
+from sitelake.sources.folders import read_folder, to_docs, visible_notes
 from sitelake.sources.sites import read_site, write_site
 from sitelake.sources.warc import read_wacz, read_warc
 from sitelake.sources.zips import read_zip_catalog, read_zip_members
@@ -100,6 +101,30 @@ def test_malformed_warc(spark, tmp_path, tail, message):
     assert message in rows[1]["_error"]
 
 
+def test_records_after_a_bad_one(spark, tmp_path):
+    bad = [record("http://x/big", b"z" * 500), b"GARBAGE\r\nmore\r\n", b"WARC/1.0\r\nWARC-Type: x\r\n\r\nlost body\r\n", record("http://x/", length="12x")]
+    data = b"".join(record(f"http://x/{i}", b"ok") + b for i, b in enumerate(bad)) + record("http://x/last", b"ok")
+    (tmp_path / "w.warc").write_bytes(data)
+    (tmp_path / "index.cdx").write_bytes(b"no records")
+    rows = read_warc(spark, str(tmp_path), "DROPMALFORMED", largest=200).collect()
+    assert [r["target_uri"] for r in rows if r["_error"] is None] == [*(f"http://x/{i}" for i in range(4)), "http://x/last"]
+    assert sum(r["_error"] is not None for r in rows) == 4
+    bare = read_warc(spark, str(tmp_path), "DROPMALFORMED", types=("request",), body=False).filter("_error IS NULL")
+    assert bare.count() == 0
+
+
+def test_payloads_are_cut_by_bytes(spark):
+    payload = bytes(range(256))
+    heads = ["X-T: café é".encode(), b"X-T: plain", "X-T: 漢字".encode()]
+    bodies = [(i, b"HTTP/1.1 200 OK\r\n" + h + b"\r\nContent-Type: image/png\r\n\r\n" + payload) for i, h in enumerate(heads)]
+    bodies.append((9, b"HTTP/1.1 200 OK\r\nContent-Type: text/html"))
+    df = spark.createDataFrame(bodies, "n int, body binary")
+    status, kind, cut = archives.split_http(F.col("body"))
+    rows = {r["n"]: r for r in df.select("n", status.alias("s"), kind.alias("k"), cut.alias("p")).collect()}
+    assert all((rows[i]["s"], rows[i]["k"], bytes(rows[i]["p"])) == (200, "image/png", payload) for i in range(3))
+    assert rows[9]["s"] is None and rows[9]["p"] is None
+
+
 def test_path_clashes(spark):
     rows = [("s", 1, "a/y"), ("s", 2, "a"), ("s", 3, "a/x"), ("s", 4, "b"), ("s", 5, "b/c"), ("s", 6, "b/c/d"), ("s", 7, "b")]
     kept = archives.drop_path_clashes(spark.createDataFrame(rows, "site string, seq int, rel string"))
@@ -139,7 +164,8 @@ def test_parts_cover_every_member_once():
 
     parts = zip_parts("x.zip", 3 * BYTES_PER_TASK + 1)
     assert len(parts) == 4
-    assert [m for part in parts for m in part.slice(list(range(10)))] == list(range(10))
+    members = [SimpleNamespace(n=i, header_offset=i * i * 100, compress_size=50) for i in range(10)]
+    assert [m.n for part in parts for m in part.slice(members)] == list(range(10))
 
 
 def test_filters_on_names_reach_the_zip(spark, tmp_path):
@@ -277,9 +303,16 @@ def test_folders_and_site_tables(spark, tmp_path):
     (root / "index.html").write_bytes(b"a\xffb")
     (root / "docs" / "x.png").write_bytes(b"P")
     (root / ".git" / "y.html").write_bytes(b"no")
-    docs = to_docs(read_folder(spark, str(root)))
+    (root / "_static").mkdir()
+    (root / "_static" / "s.css").write_bytes(b"p{}")
+    found = {r["rel"]: r["size"] for r in read_folder(spark, str(root), content=False).collect()}
+    assert found == {"index.html": 3, "docs/x.png": 1, ".git/y.html": 2, "_static/s.css": 3}
+    (root / "_static" / "s.css").unlink()
+    cut = to_docs(read_folder(spark, str(root)), limit=1).filter("rel = 'index.html'").first()
+    assert (cut["text"], cut["truncated"]) == ("a", True)
+    docs = to_docs(read_folder(spark, str(root), visible=visible_notes()))
     assert {r["rel"]: (r["kind"], r["text"]) for r in docs.collect()} == {"index.html": ("html", "a�b"), "docs/x.png": (None, "P")}
-    files = read_folder(spark, str(root)).select("site", "rel", F.col("content").alias("payload"))
+    files = read_folder(spark, str(root), visible=visible_notes()).select("site", "rel", F.col("content").alias("payload"))
     write_site(files, str(tmp_path / "out"))
     stored = read_site(spark, str(tmp_path / "out"))
     assert "payload" not in stored.columns
