@@ -36,6 +36,11 @@ def choose_folded(catalog: DataFrame) -> DataFrame:
     )
 
 
+def nowhere(rows: DataFrame) -> Column:
+    """A made-up key for rows without one: it matches nothing and spreads them over tasks."""
+    return F.concat(F.lit("\x00"), F.xxhash64(*rows.columns).cast("string"))
+
+
 class Lookup:
     """A catalog prepared for lookups of exact names first, folded names next.
 
@@ -62,8 +67,8 @@ class Lookup:
         )
         losers = self.losers.withColumn("_probe_path", F.col("_exact"))
         return (
-            targets.withColumn("_probe_path", F.col(path))
-            .withColumn("_probe_folded", fold_key(F.col(path)))
+            targets.withColumn("_probe_path", F.coalesce(F.col(path), nowhere(targets)))
+            .withColumn("_probe_folded", F.coalesce(fold_key(F.col(path)), F.col("_probe_path")))
             .join(chosen, ["site", "_probe_folded"], "left")
             .join(losers, ["site", "_probe_path"], "left")
             .withColumn(out, F.coalesce("_exact", "_chosen"))
@@ -180,10 +185,8 @@ def locate(targets: DataFrame, catalog: DataFrame, path: str = "path") -> DataFr
         .withColumn("_missing_dir", F.col("found").isNull() & F.col("_is_dir").isNotNull())
         .select("site", "_target", "found", "_missing_dir")
     )
-    # Rows without a path match nothing; a made-up key spreads them over tasks.
-    nowhere = F.concat(F.lit("\x00"), F.xxhash64(*targets.columns).cast("string"))
     return (
-        targets.withColumn("_target", F.coalesce(F.col(path), nowhere))
+        targets.withColumn("_target", F.coalesce(F.col(path), nowhere(targets)))
         .join(known, ["site", "_target"], "left")
         .withColumn(
             "missing",

@@ -40,15 +40,14 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], out: str = "ran
 def natural_key(name: Column) -> list[Column]:
     """Sort columns for names by leading number, then text.
 
-    Names without a leading number compare by text with all others, so they
-    fall before or after the digits by their first character.
+    Numbers of any length compare by value: first by their digits without
+    leading zeros, then by those digits as text. Names without a leading number
+    compare by text with all others, so they fall before or after the digits by
+    their first character.
     """
-    number = F.regexp_extract(name, "^[0-9]+", 0).try_cast("bigint")
-    number = F.when(number <= 4294967295, number)
-    place = (
-        F.when(number.isNotNull(), 1).when(name < "0", 0).when(name < ":", 1).otherwise(2)
-    )
-    return [place, number, name]
+    digits = F.regexp_extract(name, "^0*([0-9]*)", 1)
+    place = F.when(name < "0", 0).when(name < ":", 1).otherwise(2)
+    return [place, F.length(digits), digits, name]
 
 
 def seed_pages(files: DataFrame, entry_names: list[str]) -> DataFrame:

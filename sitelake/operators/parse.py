@@ -8,6 +8,7 @@ on links is native.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -231,73 +232,97 @@ def anchor_rows(parsed: DataFrame, *keys: str) -> DataFrame:
     return parsed.select(*keys, F.explode("ids").alias("fragment"))
 
 
-# Markdown links. Runs of plain characters are taken in one step and the steps
-# are bounded, since the regular expression engine nests one call per step.
-CODE = (
-    r"(?s)(?m:^ {0,3}(```+|~~~+)[^\n]*\n.*?(?:^ {0,3}\1[`~]*[ \t]*$|\z))"
-    r"|(`+)(?!`).+?(?<!`)\2(?!`)"
+# Markdown links. Every repeated step is possessive, so a text is read once and no
+# label or destination is too long.
+CODE_START = re.compile(r"^ {0,3}(?P<fence>`{3,}|~{3,})[^\n]*\n|(?P<ticks>`+)", re.M)
+TICKS = re.compile(r"`+")
+LABEL = r"\[((?:[^\[\]\\\n]++|\\.|\[[^\[\]\n]*+\])*+)\]"
+DESTINATION = r"(?:<([^<>\n]*)>|((?:[^\s()<]++|\([^\s()]*+\))*+))"
+TITLE = r"(?:[ \t\n]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?"
+LINK = re.compile(
+    rf"(?P<mark>!?){LABEL}"
+    rf"(?:\([ \t]*\n?[ \t]*{DESTINATION}{TITLE}[ \t]*\n?[ \t]*(?P<inline>\))|(?:\[(?P<ref>[^\[\]]*)\])?(?![\[(:]))"
+    r"|<(?P<auto>[A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*)>",
+    re.A | re.S,
 )
-LABEL = r"\[((?:[^\[\]\\\n]++|\\.|\[[^\[\]\n]*+\]){0,500}+)\]"
-INLINE = (
-    rf"(!?){LABEL}\([ \t]*\n?[ \t]*(?:<([^<>\n]*)>|((?:[^\s()<]++|\([^\s()]*+\)){{0,100}}+))"
-    r"(?:[ \t\n]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*\n?[ \t]*\)"
-)
-REFERENCE = rf"(!?){LABEL}(?:\[([^\[\]]*)\])?(?![\[(:])"
-DEFINITION = r"(?m)^ {0,3}\[([^\[\]\n]+)\]:[ \t]*\n?[ \t]*(?:<([^<>\n]*)>|([^\s<]\S*))[^\n]*$"
-AUTOLINK = r"<([A-Za-z][A-Za-z0-9+.\-]{1,31}:[^\s<>]*)>"
+DEFINITION = re.compile(r"^ {0,3}\[([^\[\]\n]+)\]:[ \t]*\n?[ \t]*(?:<([^<>\n]*)>|([^\s<]\S*))[^\n]*$", re.A | re.M)
+
+
+def without_code(text: str) -> str:
+    """Fenced blocks and code spans replaced by a space each.
+
+    A span ends at the next run of as many back-ticks as it begins with; all runs
+    are listed once, so openings without an end cost no further look at the text.
+    """
+    if "`" not in text and "~~~" not in text:
+        return text
+    runs: dict[int, list[int]] = {}
+    for run in TICKS.finditer(text):
+        runs.setdefault(run.end() - run.start(), []).append(run.start())
+    parts, kept, at = [], 0, 0
+    while start := CODE_START.search(text, at):
+        fence, at = start["fence"], start.end()
+        if fence:
+            close = re.compile(rf"^ {{0,3}}{fence}[`~]*[ \t]*$", re.M).search(text, at)
+            end = close.end() if close else len(text)
+        else:
+            same = runs[at - start.start()]
+            following = bisect_left(same, at)
+            if following == len(same):
+                continue
+            end = same[following] + at - start.start()
+        parts += [text[kept : start.start()], " "]
+        kept = at = end
+    return "".join([*parts, text[kept:]])
+
+
+def note_links(text: str) -> list[tuple[str | None, bool]]:
+    """Destination (null where a reference is undefined) and whether it is an image, in order."""
+    text = without_code(text)
+    if "[" not in text and "<" not in text:
+        return []
+
+    def name(label: str) -> str:
+        return re.sub(r"\s+", " ", label.strip(" "), flags=re.A).lower()
+
+    known: dict[str, str] = {}
+    for label, pointed, plain in DEFINITION.findall(text):
+        known.setdefault(name(label), pointed or plain)
+    found: list[tuple[str | None, bool]] = []
+    for link in LINK.finditer(DEFINITION.sub("", text)):
+        if link["auto"] is not None:
+            dest = link["auto"]
+        elif link["inline"]:
+            dest = (link[3] or "") + (link[4] or "")
+        else:
+            dest = known.get(name(link["ref"] or link[2]))
+        found.append((dest, link["mark"] == "!"))
+    return found
+
+
+def _note_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [note_links(text.as_py() or "") for text in batch.column("text")]
+        flat = [link for links in rows for link in links]
+        fields = {
+            "pos": pa.array([pos for links in rows for pos in range(len(links))], type=pa.int32()),
+            "dest": pa.array([dest for dest, _ in flat], type=pa.string()),
+            "is_image": pa.array([image for _, image in flat], type=pa.bool_()),
+        }
+        keep = [n for n in batch.schema.names if n != "text"]
+        links = _lists(rows, pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), links], names=[*keep, "links"])
 
 
 def note_link_rows(notes: DataFrame) -> DataFrame:
     """Markdown links and images: ``(…, pos, dest, is_image)``.
 
     Inline links, full and short reference links and autolinks; code is skipped.
+    Each note crosses to Python once, in Arrow batches.
     """
-    text = F.regexp_replace(F.col("text"), CODE, " ")
-    name = lambda col: F.lower(F.regexp_replace(F.trim(col), r"\s+", " "))
-    definitions = F.transform(
-        F.regexp_extract_all("_text", F.lit(DEFINITION), F.lit(0)),
-        lambda d: F.struct(
-            name(F.regexp_extract(d, DEFINITION, 1)).alias("name"),
-            F.concat(
-                F.regexp_extract(d, DEFINITION, 2), F.regexp_extract(d, DEFINITION, 3)
-            ).alias("dest"),
-        ),
-    )
-    rows = (
-        notes.withColumn("_text", text)
-        .withColumn("_defs", definitions)
-        .withColumn("_body", F.regexp_replace("_text", DEFINITION, ""))
-        .withColumn(
-            "_tokens",
-            F.regexp_extract_all("_body", F.lit(f"{INLINE}|{REFERENCE}|{AUTOLINK}"), F.lit(0)),
-        )
-        .drop("text", "_text", "_body")
-    )
-    token = F.col("_token")
-    used = F.coalesce(
-        F.nullif(F.regexp_extract(token, rf"(?s)\A{REFERENCE}\z", 3), F.lit("")),
-        F.regexp_extract(token, rf"(?s)\A{REFERENCE}\z", 2),
-    )
-    whole_inline = rf"(?s)\A{INLINE}\z"
-    dest = (
-        F.when(
-            token.rlike(whole_inline),
-            F.concat(
-                F.regexp_extract(token, whole_inline, 3), F.regexp_extract(token, whole_inline, 4)
-            ),
-        )
-        .when(token.startswith("<"), F.btrim(token, F.lit("<>")))
-        .otherwise(
-            F.try_element_at(
-                F.filter("_defs", lambda d: d["name"] == name(used)), F.lit(1)
-            )["dest"]
-        )
-    )
-    keep = [c for c in rows.columns if not c.startswith("_")]
-    found = (
-        rows.select(*keep, "_defs", F.posexplode("_tokens").alias("pos", "_token"))
-        .withColumn("dest", dest)
-        .withColumn("is_image", token.startswith("!"))
-        .filter(F.col("dest").isNotNull())
+    kept = [f for f in notes.schema.fields if f.name != "text"]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    parsed = notes.select(*[f.name for f in kept], "text").mapInArrow(
+        _note_batches, f"{ddl}, links array<struct<pos:int,dest:string,is_image:boolean>>"
     )
-    return found.select(*keep, "pos", "dest", "is_image")
+    return parsed.select(*[f.name for f in kept], F.inline("links")).filter(F.col("dest").isNotNull())

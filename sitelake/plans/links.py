@@ -144,15 +144,13 @@ def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH raw AS (SELECT doc_id, substr(regexp_extract(text, '[^\\n]*'), 1, 60) AS name FROM documents)
+WITH raw AS (SELECT doc_id, text AS name FROM documents)
 SELECT doc_id, url_encode(name) AS encoded, name || '%zz 100%' AS decoded FROM raw
 """
 )
 def percent_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines encoded, and decoded again with stray percent signs behind."""
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring(F.regexp_extract("text", "[^\\n]*", 0), 1, 60).alias("name")
-    )
+    """Texts encoded, and decoded again with stray percent signs behind."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("name"))
     encoded = docs.withColumn("encoded", percent_encode(F.col("name")))
     return encoded.select(
         "doc_id", "encoded", percent_decode(F.concat("encoded", F.lit("%zz 100%"))).alias("decoded")

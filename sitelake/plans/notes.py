@@ -41,10 +41,10 @@ def note_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).drop("site").orderBy("name_lower", "rel")
 
 
-@query(f"SELECT doc_id, {SQL_SLUG.format('substr(text, 1, 80)')} AS slug FROM documents")
+@query(f"SELECT doc_id, {SQL_SLUG.format('text')} AS slug FROM documents")
 def note_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
-        "doc_id", normalize_slug(F.substring("text", 1, 80)).alias("slug")
+        "doc_id", normalize_slug(F.col("text")).alias("slug")
     )
 
 
@@ -182,7 +182,8 @@ def note_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(
         F.lit("# Note\n\nSee [one](/page/"), F.replace(name, F.lit(" "), F.lit("_")), F.lit('#sec "title") and [`two`](</page/Nope_'),
         F.replace(name, F.lit(" "), F.lit("%20")), F.lit(">).\n```\n[code](/page/no)\n```\nNot `[code](x)`, but [js](javascript:alert) ![i](img/"),
-        "doc_id", F.lit(".png) <https://h.example/"), "doc_id", F.lit("> and [last][ref].\n\n[ref]: /page/___\n"),
+        "doc_id", F.lit(".png) <https://h.example/"), "doc_id", F.lit("> and [last][ref].\n\n[ref]: /page/___\n\n"),
+        F.coalesce("text", F.lit("")),
     )
     links = note_link_rows(all_notes.select("doc_id", "site", text.alias("text")))
     slugs = ops.canonical_notes(ops.note_index(all_notes.select("site", "rel").distinct()))

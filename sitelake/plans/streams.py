@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitelake.functions.paths import doc_kind, url_to_rel
 from sitelake.operators import history
 from sitelake.operators.archives import latest_rows
+from sitelake.operators.ordering import ranked
 from sitelake.operators.prompts import parse_chunks
 from sitelake.plans import prompts as prompt_plans
 from sitelake.plans.register import Plan
@@ -25,12 +26,12 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return stream_table(spark, sf_dir, table(spark, sf_dir, name).schema, f"{name}.parquet")
 
 
-def restream(df: DataFrame, files: int, *order: str) -> DataFrame:
-    """A derived table as a stream of several batches."""
+def restream(df: DataFrame) -> DataFrame:
+    """A derived table as a stream, in as many files as it has partitions."""
     spark = df.sparkSession
     folder = new_folder(spark, "source")
-    df.repartitionByRange(files, *order).write.parquet(folder)
-    return stream_table(spark, folder, df.schema, "part-*.parquet", per_trigger=1)
+    df.write.parquet(folder)
+    return stream_table(spark, folder, df.schema, "part-*.parquet")
 
 
 def paged(pages: DataFrame) -> DataFrame:
@@ -50,16 +51,15 @@ def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {SQL_REL} AS rel, max(page_id) AS page_id, max_by(url, page_id) AS url FROM pages GROUP BY 1")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All hosts as one site, four batches; the last version of a path stays."""
-    versions = paged(table(spark, sf_dir, "pages")).withColumn("site", F.lit("all")).select("site", "rel", "page_id", "url")
-    stream = restream(versions, 4, "page_id")
+    """All hosts as one site; the last version of a path stays."""
+    stream = paged(stream_of(spark, sf_dir, "pages")).withColumn("site", F.lit("all")).select("site", "rel", "page_id", "url")
     log = drain(stream, each=lambda batch: latest_rows(batch, "page_id").select("site", "rel", "page_id", "url"))
     return jobs.latest_docs(log, "page_id").select("rel", "page_id", "url")
 
 
 @query(f"WITH {SQL_WORD_LINKS} SELECT site, url, CAST(pos AS BIGINT) AS pos, href, cls, found FROM links")
 def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages in four batches, their links located in the static catalog."""
+    """Pages as a stream, their links located in the static catalog."""
     files = word_site(spark, sf_dir)
     docs = as_docs(files).withColumn("kind", doc_kind(F.col("rel")))
     catalog = stage(files.select("site", "rel"), "catalog")
@@ -69,12 +69,12 @@ def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         return found.select("site", "url", F.col("pos").cast("bigint").alias("pos"), "href", "cls", "found")
 
     schema = spark.createDataFrame([], "site string, url string, pos bigint, href string, cls string, found string").schema
-    return drain(restream(docs, 4, "rel"), schema, resolved).drop("batch")
+    return drain(restream(docs), schema, resolved).drop("batch")
 
 
 @query(prompt_plans.ORACLE["current_page"])
 def stream_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = restream(prompt_plans.visits(table(spark, sf_dir, "events")), 4, "ts")
+    stream = prompt_plans.visits(stream_of(spark, sf_dir, "events"))
     log = drain(jobs.current_pages(stream), mode="update")
     return log.groupBy("pack").agg(F.max_by("rel", "batch").alias("rel"))
 
@@ -91,7 +91,7 @@ def stream_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("request_id") * 60)
     chunks = parse_chunks(lines).withColumn("ts", start)
     with rocksdb(spark):
-        found = drain(jobs.chat_answers(restream(chunks, 1, "ts")))
+        found = drain(jobs.chat_answers(restream(chunks)))
     return prompt_plans.answers(found)
 
 
@@ -104,18 +104,23 @@ SELECT date_trunc('minute', ts) AS minute, status, count(*) AS requests FROM req
 """
 )
 def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as requests for pages, counted per minute and status."""
+    """Events as requests for pages, counted per minute and status.
+
+    Each event asks for one of all pages, taken in turn.
+    """
     files = site_files(spark, sf_dir).select(F.lit("all").alias("site"), F.concat("site", F.lit("/"), "rel").alias("rel"))
-    known = files.agg(F.min("rel").alias("rel")).first()["rel"]
+    files = stage(files, "files")
+    total = files.count()
+    known = ranked(files, ["site"], [F.col("rel")], "_n").select((F.col("_n") - 1).alias("_n"), F.col("rel").alias("_known"))
+    known = stage(known, "known")
     url = (
         F.when(F.col("event_type") == "error", F.lit("/a/../b"))
         .when(F.col("event_type") == "signup", F.concat(F.lit("/none/"), "event_id"))
-        .otherwise(F.lit("/" + known.upper() + "?x"))
-    )
-    events = table(spark, sf_dir, "events").select(
-        F.lit("all").alias("site"), url.alias("url"), F.col("ts").cast("timestamp").alias("ts")
+        .otherwise(F.concat(F.lit("/"), F.upper("_known"), F.lit("?x")))
     )
-    routed = jobs.route_stream(restream(events, 1, "ts"), files)
+    events = stream_of(spark, sf_dir, "events").withColumn("_n", F.col("event_id") % total).join(known, "_n", "left")
+    events = events.select(F.lit("all").alias("site"), url.alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+    routed = jobs.route_stream(events, files)
     log = drain(jobs.status_counts(routed), mode="update")
     newest = log.groupBy("minute", "status").agg(F.max_by("requests", "batch").alias("requests"))
     return newest.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
@@ -123,9 +128,9 @@ def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(prompt_plans.ORACLE["latest_generation"])
 def stream_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results in four batches; only those of each key's newest run stay."""
-    results = table(spark, sf_dir, "events").selectExpr("user_id AS key", "event_id div 500 AS gen", "event_id", "value")
-    log = drain(restream(results, 4, "event_id"), each=lambda batch: history.latest_generation(batch).select("key", "gen", "event_id", "value"))
+    """Results as a stream; only those of each key's newest run stay."""
+    results = stream_of(spark, sf_dir, "events").selectExpr("user_id AS key", "event_id div 500 AS gen", "event_id", "value")
+    log = drain(results, each=lambda batch: history.latest_generation(batch).select("key", "gen", "event_id", "value"))
     return history.latest_generation(log.drop("batch"))
 
 
@@ -133,7 +138,7 @@ def stream_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running batch of each pack, kept as state."""
     with rocksdb(spark):
-        log = drain(jobs.running_batches(restream(prompt_plans.batch_actions(spark, sf_dir), 1, "seq")), mode="update")
+        log = drain(jobs.running_batches(restream(prompt_plans.batch_actions(spark, sf_dir))), mode="update")
     newest = log.groupBy("pack").agg(F.max_by("docs", "seq").alias("docs"))
     return newest.select("pack", F.posexplode("docs").alias("slot", "rel")).select(
         "pack", (F.col("slot") + 1).cast("bigint").alias("slot"), "rel"

@@ -38,9 +38,20 @@ def test_search(spark):
     many = index(spark, [f"note {i:03}.md" for i in range(60)])
     hits = notes.name_search(many, "note").orderBy("pos").collect()
     assert len(hits) == 40 and hits[0]["rel"] == "note 000.md" and hits[0]["total"] == 60
-    assert notes.name_search(index(spark, [f"n{i}.md" for i in range(401)]), "").count() == 0
+    listed = notes.name_search(index(spark, [f"n{i}.md" for i in range(401)]), "").collect()
+    assert len(listed) == 400 and {r["total"] for r in listed} == {401}
+    assert notes.name_search(index(spark, [f"n{i}.md" for i in range(401)]), "", listed=None).count() == 401
     needles = spark.createDataFrame([(" Zinc",), ("al",), ("a",), ("nothing",)], "needle string")
     assert {r["needle"]: r["total"] for r in notes.search_counts(found, needles).collect()} == {"zinc": 2, "al": 4}
+    first = notes.search_hits(found, needles, 1).collect()
+    assert sorted((r["needle"], r["total"], r["pos"]) for r in first) == [("al", 4, 1), ("zinc", 2, 1)]
+
+
+def test_needles_of_any_length(spark):
+    long = "ab" * 150
+    found = index(spark, [f"x{long}y.md", "ab.md"])
+    needles = spark.createDataFrame([(long,), ("ab",), (long + "z",)], "needle string")
+    assert {r["needle"]: r["total"] for r in notes.search_counts(found, needles).collect()} == {long: 1, "ab": 2}
 
 
 def test_folders(spark):
@@ -72,7 +83,8 @@ def test_routes(spark):
     files = spark.createDataFrame([("s", r) for r in RELS], "site string, rel string")
     cases = {
         "/": ("home", 200, None),
-        "/?q=x": ("home", 200, None),
+        "/?q=x": ("search", 200, None),
+        "/?q=": ("home", 200, None),
         "/../secret": ("refused", 403, None),
         "/page/zinc": ("note", 200, "Science/Zinc_grokipedia.md"),
         "/page/none": ("absent", 404, None),
@@ -90,7 +102,7 @@ def test_natural_order(spark):
     names = ["10.html", "2.html", "index.html", "-a", "2", "02.html", "é", "99999999999.html"]
     rows = spark.createDataFrame([(1, n) for n in names], "g int, name string")
     found = ordering.ranked(rows, ["g"], ordering.natural_key(F.col("name"))).orderBy("rank").collect()
-    assert [r["name"] for r in found] == ["-a", "99999999999.html", "02.html", "2", "2.html", "10.html", "index.html", "é"]
+    assert [r["name"] for r in found] == ["-a", "02.html", "2", "2.html", "10.html", "99999999999.html", "index.html", "é"]
 
 
 def test_ranks_over_uneven_groups(spark):
