@@ -24,12 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, with its file system named.
 
     It is the checkpoint folder of the application, which Spark makes inside
-    ``spark.checkpoint.dir``. Only a session that names none (a local test) gets
-    a folder of its own.
+    ``spark.checkpoint.dir``. Only a local session may name none and gets a folder
+    of its own; on a cluster no machine's folder would do.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -118,6 +120,9 @@ def ship(spark: SparkSession) -> None:
         for file in sorted(root.rglob("*.py")):
             archive.write(file, file.relative_to(root.parent))
     context.addPyFile(str(target))
+    for key, value in SETTINGS.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
     # Workers that prepare custom state run on the driver and get no such files;
     # there the package is found where the driver found it.
     paths = [context.environment.get("PYTHONPATH"), str(root.parent)]

@@ -80,7 +80,7 @@ def status_counts(routed: DataFrame, delay: str = "10 minutes") -> DataFrame:
 ANSWER = "request_id bigint, status string, answer string, tokens bigint, error string"
 
 
-def _state_row(row) -> tuple:
+def _chunk(row) -> tuple:
     """A chunk with plain Python values; pandas holds missing counts as NaN."""
     tokens = None if pd.isna(row.tokens) else int(row.tokens)
     error = None if pd.isna(row.error) else row.error
@@ -88,48 +88,68 @@ def _state_row(row) -> tuple:
 
 
 class ChatAnswers(StatefulProcessor):
-    """Collects the chunks of a response until it is complete or falls silent."""
+    """Collects the chunks of a response until it is complete or falls silent.
+
+    Chunks are kept by number: one that comes twice counts once. A response that
+    has been answered leaves a mark for as long as it might have been silent, so
+    that late repeats do not answer it again.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.chunks = handle.getListState(
-            "chunks", "ord bigint, content string, tokens bigint, done boolean, error string"
-        )
+        self.chunks = handle.getMapState("chunks", "ord bigint", "content string, tokens bigint, done boolean, error string")
         # How many chunks there are, the last one's number, and whether one ends
         # the response. The chunks themselves are read only once, at the end.
         self.progress = handle.getValueState("progress", "n bigint, top bigint, ended boolean")
+        self.finished = handle.getValueState("finished", "yes boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, top, ended = self.progress.get() or (0, -1, False)
-        latest = 0
-        for frame in rows:
-            latest = max(latest, int(frame["ts"].max().timestamp() * 1000))
-            columns = ["ord", "content", "tokens", "done", "error"]
-            chunks = [_state_row(row) for row in frame[columns].itertuples(index=False)]
-            self.chunks.appendList(chunks)
-            n += len(chunks)
-            top = max(top, *(c[0] for c in chunks))
-            ended = ended or any(c[3] or c[4] is not None for c in chunks)
+        frame = pd.concat(list(rows), ignore_index=True)
+        latest = int(frame["ts"].max().timestamp() * 1000)
+        if self.finished.exists():
+            return
+        new = frame.drop_duplicates("ord")[["ord", "content", "tokens", "done", "error"]]
+        before = self.progress.get()
+        n, top, ended = before or (0, -1, False)
+        ended = bool(ended or new["done"].any() or new["error"].notna().any())
+        top = max(top, int(new["ord"].max()))
+        chunks = [_chunk(row) for row in new.itertuples(index=False)]
+        if before is None and ended and len(chunks) == top + 1:
+            yield self._finish(key, chunks, latest)
+            return
+        for number, *value in chunks:
+            if before is None or not self.chunks.containsKey((number,)):
+                self.chunks.updateValue((number,), tuple(value))
+                n += 1
         if ended and n == top + 1:
-            yield self._finish(key, sorted(self.chunks.get()))
+            yield self._finish(key, self._kept(), latest)
             return
         self.progress.update((n, top, ended))
         self._forget_timers()
         self.handle.registerTimer(latest + CHAT_SILENCE_SECONDS * 1000)
 
+    def _kept(self) -> list[tuple]:
+        return [(number, *value) for (number,), value in self.chunks.iterator()]
+
     def _forget_timers(self) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        parts = sorted(self.chunks.get())
-        if parts:
-            yield self._finish(key, parts)
-
-    def _finish(self, key, parts: list[tuple]) -> pd.DataFrame:
-        self.chunks.clear()
-        self.progress.clear()
-        self._forget_timers()
+        if self.finished.exists():
+            self.finished.clear()
+        elif self.progress.exists():
+            yield self._finish(key, self._kept(), expiredTimerInfo.getExpiryTimeInMs())
+
+    def _finish(self, key, parts: list[tuple], at: int) -> pd.DataFrame:
+        """The answer; ``at`` is the event time from which repeats are remembered."""
+        if self.progress.exists():
+            self.chunks.clear()
+            self.progress.clear()
+            self._forget_timers()
+        self.finished.update((True,))
+        self.handle.registerTimer(at + CHAT_SILENCE_SECONDS * 1000)
+        parts = sorted(parts, key=lambda p: p[0])
         errors = [p[4] for p in parts if p[4] is not None]
         answer = "".join(p[1] for p in parts)
         if errors:

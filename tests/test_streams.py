@@ -96,6 +96,23 @@ def test_chat_answers(spark):
     assert run()[4] == ANSWERS[4]
 
 
+def test_repeated_and_late_chunks_answer_once(spark):
+    schema = "request_id long, ord long, ts timestamp, content string, tokens long, done boolean, error string"
+    at = spark.sql("SELECT timestamp'2024-01-01 00:00:00'").first()[0]
+    feed = Feed(spark, schema)
+
+    def run(*chunks):
+        feed.add([(1, n, at, text, None, text == "b", None) for n, text in chunks])
+        with rocksdb(spark):
+            found = feed.run(jobs.chat_answers).collect()
+        return [(r["status"], r["answer"]) for r in found]
+
+    assert run((0, "a"), (0, "a")) == []
+    assert run((0, "a")) == []
+    assert run((1, "b")) == [("ok", "ab")]
+    assert run((1, "b"), (0, "a")) == [("ok", "ab")]
+
+
 def test_running_batches(spark):
     feed = Feed(spark, "pack long, seq long, action string, rel string")
 
