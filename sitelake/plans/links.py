@@ -12,8 +12,9 @@ from sitelake.functions.paths import (
     note_link_allowed,
     percent_decode,
     percent_encode,
+    percent_encode_path,
 )
-from sitelake.operators import audit, catalog, crawl as crawling, ordering
+from sitelake.operators import audit, catalog, crawl as crawling, ingest, ordering
 from sitelake.operators.parse import anchor_rows, link_rows, parse_docs
 from sitelake.operators.resolve import resolve_links as resolve, with_page_base
 from sitelake.plans.register import Plan
@@ -448,7 +449,7 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.orphans(done.catalog, audit.reached_files(done.links, done.entries))
 
 
-@query(
+SQL_REPORT = (
     "WITH RECURSIVE "
     + SQL_CRAWL
     + f""",
@@ -469,10 +470,66 @@ SELECT s.site,
 FROM walk s
 """
 )
+
+
+@query(SQL_REPORT)
 def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawled(spark, sf_dir).report()
 
 
+SUMMARY = ["site", "pages", "reached", "files", "external", "broken_groups", "broken_links", "verdict"]
+
+
+def summary(found: ingest.Assembly) -> DataFrame:
+    """The report of each site with the number of rows that were rejected."""
+    counts = found.rejected.groupBy("site").agg(F.count(F.lit(1)).alias("rejected"))
+    report = found.audit().report().select(*SUMMARY)
+    return report.join(counts, "site", "full").select(*SUMMARY, F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
+@query(f"SELECT {', '.join(SUMMARY)}, CAST(2 AS BIGINT) AS rejected FROM ({SQL_REPORT})")
+def audit_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites from archived responses to the audit, in one go.
+
+    Every file has an older version; each site has a response that climbs above
+    it and one below a path that is a file.
+    """
+    files = word_site(spark, sf_dir)
+    host = F.concat(F.lit("http://"), "site")
+    newest = files.select(
+        "site", F.lit(1).alias("seq"), F.concat(host, F.lit("/"), percent_encode_path(F.col("rel"))).alias("target_uri"), "html"
+    )
+    older = newest.withColumn("seq", F.lit(0)).withColumn("html", F.lit("<a href=old.html>"))
+    odd = files.filter("rel = 'index.html'").select(
+        "site", F.lit(9).alias("seq"), F.explode(F.array(F.concat(host, F.lit("/a/../../x.html")), F.concat(host, F.lit("/index.html/y.html")))).alias("target_uri"), F.lit("x").alias("html")
+    )
+    head = F.lit("HTTP/1.1 200 OK\r\nServer: é\r\nContent-Type: text/html\r\n\r\n")
+    records = newest.union(older).union(odd).select(
+        "site", F.lit("w.warc").alias("file"), "seq", F.lit("response").alias("warc_type"), "target_uri",
+        F.create_map(F.lit("content-type"), F.lit("application/http")).alias("headers"),
+        F.concat(head, "html").cast("binary").alias("body"),
+    )
+    return summary(ingest.assemble_records(records, decode_paths=True))
+
+
+@query(
+    f"""
+SELECT site || '.zip' AS site, {', '.join(SUMMARY[1:])}, CAST(1 AS BIGINT) AS rejected FROM ({SQL_REPORT})
+UNION ALL SELECT 'notes.zip', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 1
+"""
+)
+def audit_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of archives to the audit: wrapped sites, unsafe names, and notes that are refused."""
+    files = word_site(spark, sf_dir)
+    archive = F.concat("site", F.lit(".zip"))
+    members = files.select(archive.alias("archive"), F.concat(F.lit("wrap/"), "rel").alias("name"), F.col("html").cast("binary").alias("content"))
+    first = files.filter("rel = 'index.html'")
+    odd = first.select(archive, F.explode(F.array(F.lit("../up.html"), F.lit("__MACOSX/._x.html"))), F.lit(b"x"))
+    notes = table(spark, sf_dir, "pages").select(F.lit("notes.zip"), F.concat(F.lit("n/p"), "page_id", F.lit(".md")), F.col("html").cast("binary"))
+    members = members.union(odd).union(notes)
+    return summary(ingest.assemble_members(members, members))
+
+
 @query(
     SQL_LEVELS
     + f""",
