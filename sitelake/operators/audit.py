@@ -10,6 +10,7 @@ from sitelake.functions.paths import doc_kind, fold_key
 from sitelake.operators.catalog import locate
 from sitelake.operators.parse import anchor_rows
 from sitelake.operators.resolve import DOCUMENT_BASE, resolve_links, with_page_base
+from sitelake.session import stage
 
 ESCAPED_BASE = -1
 
@@ -166,7 +167,8 @@ def broken_report(broken: DataFrame, shown: int = BROKEN_SHOWN) -> DataFrame:
 
     Targets come in the order the crawl met them, absent anchors last.
     """
-    groups = broken_groups(broken)
+    broken = stage(broken, "broken")  # read for the groups, their totals and their sources
+    groups = stage(broken_groups(broken), "groups")
     order = Window.partitionBy("site").orderBy(F.col("reason") == "anchor", "first", "key", "reason", "fragment")
     top = groups.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= shown)
     totals = groups.groupBy("site").agg(F.count(F.lit(1)).alias("total"))

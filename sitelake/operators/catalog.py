@@ -12,6 +12,7 @@ from sitelake.functions.paths import (
     is_markdown,
     safe_request_path,
 )
+from sitelake.session import stage
 
 
 def with_folded(catalog: DataFrame, path: str = "rel", out: str = "folded") -> DataFrame:
@@ -60,6 +61,12 @@ class Lookup:
             .select("site", F.col("rel").alias("_exact"))
         )
 
+    def staged(self) -> Lookup:
+        """Written out, for many lookups in the same catalog."""
+        self.chosen = stage(self.chosen, "chosen")
+        self.losers = stage(self.losers, "losers")
+        return self
+
     def find(self, targets: DataFrame, path: str, out: str) -> DataFrame:
         """Add ``out``: the stored name for ``path``, or null."""
         chosen = self.chosen.select(
@@ -144,7 +151,21 @@ def folder_pages(catalog: DataFrame, shown: int = LISTING_SHOWN) -> DataFrame:
     )
 
 
-def locate(targets: DataFrame, catalog: DataFrame, path: str = "path") -> DataFrame:
+class Places:
+    """A catalog prepared once for ``locate``: its names and its folders."""
+
+    def __init__(self, catalog: DataFrame):
+        self.lookup = Lookup(catalog)
+        folded = with_folded(dir_table(catalog), "dir", "_dir").select("site", "_dir").distinct()
+        self.dirs = folded.withColumn("_is_dir", F.lit(True))
+
+    def staged(self) -> Places:
+        self.lookup.staged()
+        self.dirs = stage(self.dirs, "dirs")
+        return self
+
+
+def locate(targets: DataFrame, catalog: DataFrame | Places, path: str = "path") -> DataFrame:
     """Add ``found`` (stored file or null) and ``missing`` (what to report).
 
     A path answers with its file, else with the ``index.html`` inside it. Both
@@ -163,9 +184,9 @@ def locate(targets: DataFrame, catalog: DataFrame, path: str = "path") -> DataFr
             )
         ).alias("_probe"),
     )
-    lookup = Lookup(catalog)
+    places = catalog if isinstance(catalog, Places) else Places(catalog)
     hits = (
-        lookup.find(probes, "_probe", "_hit")
+        places.lookup.find(probes, "_probe", "_hit")
         .groupBy("site", "_target")
         .agg(
             F.max(F.when(F.col("_probe") == F.col("_target"), F.col("_hit"))).alias("_file"),
@@ -173,15 +194,9 @@ def locate(targets: DataFrame, catalog: DataFrame, path: str = "path") -> DataFr
         )
         .select("site", "_target", F.coalesce("_file", "_index").alias("found"))
     )
-    dirs = (
-        with_folded(dir_table(catalog), "dir", "_dir")
-        .select("site", "_dir")
-        .distinct()
-        .withColumn("_is_dir", F.lit(True))
-    )
     known = (
         hits.withColumn("_dir", fold_key(F.col("_target")))
-        .join(dirs, ["site", "_dir"], "left")
+        .join(places.dirs, ["site", "_dir"], "left")
         .withColumn("_missing_dir", F.col("found").isNull() & F.col("_is_dir").isNotNull())
         .select("site", "_target", "found", "_missing_dir")
     )

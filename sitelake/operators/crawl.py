@@ -20,6 +20,7 @@ from sitelake.operators.audit import (
     visit_url,
     visited_pages,
 )
+from sitelake.operators.catalog import Places
 from sitelake.operators.ordering import natural_key
 from sitelake.operators.parse import parse_docs
 from sitelake.session import Steps, stage
@@ -112,7 +113,7 @@ def parse_site(docs: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     return stage(parse_docs(chosen), "parsed")
 
 
-def located(pages: DataFrame, catalog: DataFrame) -> DataFrame:
+def located(pages: DataFrame, catalog: DataFrame | Places) -> DataFrame:
     """Links of pages, resolved and looked up.
 
     Both results are written out: the lookup reads the resolved links twice, for
@@ -146,8 +147,9 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
     links anew; only such visits are resolved inside the loop.
     """
     catalog = stage(catalog.select("site", "rel").distinct(), "catalog")
+    places = Places(catalog).staged()
     parsed = parse_site(docs, entries)
-    stored_links = located(stored_pages(parsed), catalog)
+    stored_links = located(stored_pages(parsed), places)
     edges = keep_partitioned(stage(link_graph(stored_links), "graph"), "site", "url")
     steps = Steps(docs.sparkSession, "crawl", "site string, url string, file string, lvl int, ord bigint")
 
@@ -161,7 +163,7 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
 
     start = entries.select("site", F.col("entry").alias("url"), F.col("entry").alias("file")).distinct()
     number(start, "site", *natural_key(F.col("url")))
-    alias_links: list[DataFrame] = []
+    alias_links = Steps(docs.sparkSession, "alias-links", stored_links.schema)
     while True:
         frontier = steps.newest()
         size, alias_count = frontier.agg(F.count(F.lit(1)), F.count_if(F.col("url") != F.col("file"))).first()
@@ -170,8 +172,8 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
         followed = edges.join(frontier.filter("url = file").select("site", "url", "ord"), ["site", "url"])
         if alias_count > 0:
             aliases = frontier.filter("url <> file")
-            found = located(visited_pages(aliases.select("site", "url", "file"), parsed), catalog)
-            alias_links.append(found)
+            alias_links.write(locate_links(page_links(visited_pages(aliases.select("site", "url", "file"), parsed)), places))
+            found = alias_links.newest()
             followed = followed.unionByName(
                 link_graph(found).join(aliases.select("site", "url", "ord"), ["site", "url"])
             )
@@ -191,8 +193,8 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
     edges.unpersist()
     visits = steps.everything().withColumn("ord", F.struct("lvl", F.col("ord").alias("n")))
     links = stored_links
-    for found in alias_links:
-        links = links.unionByName(found)
+    if alias_links.count:
+        links = links.unionByName(alias_links.everything())
     followed = links.join(visits.select("site", "url", "ord"), ["site", "url"])
     return Crawl(visits, followed, parsed, entries, catalog)
 

@@ -413,15 +413,9 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", "size", F.md5("content").alias("digest"), "truncated")
 
 
-@query(
-    f"""
-WITH {SQL_FILES}
-SELECT CASE length(rel) % 3 WHEN 0 THEN '_static/' WHEN 1 THEN '.well-known/' ELSE '' END || site || '/' || rel AS rel,
-       CAST(octet_length(encode(html)) AS BIGINT) AS size, md5(html) AS digest, 'html' AS kind, false AS truncated FROM files
-"""
-)
-def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Site files written one by one, listed and read back as documents."""
+def write_files(site_files: DataFrame) -> str:
+    """Files ``(site, rel, html)`` written one by one below a folder for each site."""
+    spark = site_files.sparkSession
     folder = new_folder(spark, "folder")
 
     def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -435,10 +429,21 @@ def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
                     out.write(html.encode())
             yield frame[["site"]]
 
+    site_files.select("site", "rel", "html").mapInPandas(save, "site string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query(
+    f"""
+WITH {SQL_FILES}
+SELECT CASE length(rel) % 3 WHEN 0 THEN '_static/' WHEN 1 THEN '.well-known/' ELSE '' END || site || '/' || rel AS rel,
+       CAST(octet_length(encode(html)) AS BIGINT) AS size, md5(html) AS digest, 'html' AS kind, false AS truncated FROM files
+"""
+)
+def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site files written one by one, listed and read back as documents."""
     top = F.element_at(F.array(F.lit("_static/"), F.lit(".well-known/"), F.lit("")), F.length("rel") % 3 + 1)
-    site_files(spark, sf_dir).select(F.concat(top, "site").alias("site"), "rel", "html").mapInPandas(save, "site string").write.format(
-        "noop"
-    ).mode("overwrite").save()
+    folder = write_files(site_files(spark, sf_dir).withColumn("site", F.concat(top, "site")))
     files = read_folder(spark, folder, "folder")
     docs = to_docs(files)
     return docs.select(

@@ -11,11 +11,12 @@ from sitelake.operators.archives import latest_rows
 from sitelake.operators.ordering import ranked
 from sitelake.operators.prompts import parse_chunks
 from sitelake.plans import prompts as prompt_plans
+from sitelake.plans.archives import write_files
 from sitelake.plans.register import Plan
 from sitelake.plans.tables import SQL_FILES, SQL_REL, SQL_WORD_LINKS, as_docs, site_files, table, word_site
 from sitelake.session import new_folder, stage
 from sitelake.streaming import jobs
-from sitelake.streaming.logs import drain, rocksdb, stream_table
+from sitelake.streaming.logs import drain, rocksdb, stream_folder, stream_table
 
 plan = Plan()
 QUERIES, ORACLE, query = plan.queries, plan.oracle, plan.query
@@ -49,6 +50,23 @@ def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(paged(stream_of(spark, sf_dir, "pages"))).drop("batch")
 
 
+@query(
+    f"""
+WITH {SQL_FILES}
+SELECT site || '/' || rel AS rel, CAST(octet_length(encode(html)) AS BIGINT) AS size, md5(html) AS digest FROM files
+"""
+)
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site files as they appear in a folder tree."""
+    folder = write_files(site_files(spark, sf_dir))
+    files = stream_folder(spark, folder).select(
+        F.substring_index("path", "/" + folder.rsplit("/", 1)[1] + "/", -1).alias("rel"),
+        F.col("length").alias("size"),
+        F.md5("content").alias("digest"),
+    )
+    return drain(files).drop("batch")
+
+
 @query(f"SELECT {SQL_REL} AS rel, max(page_id) AS page_id, max_by(url, page_id) AS url FROM pages GROUP BY 1")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All hosts as one site; the last version of a path stays."""

@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -79,7 +80,7 @@ class Steps:
     the tables are rewritten as one, so deep loops do not open ever more files.
     """
 
-    def __init__(self, spark: SparkSession, label: str, schema: str, merge_every: int = 8):
+    def __init__(self, spark: SparkSession, label: str, schema: str | StructType, merge_every: int = 8):
         self.spark, self.schema, self.merge_every = spark, schema, merge_every
         self.folder = new_folder(spark, label)
         self.count = 0
