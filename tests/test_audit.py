@@ -14,70 +14,74 @@ class Site:
 
 
 SITES = {
-    "missing": Site({"index.html": '<a href="absent.html"><img src=gone.png><a href="#missing"><a href="#ok"><h1 id=ok>'}),
-    "schemes": Site(
+    # Pages of a tree that link up, down and across, with gaps.
+    "bakery": Site(
         {
-            "index.html": """<a href="https://ex.com/a"><a href="mailto:x@y"><a href="//cdn.ex.com/b#f"><img src="data:image/png,AA">
-            <script src=app.js>document.write('<a href="ghost.html">')</script>""",
-            "app.js": "",
+            "index.html": """<h1 id=welcome>Bakery</h1><a href="#welcome">top</a><a href="#opening-hours">hours</a>
+            <a href="breads/">breads</a><a href="order.html">order</a><img src=oven.jpg><img src="OVEN.jpg">""",
+            "breads/index.html": '<a href="rye.html">rye</a><a href="../">home</a><a href="/index.html?from=breads#welcome">up</a>',
+            "breads/rye.html": '<img src="../oven.jpg"><a href="index.html">all breads</a>',
         }
     ),
-    "escape": Site({"index.html": '<a href="../secret.html">'}),
-    "folders": Site(
+    # Links to elsewhere, and things that look like links.
+    "harbour": Site(
         {
-            "index.html": '<a href="docs/"><a href="?q=1"><a href="#">',
-            "docs/index.html": '<a href="page.html"><a href="../index.html">',
-            "docs/page.html": '<a href="/index.html">',
+            "index.html": """<a href="https://tides.example/today"><a href="//maps.example/pier"><a href="https:ferries">
+            <a href="http:berth.html"><a href="mailto:master@harbour.example"><a href="tel:112"><a href="about:blank">
+            <img src="data:image/gif,R0lG"><script src=crane.js>var fake = '<a href="sunk.html">';</script>""",
+            "berth.html": "",
+            "crane.js": "",
         }
     ),
-    "styles": Site(
+    "vault": Site({"index.html": '<a href="../../private/keys.txt">keys</a>'}),
+    # Bases inside, outside and above the site.
+    "atlas": Site(
         {
-            "index.html": """<link href=site.css><img srcset="ok.png 1x, gone.png 2x"><p style="background:url('miss-inline.png')">""",
-            "ok.png": "",
-            "site.css": '/* url("nope.png") */ @import "css/extra.css"; a{b:url(https://ex.com/f.woff)}',
-            "css/extra.css": "a{b:url(miss.png)} c{d:url(../ok.png)}",
+            "index.html": '<base href="maps/"><a href=north.html><a href="../deep/leak.html">',
+            "maps/north.html": '<base href="https://atlas.example/en/"><a href=legend.html><a href=/about.html><img src=rose.png>',
+            "deep/leak.html": '<base href="../../gone/"><img src=pic.png>',
         }
     ),
-    "forms": Site(
-        {"index.html": '<img src="img/a.png"><a href="cafe\u0301.html">', "Img/A.PNG": "", "caf\u00e9.html": ""}
-    ),
-    "spellings": Site(
+    "press": Site(
         {
-            "index.html": "<img src=missing.png><img src=Missing.PNG><a href=b.html>",
-            "b.html": "<img src=missing.png>",
+            "index.html": """<link rel=stylesheet href=print.css><td style="background:url('paper.png')">
+            <img srcset="data:image/gif;base64,R0,lGOD 1x, cover.png 2x, cover-big.png 3x">""",
+            "print.css": "/* url(old.png) */ @import 'type/fonts.css'; h1{src:url(https://type.example/serif.woff2)}",
+            "type/fonts.css": "b{src:url(..\\press\\ink.png)} i{src:url(../cover.png)}",
+            "cover.png": "",
+            "press/ink.png": "",
         }
     ),
-    "truncated page": Site({"index.html": '<a href="#bottom">'}, truncated=["index.html"]),
-    "remote base": Site({"index.html": '<base href="https://ex.com/sub/"><a href=a.html><a href=/b.html><img src=c.png>'}),
-    "local base": Site({"index.html": '<base href="files/"><a href=a.html>', "files/a.html": ""}),
-    "escaping base": Site(
-        {"index.html": '<a href="sub/index.html">', "sub/index.html": '<base href="../../out/"><img src="a.png">'}
-    ),
-    "odd schemes": Site(
-        {"index.html": '<a href="http:foo.html"><a href="https:foo"><a href="about:blank"><a href="tel:1">', "foo.html": ""}
+    "museum": Site(
+        {
+            "index.html": '<img src="Halls/Vase.JPG"><a href="o\u0308sterreich.html"><img src="halls\\urn.png">',
+            "halls/vase.jpg": "",
+            "halls/urn.png": "",
+            "\u00f6sterreich.html": "",
+        }
     ),
-    "data url": Site({"index.html": '<img srcset="data:image/png;base64,AA,BB 1x, gone.png 2x">'}),
-    "backslashes": Site(
+    "ferry": Site(
         {
-            "index.html": '<img src="img\\bar.png"><link href="s.css">',
-            "img/bar.png": "",
-            "s.css": "a{b:url(img\\plain.png)}",
-            "img/plain.png": "",
+            "index.html": '<a href="lines">lines</a><a href="stops/">stops</a><a href="piers/">piers</a>',
+            "lines/index.html": '<a href="night.html">night line</a>',
+            "lines/night.html": "",
+            "stops/plan.png": "",
         }
     ),
-    "no slash": Site({"index.html": '<a href="docs">', "docs/index.html": '<a href="page.html">', "docs/page.html": ""}),
-    "truncated sheet": Site({"index.html": "<link href=big.css>", "big.css": "a{}"}, truncated=["big.css"]),
-    "unreadable": Site(
-        {"index.html": "<a href=b.html><a href=b.html#x><a href=c.html>", "b.html": "", "c.html": '<a href="B.html">'},
-        unreadable=["b.html"],
+    "ledger": Site(
+        {"index.html": '<a href="#total"><link href=rows.css>', "rows.css": "td{}"}, truncated=["index.html", "rows.css"]
     ),
-    "unreadable entry": Site({"index.html": "<a href=b.html>", "b.html": ""}, unreadable=["index.html"]),
-    "many sources": Site({"index.html": "<img src=x.png>" * 30}),
-    "missing folders": Site({"index.html": '<a href="docs/"><a href="none/">', "docs/x.png": ""}),
-    "odd entry": Site({"start": "<img src=gone.png>"}, entry="start"),
-    "cycle": Site(
-        {"index.html": "<a href=a.html>", "a.html": "<a href=b.html><a href=a.html>", "b.html": "<a href=index.html>"}
+    "attic": Site(
+        {
+            "index.html": "<a href=box.html><a href=BOX.html#lid><a href=shelf.html>",
+            "box.html": "",
+            "shelf.html": "<a href=./box.html>",
+        },
+        unreadable=["box.html"],
     ),
+    "sealed": Site({"index.html": "<a href=inside.html>", "inside.html": ""}, unreadable=["index.html"]),
+    "wall": Site({"index.html": "<img src=brick.gif>" * 45}),
+    "kiosk": Site({"welcome": "<video poster=still.jpg></video>"}, entry="welcome"),
 }
 
 
@@ -118,124 +122,82 @@ def site(spark):
     return lambda name: Result(audited, name)
 
 
-def test_missing_page_image_and_anchor(site):
-    found = site("missing")
-    assert found.broken == [("absent.html", "missing", 1), ("gone.png", "missing", 1), ("index.html#missing", "anchor", 1)]
-    assert found.report["verdict"] == "broken"
+def test_gaps_in_a_tree_of_pages(site):
+    found = site("bakery")
+    assert found.pages == ["index.html", "breads/index.html", "breads/rye.html"]
+    assert found.levels == {"index.html": 0, "breads/index.html": 1, "breads/rye.html": 2}
+    # In the order they were met, spellings together, absent anchors last.
+    assert found.broken == [("order.html", "missing", 1), ("oven.jpg", "missing", 3), ("index.html#opening-hours", "anchor", 1)]
+    assert found.sources["oven.jpg"] == [("index.html", "oven.jpg"), ("index.html", "OVEN.jpg"), ("breads/rye.html", "../oven.jpg")]
+    assert (found.report["verdict"], found.report["broken_links"]) == ("broken", 5)
 
 
-def test_external_and_other_schemes(site):
-    found = site("schemes")
-    assert found.broken == []
-    assert (found.report["external"], found.report["pages"], found.report["verdict"]) == (2, 1, "clean")
+def test_links_to_elsewhere(site):
+    found = site("harbour")
+    assert (found.broken, found.pages) == ([], ["index.html", "berth.html"])
+    assert (found.report["external"], found.report["reached"], found.report["verdict"]) == (3, 3, "clean")
 
 
-def test_escapes(site):
-    assert site("escape").broken == [("../secret.html", "escape", 1)]
+def test_links_above_the_site(site):
+    assert site("vault").broken == [("../../private/keys.txt", "escape", 1)]
 
 
-def test_directories_and_parents(site):
-    found = site("folders")
-    assert found.broken == []
-    assert found.pages == ["index.html", "docs/index.html", "docs/page.html"]
+def test_bases(site):
+    found = site("atlas")
+    assert (found.report["external"], found.report["reached"]) == (3, 3)
+    assert found.broken == [("../gone/", "escape", 1), ("../gone/pic.png", "escape", 1)]
 
 
-def test_srcset_styles_and_imports(site):
-    found = site("styles")
-    assert {b[0] for b in found.broken} == {"gone.png", "miss-inline.png", "css/miss.png"}
-    assert found.sheets == ["site.css", "css/extra.css"]
-    assert found.report["external"] == 1
+def test_styles_sources_and_imports(site):
+    found = site("press")
+    assert {b[:2] for b in found.broken} == {("cover-big.png", "missing"), ("paper.png", "missing")}
+    assert found.sheets == ["print.css", "type/fonts.css"]
+    assert (found.report["external"], found.report["reached"]) == (1, 5)
 
 
-def test_case_and_unicode_forms(site):
-    found = site("forms")
+def test_names_in_other_forms(site):
+    found = site("museum")
     assert found.broken == []
-    assert (found.report["reached"], found.report["files"]) == (3, 3)
+    assert found.report["reached"] == found.report["files"] == 4
 
 
-def test_spellings_are_one_group(site):
-    found = site("spellings")
-    assert found.broken == [("missing.png", "missing", 3)]
-    assert found.sources["missing.png"] == [("index.html", "missing.png"), ("index.html", "Missing.PNG"), ("b.html", "missing.png")]
+def test_folders_with_and_without_a_slash(site):
+    found = site("ferry")
+    assert found.broken == [("stops/index.html", "missing", 1), ("piers", "missing", 1), ("night.html", "missing", 1)]
+    assert found.sources["night.html"] == [("lines", "night.html")]
+    assert "lines/night.html" not in found.pages
 
 
-def test_truncated_page_has_no_verdict_on_anchors(site):
-    found = site("truncated page")
+def test_cut_documents_leave_the_verdict_open(site):
+    found = site("ledger")
     assert found.broken == []
-    assert (found.report["verdict"], found.report["truncated"]) == ("incomplete", 1)
-
-
-def test_remote_and_local_bases(site):
-    assert (site("remote base").broken, site("remote base").report["external"]) == ([], 3)
-    assert site("local base").broken == []
-
-
-def test_escaping_base_is_a_broken_link(site):
-    found = site("escaping base")
-    assert found.broken == [("../out/", "escape", 1), ("../out/a.png", "escape", 1)]
-    assert found.report["broken_links"] == 2
-
-
-def test_schemes(site):
-    found = site("odd schemes")
-    assert (found.broken, found.report["external"], found.report["reached"]) == ([], 1, 2)
+    assert [found.report[k] for k in ("truncated", "stylesheets", "verdict")] == [2, 1, "incomplete"]
 
 
-def test_data_url_in_srcset(site):
-    assert site("data url").broken == [("gone.png", "missing", 1)]
-
-
-def test_backslashes(site):
-    found = site("backslashes")
-    assert (found.broken, found.report["reached"]) == ([], 4)
-
-
-def test_folder_without_slash_resolves_from_its_parent(site):
-    found = site("no slash")
-    assert found.broken == [("page.html", "missing", 1)]
-    assert found.sources["page.html"] == [("docs", "page.html")]
-    assert "docs/page.html" not in found.pages
-
-
-def test_truncated_stylesheet(site):
-    report = site("truncated sheet").report
-    assert (report["truncated"], report["stylesheets"], report["verdict"]) == (1, 1, "incomplete")
-
-
-def test_unreadable_files(site):
-    assert site("unreadable").broken == [("b.html", "unreadable", 3)]
-    lost = site("unreadable entry")
+def test_documents_that_cannot_be_read(site):
+    assert site("attic").broken == [("box.html", "unreadable", 3)]
+    lost = site("sealed")
     assert lost.broken == [("index.html", "unreadable", 1)]
     assert lost.sources["index.html"] == [("entr\u00e9e", "index.html")]
 
 
-def test_only_twenty_sources_are_kept_and_all_counted(site):
-    found = site("many sources")
-    assert found.broken == [("x.png", "missing", 30)]
-    assert len(found.sources["x.png"]) == 20
-
-
-def test_missing_folder_names_its_index(site):
-    assert site("missing folders").broken == [("docs/index.html", "missing", 1), ("none", "missing", 1)]
-
-
-def test_entry_of_unknown_kind_is_read_as_html(site):
-    found = site("odd entry")
-    assert (found.broken, found.report["pages"]) == ([("gone.png", "missing", 1)], 1)
+def test_sources_are_shown_up_to_the_limit_and_all_counted(site):
+    found = site("wall")
+    assert found.broken == [("brick.gif", "missing", 45)]
+    assert len(found.sources["brick.gif"]) == 20
 
 
-def test_cycles_end(site):
-    found = site("cycle")
-    assert found.pages == ["index.html", "a.html", "b.html"]
-    assert found.levels == {"index.html": 0, "a.html": 1, "b.html": 2}
+def test_an_entry_of_unknown_kind_is_read_as_html(site):
+    found = site("kiosk")
+    assert (found.broken, found.report["pages"]) == ([("still.jpg", "missing", 1)], 1)
 
 
-def test_site_without_entry_starts_from_its_pages_in_natural_order(spark):
-    files = [("s", "10.html", "<a href=x.png>"), ("s", "2.html", "<a href=deep/a.html>"), ("s", "deep/a.html", "")]
+def test_seeds_in_natural_order(spark):
+    files = [("s", "12-end.html", "<a href=x.png>"), ("s", "3-middle.html", "<a href=more/notes.html>"), ("s", "more/notes.html", "")]
     docs = spark.createDataFrame([(*f, True, False) for f in files], SCHEMA)
     seeds = ordering.seed_pages(docs, ["index.html"]).withColumnRenamed("rel", "entry")
     run = crawl.crawl(docs, docs.select("site", "rel"), seeds)
-    assert [r["file"] for r in run.pages().orderBy("pos").collect()] == ["2.html", "10.html", "deep/a.html"]
+    assert [r["file"] for r in run.pages().orderBy("pos").collect()] == ["3-middle.html", "12-end.html", "more/notes.html"]
 
 
 @pytest.mark.parametrize("edges, want", [([(1, 2), (2, 3), (3, 1), (4, 5)], {1: 0, 2: 1, 3: 2}), ([(2, 1)], {1: 0})])
