@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from sitelake.llm.batches import by_size
 
 #: Words whose encoding a worker remembers; beyond it the memory starts anew.
-MEMORY_WORDS = 200_000
+MEMORY_WORDS = 400_000
+#: Pairs of neighbouring tokens whose compatibility it remembers.
+MEMORY_PAIRS = 1_000_000
 ENDS = 256
 
 
@@ -71,23 +73,29 @@ def _letters() -> list[str]:
     return out
 
 
-class Encoder:
-    """Exact merges of one word at a time, in linear time, with a bounded memory."""
+class Encoder(dict):
+    """Exact merges of one word at a time, in linear time, with a bounded memory.
+
+    It maps the words met so far to their ids.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
         self.v = vocabulary
-        self.known: dict[str, bytes] = {}
         self.find = regex.compile(vocabulary.pattern).findall
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")").split
         self.trie = ahocorasick.Automaton()
         for token, text in enumerate(vocabulary.text):
             self.trie.add_word(text, token)
         self.trie.make_automaton()
+        self.size = [len(text) for text in vocabulary.text]
+        self.shorter = [self._shorter(text) for text in vocabulary.text]
+        self.raw = [i.to_bytes(4, "little") for i in vocabulary.ids]
+        self.fits: dict[tuple[int, int], bool] = {}
         self.blob = np.frombuffer(vocabulary.blob, np.uint8)
 
-    def shorter(self, token: int) -> int | None:
+    def _shorter(self, text: str) -> int | None:
         """The longest token that is a proper prefix of this one."""
-        text = self.v.text[token]
         for end in range(len(text) - 1, 0, -1):
             found = self.trie.get(text[:end], None)
             if found is not None:
@@ -119,50 +127,57 @@ class Encoder:
                     if left == limit:
                         return True
 
-    def word(self, word: str) -> bytes:
-        """The ids of one word as little-endian 32-bit integers."""
+    def tokens(self, word: str) -> list[int]:
+        """The tokens of one word."""
         raw = word.encode("utf-8", "surrogatepass")
         symbols = raw[:-1].decode("latin-1") + chr(ENDS + raw[-1])
-        text = self.v.text
-        longest: list[int] = [0] * len(symbols)
+        size, shorter, fits, length = self.size, self.shorter, self.fits, len(symbols)
+        longest: list[int] = [0] * length
         for end, token in self.trie.iter(symbols):
-            longest[end - len(text[token]) + 1] = token
+            longest[end + 1 - size[token]] = token
         tokens: list[int] = []
-        dead = bytearray(len(symbols) + 1)
-        at, token = 0, longest[0]
-        while at < len(symbols):
-            end = at + len(text[token])
-            if not dead[end] and (not tokens or self.compatible(tokens[-1], token)):
-                tokens.append(token)
-                at = end
-                if at < len(symbols):
-                    token = longest[at]
-                continue
-            less = self.shorter(token)
+        dead = bytearray(length + 1)
+        at, token, last = 0, longest[0], -1
+        while at < length:
+            end = at + size[token]
+            if not dead[end]:
+                fit = last < 0 or fits.get((last, token))
+                if fit is None:
+                    fit = fits[last, token] = self.compatible(last, token)
+                if fit:
+                    tokens.append(token)
+                    at, last = end, token
+                    if at < length:
+                        token = longest[at]
+                    continue
+            less = shorter[token]
             while less is None:  # no token fits here: take back the one before
                 dead[at] = 1
-                last = tokens.pop()
-                at -= len(text[last])
-                less = self.shorter(last)
+                tokens.pop()
+                at -= size[last]
+                less = shorter[last]
+                last = tokens[-1] if tokens else -1
             token = less
-        ids = self.v.ids
-        return np.array([ids[t] for t in tokens], "<u4").tobytes()
+        return tokens
+
+    def __missing__(self, word: str) -> bytes:
+        ids = b"".join([self.raw[t] for t in self.tokens(word)])
+        if len(self) >= MEMORY_WORDS:
+            self.clear()
+        if len(self.fits) >= MEMORY_PAIRS:
+            self.fits.clear()
+        if len(word) < 64:
+            self[word] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
         for piece in self.special(text or ""):
             if piece in self.v.special:
                 out.append(self.v.special[piece].to_bytes(4, "little"))
-                continue
-            for word in self.find(_normal(piece)):
-                ids = self.known.get(word)
-                if ids is None:
-                    if len(self.known) >= MEMORY_WORDS:
-                        self.known.clear()
-                    ids = self.word(word)
-                    if len(word) < 64:
-                        self.known[word] = ids
-                out.append(ids)
+            else:
+                out += map(self.__getitem__, self.find(_normal(piece)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
