@@ -15,9 +15,11 @@ from sitelake.session import stage
 
 #: Neighbours of a node, and nodes that may count it among theirs.
 DEGREE = 28
-#: Orders of the vectors that the first graph is read from, and the runs cut from them.
-ORDERS = 8
-RUN = 1024
+#: Orders of the vectors that the first graph is read from, the runs cut from them,
+#: and the neighbours that each order but the first contributes.
+ORDERS = 16
+RUN = 2048
+PER_ORDER = 12
 ROUNDS = 2
 #: Partners that a node names to each of its neighbours in a round.
 PARTNERS = 8
@@ -136,15 +138,17 @@ def first_graph(small: DataFrame, degree: int, orders: int = ORDERS, run_length:
             while len(rest) >= 2 * run_length:
                 yield from runs(rest.iloc[:run_length])
                 rest = rest.iloc[run_length:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield from runs(rest)
+        if rest is not None:
+            half = -(-len(rest) // 2) if len(rest) > run_length else len(rest)
+            for at in range(0, len(rest), max(half, 1)):
+                yield from runs(rest.iloc[at : at + half])
 
     def runs(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for _, part in frame.groupby("turn"):
+        for turn, part in frame.groupby("turn"):
             ids, x = part["id"].to_numpy(np.int64), _loose(part["q"], part["scale"])
             scores = x @ x.T
             np.fill_diagonal(scores, -np.inf)
-            row, column = best_rows(scores, ids, degree)
+            row, column = best_rows(scores, ids, degree if turn == 0 else min(degree, PER_ORDER))
             records = np.empty(len(row), RECORD)
             records["id"], records["score"] = ids[column], scores[row, column]
             yield pd.DataFrame({"id": ids, "near": _packed(records, row, len(ids))})
