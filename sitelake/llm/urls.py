@@ -104,9 +104,11 @@ def _judged(frame: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds ``rule`` and ``_own``, the verdict of the longest rule that fits.
 
     Rules meet the distinct hosts only. The domains above a host and the rules of
-    a domain bound the list that a host carries.
+    a domain bound the list that a host carries. These lists are written out:
+    by their true size Spark broadcasts them, and a crowded host stays where it
+    is, or joins on the host and splits it.
     """
-    of = _host_rules(frame.select("host").distinct(), rules).withColumnRenamed("host", "_host")
+    of = stage(_host_rules(frame.select("host").distinct(), rules), "url-hosts").withColumnRenamed("host", "_host")
     fits = F.filter("_rules", lambda r: F.startswith(F.col("path"), r.path))
     best = F.get(fits, 0)
     return (
