@@ -20,11 +20,11 @@ DEGREE = 28
 ORDERS = 16
 RUN = 2048
 PER_ORDER = 12
-ROUNDS = 2
+#: Descent ends with the round that replaces at most this share of the neighbours.
+SETTLED = 0.001
 #: Partners that a node names to each of its neighbours in a round.
 PARTNERS = 8
-#: Search: rounds, nodes expanded in each, and the best found that are kept.
-HOPS = 4
+#: Search: nodes expanded in a hop, and the best found that are kept.
 EXPAND = 24
 BEAM = 96
 #: Vectors that the cuts of the orders are set by.
@@ -242,11 +242,33 @@ def _introductions(ids: np.ndarray, x: np.ndarray, sizes: np.ndarray, partners:
     return ids, lists
 
 
-def build_graph(small: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """``id, near`` of every node; each round is written before the next begins."""
-    graph = stage(first_graph(small, degree), "neighbours-0")
-    for i in range(rounds):
-        graph = stage(descend(graph, small, degree), f"neighbours-{i + 1}")
+def replaced(before: DataFrame, after: DataFrame) -> float:
+    """The share of the records of ``after`` that ``before`` lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = size = 0
+            for old, now in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = np.frombuffer(now, RECORD)["id"].tolist()
+                new += len(set(ids).difference(np.frombuffer(old or b"", RECORD)["id"].tolist()))
+                size += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array([new]), pa.array([size])], ["new", "size"])
+
+    pairs = after.withColumnRenamed("near", "_now").join(before, "id", "left").select("near", "_now")
+    new, size = pairs.mapInArrow(run, "new long, size long").agg(F.sum("new"), F.sum("size")).first()
+    return new / size if size else 0.0
+
+
+def build_graph(small: DataFrame, degree: int = DEGREE, settled: float = SETTLED) -> DataFrame:
+    """``id, near`` of every node; each round is written before the next begins.
+
+    Lists only ever improve, so rounds come to an end.
+    """
+    graph, share, turn = stage(first_graph(small, degree), "neighbours-0"), 1.0, 0
+    while share > settled:
+        turn += 1
+        before, graph = graph, stage(descend(graph, small, degree), f"neighbours-{turn}")
+        share = replaced(before, graph)
     return graph
 
 
@@ -291,16 +313,17 @@ def nearest(
     vec_id: str = "vec_id",
     embedding: str = "embedding",
     degree: int = DEGREE,
-    rounds: int = ROUNDS,
-    hops: int = HOPS,
+    settled: float = SETTLED,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: about the ``k`` largest inner products.
 
-    NN-descent builds a graph over all vectors. Queries, rows that ``is_query`` (a
+    NN-descent builds a graph over all vectors, in rounds until one replaces no more
+    than a share ``settled`` of the neighbours. Queries, rows that ``is_query`` (a
     condition on ``vec_id``) holds for, start at their own node and move greedily:
     in each hop the best nodes found but not yet expanded name their neighbours,
-    and the best of all found are kept. All queries hop together, as joins. The
-    best found are scored anew in double precision on the original vectors.
+    and the best of all found are kept. Queries hop together, as joins, each until
+    all that it keeps have been expanded. The best found are scored anew in double
+    precision on the original vectors.
 
     Ties go to smaller ids. Vectors that are null, zero or hold null or non-finite
     components take no part, nor do rows without an id; rows that repeat an id
@@ -314,7 +337,7 @@ def nearest(
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     small = stage(compact(vectors, width), "nearest-compact")
-    graph = build_graph(small, degree, rounds)
+    graph = build_graph(small, degree, settled)
     # A node always leads to all its neighbours, even where a hub does not know it.
     links = stage(both_ways(mutual(graph, degree), edges(graph)).distinct(), "nearest-links")
 
@@ -337,7 +360,8 @@ def nearest(
                 }
             )
 
-    for hop in range(hops):
+    ended, hop = spark.createDataFrame([], schema), 0
+    while not state.isEmpty():
         reached = (
             state.select("query_id", "next")
             .mapInPandas(spread, "query_id long, center long")
@@ -348,7 +372,9 @@ def nearest(
             .select("query_id", "node", "q", "scale")
         )
         moved = state.groupBy("query_id").cogroup(reached.groupBy("query_id"))
-        state = stage(moved.applyInPandas(_advance(BEAM), schema), f"nearest-hop-{hop}")
+        moved = stage(moved.applyInPandas(_advance(BEAM), schema), f"nearest-hop-{hop}")
+        at_end = F.octet_length("next") == 0
+        ended, state, hop = ended.union(moved.filter(at_end)), moved.filter(~at_end), hop + 1
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -360,7 +386,7 @@ def nearest(
                 }
             )
 
-    pairs = state.select("query_id", "found").mapInPandas(best, "query_id long, vec_id long")
+    pairs = ended.select("query_id", "found").mapInPandas(best, "query_id long, vec_id long")
     asked = vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("_q"))
     product = F.aggregate(
         F.zip_with("_q", "v", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda t, x: t + x

@@ -43,6 +43,19 @@ def test_neighbour_recall(spark):
     assert hit / (20 * len(got)) >= 0.9
 
 
+def test_neighbour_recall_over_many_runs(spark, monkeypatch):
+    # 125 runs in each of two orders: the graph and the search find the rest.
+    monkeypatch.setattr(neighbours.first_graph, "__defaults__", (2, 64))
+    x = np.random.default_rng(6).normal(size=(8000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    rows = neighbours.nearest(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0, 20).collect()
+    exact = x[::20] @ x.T
+    exact[np.arange(400), np.arange(0, 8000, 20)] = -2
+    best = np.argsort(-exact, axis=1)[:, :20]
+    assert len(rows) == 20 * 400
+    assert sum(r.vec_id in best[r.query_id // 20] for r in rows) / len(rows) >= 0.95
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = neighbours.nearest(frame(spark, odd_vectors()), F.col("vec_id") >= 0, 20).collect()
     there = {5: (1, 2), 6: (1, 0), 7: (1, 2), 9: (-3, 0.5)}
