@@ -296,16 +296,14 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group, with all its columns.
 
-    It is the row whose id names the group; rows that repeat that id leave the
-    first by text. Ids are taken to name documents: rows without an id cannot be
-    told apart and stay as they are.
+    The row with the smallest id stays, ids before nulls, then by fingerprint and
+    text hash. Rows are told apart by place, so ids may repeat or be null.
     """
-    groups = near_duplicates(docs.filter(F.col(doc_id).isNotNull()), doc_id, text)
-    kept = groups.select(F.col("component_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(doc_id) == F.col("_kept"), "left_semi")
-    again = rows.groupBy(F.col(doc_id).alias("_again")).count().filter("count > 1").select("_again")
-    single = rows.join(again, F.col(doc_id) == F.col("_again"), "left_anti")
-    repeated = rows.join(again, F.col(doc_id) == F.col("_again"), "left_semi")
-    first = repeated.groupBy(doc_id).agg(F.min(F.struct(F.col(text).alias("_first"), *docs.columns)).alias("_row"))
-    unnamed = docs.filter(F.col(doc_id).isNull())
-    return single.union(first.select(*[F.col(f"_row.`{c}`") for c in docs.columns])).union(unnamed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = stage(docs.select(row, F.monotonically_increasing_id().alias("at")), "simhash-rows")
+    own, words = F.col("row").getField(doc_id), F.col("row").getField(text)
+    groups = near_duplicates(rows.select("at", words.alias("text")), "at", "text")
+    order = F.struct(own.isNull(), own, "fp", F.xxhash64(words), "at").alias("order")
+    placed = rows.join(groups, F.col("at") == F.col("doc_id"))
+    kept = placed.select("component_id", order).groupBy("component_id").agg(F.min("order").getField("at").alias("at"))
+    return rows.join(kept.select("at"), "at", "left_semi").select("row.*")

@@ -3,6 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
+from sitelake.llm import simhash
 from tests.llm import helpers
 
 DOCS = "doc_id long, text string"
@@ -47,3 +48,10 @@ def test_chains_within_a_band_are_one_group(spark):
     rows = [(i, " ".join(words[10 * i : 10 * i + 200])) for i in range(20)]
     want = helpers.groups([(a, b) for a, s in rows for b, t in rows if jaccard(s, t) >= 0.8])
     assert {r.doc_id for r in stage_of(spark, rows)} == set(want.values())
+
+
+def test_rows_are_told_apart_without_ids(spark):
+    x, y, z = (" ".join(f"{c}{n}" for n in range(40)) for c in "xyz")
+    rows = [(5, z), (5, y), (2, y), (None, x), (None, x), (None, y)]
+    for kept in (stage_of(spark, rows), simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()):
+        assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, x), (2, y), (5, z)]
