@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelake.llm import bpe, langid, mixing, neighbours, ngrams, pii, quality, simhash, topk, urls
+from sitelake.llm import alignment, bpe, langid, mixing, neighbours, ngrams, phrases, pii, quality, secretscan, simhash
+from sitelake.llm import topk, urls
 from sitelake.llm.vectors import usable
 from sitelake.plans.register import Plan
 from sitelake.plans.tables import table
@@ -14,6 +15,7 @@ from sitelake.plans.tables import table
 plan = Plan()
 
 TOKENIZER = "word_bpe_49k.json"
+TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -181,4 +183,67 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan.query()
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secretscan.detect(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.base)
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return rows.select(
+        "doc_id",
+        *[number(kind) for kind in secretscan.KINDS],
+        F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
+        _listed(F.col("spans")).alias("spans"),
+    )
+
+
+SQL_PHRASES = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+n AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM p, (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k),
+f AS (
+  SELECT lang, k, phrase, count(*)::BIGINT AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase HAVING count(*) >= 10),
+c AS (
+  SELECT lang, k, phrase, f AS a, w, cut, array_to_string(w[:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y
+  FROM f, (VALUES (1), (2)) s(cut) WHERE k > 1 AND cut < k),
+m AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.f AS l, r.f AS r,
+         ((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.phrase = c.y),
+b AS (
+  SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM f WHERE k = 3)
+  GROUP BY lang, phrase),
+kept AS (
+  SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase AND b.k = 2
+  WHERE o.f IS NULL OR 100 * o.f < 50 * b.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+       phrase, a, l, r, n.n, score
+FROM kept JOIN n ON n.lang = kept.lang
+QUALIFY row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+
+@plan.query(SQL_PHRASES)
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@plan.query()
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in (TOKENIZER_A, TOKENIZER_B)]
+    rows = alignment.align(table(spark, sf_dir, "documents"), *paths, digest=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES, ORACLE = plan.queries, plan.oracle
