@@ -16,8 +16,8 @@ from sitelake.session import stage
 
 #: Words of the longest phrases and the occurrences that make a candidate.
 WORDS, LEAST = 3, 10
-#: Words that a shard's index holds, about.
-SHARD = 2_000_000
+#: Bytes of text that a shard indexes, about.
+SHARD = 8_000_000
 #: A phrase goes if a longer one has at least this share of its occurrences, in percent.
 SHARE = 50
 #: Phrases reported of a language.
@@ -26,20 +26,31 @@ UNKNOWN = "und"
 #: Bits of the table that keeps hopeless phrases from being shuffled; fixed, so
 #: that its size does not grow with the data.
 SIEVE_BITS = 26
+#: Bits of the numbers by which phrases are counted before their words are sent.
+KEY_BITS = 40
+#: Rows of a batch that a shard sends.
+BATCH = 200_000
 
-# Characters that end a piece, and the byte that stands for them
-# (it occurs in no UTF-8 text).
+# Characters that end a piece; one of them stands for all.
 ENDS = b".,;:!?\n\x0b\x0c\r"
-END = b"\xff"
+END = b"\n"
 _TABLE = bytes(END[0] if i in ENDS else 32 if i == 9 else i for i in range(256))
 
 
 # --- the index of a shard ---------------------------------------------------
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words, A-Z in lower case, with ``END`` after every piece."""
-    return (text.lower().translate(_TABLE) + END).replace(END, b" \xff ").split()
+def words_of(text: bytes) -> pa.Array:
+    """Words, A-Z in lower case, with ``END`` after every piece, as an Arrow array."""
+    raw = np.frombuffer(text.lower().translate(_TABLE) + END, np.uint8)
+    held, ends = raw != 32, raw == END[0]
+    begins = held.copy()
+    begins[1:] &= ~held[:-1] | ends[1:] | ends[:-1]
+    # Without the spaces, the words lie one after another.
+    places = np.cumsum(held) - 1
+    offsets = np.append(places[begins], places[-1] + 1).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(raw[held])]
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
 
 
 def _sorted_rows(keys: np.ndarray) -> np.ndarray:
@@ -99,9 +110,9 @@ class Index:
     _steps: dict[str, np.ndarray] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, words: list[bytes], depth: int) -> "Index":
+    def of(cls, words: pa.Array, depth: int) -> "Index":
         """The index of ``words``, in which ``END`` closes every piece."""
-        coded = pa.array([END, *words], pa.binary()).dictionary_encode()
+        coded = pa.chunked_array([pa.array([END], pa.binary()), words]).combine_chunks().dictionary_encode()
         ids = coded.indices.to_numpy()[1:].astype(np.int32)
         back = ids[::-1]
         return cls(
@@ -175,47 +186,40 @@ class Index:
 # --- the sieve --------------------------------------------------------------
 
 
-def _hashes(lang: str, names: list[bytes]) -> np.ndarray:
+def _word_hashes(lang: str, names: list[bytes]) -> np.ndarray:
     lead = lang.encode() + b"\x00"
     return np.fromiter((xxhash.xxh64_intdigest(lead + n) for n in names), np.uint64, len(names))
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    """Slot of each phrase from the hashes of its words, one column per word."""
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    """A number of ``KEY_BITS`` for each phrase, from the hashes of its words, one column per word."""
     total = np.full(len(hashes), hashes.shape[1], np.uint64)
     for column in hashes.T:
         total = (total ^ column) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
-    return total >> np.uint64(64 - SIEVE_BITS)
+    return total >> np.uint64(64 - KEY_BITS)
 
 
-def _sieve(phrases: DataFrame, size: int) -> np.ndarray:
-    """Bits of the slots that ``phrases`` (lang, phrase) of ``size`` words fall into."""
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            frame = batch.to_pandas()
-            for lang, part in frame.groupby("lang"):
-                names = [w for p in part["phrase"] for w in p.encode().split(b" ")]
-                at = np.unique(_slots(_hashes(lang, names).reshape(-1, size))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at)], ["slot"])
-
-    found = phrases.mapInArrow(slots, "slot long")
-    word = F.expr("bit_or(shiftleft(1L, int(slot & 63)))")
-    rows = found.groupBy(F.shiftright("slot", 6).alias("at")).agg(word.alias("bits")).toPandas()
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """Bits of the slots, the leading bits of a key, that ``keys`` fall into."""
+    slot = F.shiftright("key", KEY_BITS - SIEVE_BITS)
+    words = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at"))
+    rows = words.agg(F.expr("bit_or(shiftleft(1L, int(slot & 63)))").alias("bits")).toPandas()
     bits = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
     bits[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return bits.view(np.uint64)
 
 
-def _passes(sieve: np.ndarray, slots: np.ndarray) -> np.ndarray:
+def _passes(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slots = _keys(hashes) >> np.uint64(KEY_BITS - SIEVE_BITS)
     return (sieve[(slots >> np.uint64(6)).astype(np.int64)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 # --- shards as rows ---------------------------------------------------------
 
 _SHARDS = "lang string, total long, names binary, left binary, right binary"
-_COUNTS = "lang string, phrase string, n long, begins long, ends long"
+_COUNTS = "lang string, phrase string, size int, n long, begins long, ends long"
+_NAMES = ["lang", "phrase", "size", "n", "begins", "ends"]
 
 
 def shards(docs: DataFrame, lang: str = "lang", text: str = "text", words: int = WORDS, size: int = SHARD) -> DataFrame:
@@ -225,10 +229,9 @@ def shards(docs: DataFrame, lang: str = "lang", text: str = "text", words: int =
     is shuffled; a text longer than a shard has one of its own.
     """
 
-    def row(lang: str, held: list[list[bytes]]) -> pa.RecordBatch:
-        flat = [w for part in held for w in part]
-        index = Index.of(flat, words)
-        total = len(flat) - int(index.counts()[0])
+    def row(lang: str, texts: list[bytes]) -> pa.RecordBatch:
+        index = Index.of(words_of(END.join(texts)), words)
+        total = int(index.counts()[1:].sum())
         blobs = [END.join(index.names[1:]), index.left.tobytes(), index.right.tobytes()]
         columns = [[lang], [total], *[[b] for b in blobs]]
         kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -237,19 +240,19 @@ def shards(docs: DataFrame, lang: str = "lang", text: str = "text", words: int =
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[list[bytes]]] = {}
+        held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for name, value in zip(langs, batch.column(1).cast(pa.binary()), strict=True):
-                if value.is_valid and len(found := words_of(value.as_py())) > 1:
-                    held.setdefault(name, []).append(found)
-                    sizes[name] = sizes.get(name, 0) + len(found)
+                if value.is_valid and len(raw := value.as_py()):
+                    held.setdefault(name, []).append(raw)
+                    sizes[name] = sizes.get(name, 0) + len(raw) + 1
                     if sizes[name] >= size:
                         yield row(name, held.pop(name))
                         sizes[name] = 0
-        for name, parts in held.items():
-            yield row(name, parts)
+        for name, texts in held.items():
+            yield row(name, texts)
 
     language = F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang")
     return docs.select(language, F.col(text).alias("text")).mapInArrow(run, _SHARDS)
@@ -260,37 +263,64 @@ def _loaded(row: dict) -> Index:
     return Index(names, np.frombuffer(row["left"], np.int32), np.frombuffer(row["right"], np.int32))
 
 
-def _counted(indexes: DataFrame, size: int, sieves: list) -> DataFrame:
-    """``lang, phrase, n, begins, ends`` of phrases of ``size`` words, a row per shard.
+def _levels(index: Index, hashes: np.ndarray, sieves: list) -> Iterator[Nodes]:
+    """Phrases of one word, of two and so on, that may still be frequent enough.
 
-    ``sieves[k]`` says which phrases of ``k + 1`` words may still lead to candidates:
-    every part of a candidate is as frequent as the candidate.
+    ``sieves[k]`` says which phrases of ``k + 1`` words may: every part of a
+    frequent phrase is at least as frequent. The last level has passed none yet.
     """
+    nodes = index.singles()
+    for shared in sieves:
+        nodes = nodes.take(_passes(shared.value, hashes[nodes.words]))
+        yield nodes
+        nodes = index.extend(nodes)
+        # The part without the first word; the one without the last has passed.
+        nodes = nodes.take(_passes(shared.value, hashes[nodes.words[:, 1:]]))
+    yield nodes
+
+
+def _frequent(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
+    """Keys of phrases, one word longer than the last sieve's, that may occur ``least`` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                index = _loaded(row)
+                hashes = _word_hashes(row["lang"], index.names)
+                *_, nodes = _levels(index, hashes, sieves)
+                keys = _keys(hashes[nodes.words]).view(np.int64)
+                yield from _sliced(["key", "n"], [pa.array(keys), pa.array(nodes.count, pa.int64())])
+
+    keyed = indexes.mapInArrow(run, "key long, n long")
+    return keyed.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
+
+
+def _counted(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
+    """``lang, phrase, size, n, begins, ends`` of all frequent phrases, summed over the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 index = _loaded(row)
-                hashes = _hashes(row["lang"], index.names) if sieves else None
-                nodes = index.singles()
-                for k, shared in enumerate(sieves):
-                    nodes = nodes.take(_passes(shared.value, _slots(hashes[nodes.words])))
-                    nodes = index.extend(nodes)
-                    # The part without the first word; the one without the last has passed.
-                    nodes = nodes.take(_passes(shared.value, _slots(hashes[nodes.words[:, 1:]])))
                 names = pa.array(index.names, pa.binary())
-                parts = [names.take(pa.array(column)) for column in nodes.words.T]
-                phrase = parts[0] if size == 1 else pc.binary_join_element_wise(*parts, b" ")
-                begins, ends = index.edges(nodes)
-                columns = [
-                    pa.array([row["lang"]] * len(phrase), pa.string()),
-                    phrase.cast(pa.string()),
-                    *[pa.array(c, pa.int64()) for c in (nodes.count, begins, ends)],
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n", "begins", "ends"])
+                hashes = _word_hashes(row["lang"], index.names)
+                for nodes in _levels(index, hashes, sieves):
+                    parts = [names.take(pa.array(column)) for column in nodes.words.T]
+                    phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, b" ")
+                    lang = pa.array([row["lang"]] * len(phrase), pa.string())
+                    size = pa.array(np.full(len(phrase), len(parts)), pa.int32())
+                    numbers = [pa.array(c, pa.int64()) for c in (nodes.count, *index.edges(nodes))]
+                    yield from _sliced(_NAMES, [lang, phrase.cast(pa.string()), size, *numbers])
 
     summed = [F.sum(c).cast("long").alias(c) for c in ("n", "begins", "ends")]
-    return indexes.mapInArrow(run, _COUNTS).groupBy("lang", "phrase").agg(*summed)
+    counted = indexes.mapInArrow(run, _COUNTS).groupBy("lang", "phrase", "size").agg(*summed)
+    return counted.filter(F.col("n") >= least)
+
+
+def _sliced(names: list[str], columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    batch = pa.RecordBatch.from_arrays(columns, names)
+    for at in range(0, len(batch), BATCH):
+        yield batch.slice(at, BATCH)
 
 
 @dataclass
@@ -312,21 +342,18 @@ def count_phrases(
     """All phrases of up to ``words`` words with at least ``least`` occurrences.
 
     ``begins`` and ``ends`` are the occurrences at the edges of a piece, which have
-    no extension on that side. One pass indexes the texts; one pass over the
-    indexes per length extends the phrases that are still frequent enough.
+    no extension on that side. One pass indexes the texts. For each length but the
+    last, a pass over the indexes counts phrases by their keys, to learn which may
+    be frequent; the last pass sends those with their words, and all that they
+    extend to, and counts exactly.
     """
     spark = docs.sparkSession
     indexes = stage(shards(docs, lang, text, words, size), "phrases-shards")
-    levels, sieves = [], []
-    for k in range(1, words + 1):
-        counted = _counted(indexes, k, sieves).filter(F.col("n") >= least)
-        levels.append(stage(counted.withColumn("size", F.lit(k)), f"phrases-{k}"))
-        if k < words:
-            sieves.append(spark.sparkContext.broadcast(_sieve(levels[-1], k)))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.union(level)
-    return Counts(indexes.groupBy("lang").agg(F.sum("total").alias("n")), every)
+    sieves: list = []
+    for _ in range(1, words):
+        sieves.append(spark.sparkContext.broadcast(_sieve(_frequent(indexes, sieves, least))))
+    totals = indexes.groupBy("lang").agg(F.sum("total").alias("n"))
+    return Counts(totals, stage(_counted(indexes, sieves, least), "phrases"))
 
 
 # --- scores -----------------------------------------------------------------

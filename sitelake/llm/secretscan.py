@@ -40,8 +40,8 @@ _CODE = bytes(SYMBOLS.find(chr(i)) + 1 if i < 128 else 0 for i in range(256))
 #: Weight of the shorter context in a longer one's probabilities.
 SMOOTHING = 8.0
 #: A random string is this many times likelier than an identifier, priors included,
-#: and by so many nats per character.
-ODDS, RATE = 1000.0, 2.5
+#: and per character it gains this share of what drawn strings gain.
+ODDS, GAIN = 1000.0, 0.5
 #: Rulers, fillers and plain numbers are not random: a random string has so many
 #: different characters, and a letter.
 DISTINCT = 7
@@ -132,10 +132,11 @@ def chances(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Models:
-    """log-likelihood ratio of random strings to identifiers per triple, and the least sum."""
+    """log-likelihood ratio of random strings to identifiers per triple, the least sum and the least mean."""
 
     ratio: np.ndarray
     least: float
+    rate: float
 
     def scores(self, strings: list[str]) -> np.ndarray:
         """Summed ratio of each string."""
@@ -152,7 +153,7 @@ class Models:
             return np.zeros(0, bool)
         total = self.scores(strings)
         varied = np.array([len(set(s)) >= DISTINCT and LETTER.search(s) is not None for s in strings])
-        return varied & (total >= self.least) & (total >= RATE * np.array([len(s) for s in strings]))
+        return varied & (total >= self.least) & (total >= self.rate * np.array([len(s) for s in strings]))
 
 
 def fit(docs: DataFrame, text: str = "text", odds: float = ODDS) -> Models:
@@ -193,9 +194,9 @@ def fit(docs: DataFrame, text: str = "text", odds: float = ODDS) -> Models:
         number[i] = int(rows[(rows["random"] == random) & (rows["triple"] < 0)]["n"].sum())
     drawn = generated().astype(float)
     counts[0] += drawn * max(1.0, counts[0].sum() / drawn.sum())
-    ratio = chances(counts[0]) - chances(counts[1])
+    ratio = (chances(counts[0]) - chances(counts[1])).reshape(-1)
     prior = math.log((number[1] + 1) / (number[0] + 1))
-    return Models(ratio.reshape(-1), max(0.0, prior) + math.log(odds))
+    return Models(ratio, max(0.0, prior) + math.log(odds), GAIN * float(drawn @ ratio / drawn.sum()))
 
 
 # --- the operator -----------------------------------------------------------
