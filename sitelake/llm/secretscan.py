@@ -45,6 +45,9 @@ ODDS, GAIN = 1000.0, 0.5
 #: Rulers, fillers and plain numbers are not random: a random string has so many
 #: different characters, and a letter.
 DISTINCT = 7
+#: Triples that fewer identifiers show say nothing, so that a random string among
+#: the identifiers does not vouch for itself.
+CUTOFF = 30
 LETTER = re.compile("[A-Za-z]")
 
 
@@ -113,9 +116,12 @@ def generated(seed: int = 11, strings: int = 4000, length: int = 32) -> np.ndarr
 
 
 def joined(words: list[str]) -> list[str]:
-    """Words as identifiers are put together from them."""
-    styles = ["_".join(words), "-".join(words), "/".join(words), "".join([w.capitalize() for w in words])]
-    return [*styles, styles[0].upper()]
+    """Identifiers as they are put together from words, here from each word and itself."""
+    out = []
+    for w in words:
+        capital = w.capitalize()
+        out += [f"{w}_{w}", f"{w}-{w}", f"{w}/{w}", capital + capital, f"{w}_{w}".upper()]
+    return out
 
 
 def chances(counts: np.ndarray) -> np.ndarray:
@@ -157,41 +163,52 @@ class Models:
 
 
 def fit(docs: DataFrame, text: str = "text", odds: float = ODDS) -> Models:
-    """Models from all documents: values of base spans, and all other identifiers.
-
-    Base spans label the strings. Random ones are joined by drawn strings over usual
-    alphabets, weighed like all labelled ones together, so that kinds of keys that
-    the documents lack are known as well; identifiers by the documents' words in
-    the usual styles (``a_b``, ``a-b``, ``a/b``, ``AB`` with capitals, upper case). Each task sends its numbers of symbol
-    triples, at most the cube of the alphabet.
+    """Models from the different strings of all documents.
+
+    Base spans label the strings: their values are random, all other strings are
+    identifiers. Each counts once however often it occurs. Random ones are joined by
+    drawn strings over usual alphabets, weighed like all labelled ones together, so
+    that kinds of keys that the documents lack are known as well; identifiers by the
+    words among them in the usual styles (``a_a``, ``a-a``, ``a/a``, ``AA`` with
+    capitals, upper case). The driver gets sums over triples of symbols, at most the
+    cube of the alphabet.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = np.zeros((2, SIZE**3), np.int64)
-        strings = np.zeros(2, np.int64)
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in by_size(frames, "_text"):
-            random: list[str] = []
-            plain: list[str] = []
+            random: set[str] = set()
+            plain: set[str] = set()
             for value in part["_text"]:
                 spans = base_spans(value or "")
-                random += [s[3] for s in spans]
-                plain += RUN.findall(_without(value, spans) if spans else value or "")
-            for i, found in enumerate((random, plain)):
-                known[i] += triples(found if i == 0 else found + joined(found))
-                strings[i] += sum(len(s) >= LEAST_RANDOM for s in found)
-        for i in range(2):
+                random.update(s[3] for s in spans)
+                plain.update(RUN.findall(_without(value, spans) if spans else value or ""))
+            for label, found in ((True, random), (False, plain)):
+                if found:
+                    yield pd.DataFrame({"random": label, "string": pd.Series(sorted(found), dtype=object)})
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = np.zeros((2, SIZE**3), np.int64)
+        number = np.zeros(2, np.int64)
+        for frame in frames:
+            for i, label in enumerate((True, False)):
+                found = frame.loc[frame["random"] == label, "string"].tolist()
+                number[i] += sum(len(s) >= LEAST_RANDOM for s in found)
+                known[i] += triples(found if label else found + joined([s for s in found if s.isalpha()]))
+        for i, label in enumerate((True, False)):
             seen = np.flatnonzero(known[i])
-            yield pd.DataFrame({"random": i == 0, "triple": seen, "n": known[i][seen]})
-            yield pd.DataFrame({"random": [i == 0], "triple": [-1], "n": [strings[i]]})
+            yield pd.DataFrame({"random": label, "triple": seen, "n": known[i][seen]})
+            yield pd.DataFrame({"random": [label], "triple": [-1], "n": [number[i]]})
 
-    counted = docs.select(F.col(text).alias("_text")).mapInPandas(run, "random boolean, triple long, n long")
-    rows = counted.groupBy("random", "triple").agg(F.sum("n").alias("n")).toPandas()
+    strings = docs.select(F.col(text).alias("_text")).mapInPandas(listed, "random boolean, string string").distinct()
+    sums = strings.mapInPandas(counted, "random boolean, triple long, n long")
+    rows = sums.groupBy("random", "triple").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, SIZE**3))
     number = [0, 0]
-    for i, random in enumerate((True, False)):
-        own = rows[(rows["random"] == random) & (rows["triple"] >= 0)]
+    for i, label in enumerate((True, False)):
+        own = rows[(rows["random"] == label) & (rows["triple"] >= 0)]
         counts[i][own["triple"].to_numpy(np.int64)] = own["n"]
-        number[i] = int(rows[(rows["random"] == random) & (rows["triple"] < 0)]["n"].sum())
+        number[i] = int(rows[(rows["random"] == label) & (rows["triple"] < 0)]["n"].sum())
+    counts[1][counts[1] < CUTOFF] = 0
     drawn = generated().astype(float)
     counts[0] += drawn * max(1.0, counts[0].sum() / drawn.sum())
     ratio = (chances(counts[0]) - chances(counts[1])).reshape(-1)

@@ -95,10 +95,11 @@ def test_a_planted_key_is_added_beside_base_spans(spark):
     draw = random.Random(3)
     key = "".join(draw.choices(string.ascii_letters + string.digits, k=40))
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
-    rows.append((-1, f"Some words, then {key} and password=abcdefgh12."))
+    rows += [(-1, f"Some words, then {key} and password=abcdefgh12.")] * 50
     found = secretscan.detect(spark.createDataFrame(rows, "doc_id long, text string"))
-    (row,) = found.filter("doc_id = -1").collect()
-    assert [tuple(s) for s in row.spans] == [(17, 57, "random", False), (62, 82, "assign", True)]
+    planted = found.filter("doc_id = -1").collect()
+    want = [(17, 57, "random", False), (62, 82, "assign", True)]
+    assert [[tuple(s) for s in r.spans] for r in planted] == [want] * 50
 
 
 def test_scores_add_up_over_triples(models):
