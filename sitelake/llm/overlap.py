@@ -1,4 +1,4 @@
-"""Texts that share most of their shingles: min-hash bands propose pairs, the shingles decide."""
+"""Texts that share most of their shingles: SimHash groups first, then an exact search by rare shingles."""
 
 from __future__ import annotations
 
@@ -7,12 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelake.llm.batches import by_size
+from sitelake.llm import simhash
 from sitelake.llm.components import components
-from sitelake.llm.simhash import shingle_hashes
 from sitelake.session import stage
 
 SHINGLE = 5
@@ -29,13 +28,16 @@ _MASK = _draw.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
 _ODD = _draw.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+# --- sets -------------------------------------------------------------------
+
+
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    return np.unique(shingle_hashes(text, shingle))
+    return np.unique(simhash.shingle_hashes(text, shingle))
 
 
-def set_key(hashes: np.ndarray) -> int:
+def set_key(hashes: np.ndarray, seed: int = 0) -> int:
     """One number for a set, as a signed long; the empty set has zero."""
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64)) if len(hashes) else 0
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), seed)).view(np.int64)) if len(hashes) else 0
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -55,52 +57,161 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The ``a, b`` pairs of sets whose shingles are similar enough."""
+def _signed(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``row, at, key, other, fp, bands``: the set of every row's text, known by two hashes."""
+
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            hashes = simhash.shingle_hashes(t, shingle)
+            own = np.unique(hashes)
+            print_ = int(np.uint64(simhash.fingerprint(hashes)).view(np.int64))
+            out.append((set_key(own), set_key(own, 1), print_, band_keys(own)))
+        return pd.DataFrame(out, columns=["key", "other", "fp", "bands"])
+
+    signed = F.pandas_udf(sign, "key long, other long, fp long, bands array<long>")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.monotonically_increasing_id().alias("at"), signed(F.col(f"`{text}`")).alias("sign"))
+    return rows.select("row", "at", "sign.*")
+
+
+def _shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """``set, n, hashes`` of ``set, text``; hashes are sorted 64-bit numbers in a row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in by_size(frames, "right"):
-            known: dict[int, np.ndarray] = {}
-            good = []
-            for a, b, left, right in part[["a", "b", "left", "right"]].itertuples(index=False):
-                for key, text in ((a, left), (b, right)):
-                    if key not in known:
-                        known[key] = shingle_set(text, shingle)
-                good.append(jaccard(known[a], known[b]) >= similarity)
-            yield part.loc[good, ["a", "b"]]
-
-    left = texts.select(F.col("set").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("set").alias("b"), F.col("text").alias("right"))
+        for frame in frames:
+            sets = [shingle_set(t, shingle) for t in frame["text"]]
+            yield pd.DataFrame(
+                {"set": frame["set"], "n": [len(s) for s in sets], "hashes": [s.tobytes() for s in sets]}
+            )
+
+    return texts.mapInPandas(run, "set long, n int, hashes binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``a, b`` pairs of sets that are similar enough."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            good = [
+                jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity
+                for x, y in zip(frame["left"], frame["right"], strict=True)
+            ]
+            yield frame.loc[good, ["a", "b"]]
+
+    left = sets.select(F.col("set").alias("a"), F.col("hashes").alias("left"))
+    right = sets.select(F.col("set").alias("b"), F.col("hashes").alias("right"))
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
 
 
-def _links(sets: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``a``-``b`` edges that join all similar sets which agree in a band.
+# --- the searches -----------------------------------------------------------
 
-    First every set of a band meets the smallest one there, then the sets of a
-    band that are still in different components meet each other, so that a large
-    group of near copies costs as many pairs as it has members.
+
+def _print_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """Every set with the representative of its SimHash group: as many pairs as sets at most.
+
+    Groups are what links of fingerprints within ``radius`` bits reach, found by
+    vantage-point trees.
     """
+    prints = stage(sets.select("fp").distinct(), "overlap-prints")
+    groups = components(simhash.linked_pairs(prints, radius))
+    placed = sets.join(groups, F.col("fp") == F.col("node"), "left").select("set", F.coalesce("component", "fp").alias("_g"))
+    placed = stage(placed, "overlap-placed")
+    least = placed.groupBy("_g").agg(F.min("set").alias("a"))
+    return placed.join(least, "_g").filter("a != set").select("a", F.col("set").alias("b"))
+
+
+def _in_component(frame: DataFrame, links: DataFrame) -> DataFrame:
+    """``frame`` with the component of its ``set``, the set itself where nothing links it."""
+    groups = components(links)
+    found = frame.join(groups, F.col("set") == F.col("node"), "left")
+    return found.withColumn("comp", F.coalesce("component", "set")).drop("node", "component")
+
+
+def _needed(n: Column, m: Column, similarity: float) -> Column:
+    """Shingles that sets of these sizes have in common, at least, if they are similar."""
+    return F.lit(similarity / (1 + similarity)) * (n + m) - 1e-6
+
+
+def _prefixes(tokens: DataFrame, similarity: float) -> DataFrame:
+    """``token, set, n, comp, pos``: the rarest shingles of every set, one of which it
+    must share with each similar set.
+
+    Shingles are in order of their number of sets. Of those at place ``pos`` and
+    after, two similar sets share as many as they need in common, so the first one
+    shared comes early. Shingles of one set only come first and lead nowhere; those
+    of one component only need no comparison.
+    """
+    counts = tokens.groupBy("token").agg(
+        F.count(F.lit(1)).alias("df"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")
+    )
+    counts = counts.filter("df > 1").select("token", "df", (F.col("_lo") != F.col("_hi")).alias("mixed"))
+    shared = tokens.join(counts, "token")
+    order = Window.partitionBy("set").orderBy("df", "token")
+    every = Window.partitionBy("set")
+    placed = shared.withColumn("_at", F.row_number().over(order)).withColumn("_shared", F.count(F.lit(1)).over(every))
+    placed = placed.withColumn("pos", F.col("n") - F.col("_shared") + F.col("_at") - 1)
+    last = F.col("n") - F.lit(similarity) * F.col("n") + 1e-6
+    return placed.filter(F.col("mixed") & (F.col("pos") <= last)).select("token", "set", "n", "comp", "pos")
+
+
+def _may_match(x: dict[str, Column], y: dict[str, Column], similarity: float) -> Column:
+    """Whether two sets that first share this shingle can be similar and still need to be compared."""
+    least = _needed(x["n"], y["n"], similarity)
+    return (x["comp"] != y["comp"]) & (x["n"] - x["pos"] >= least) & (y["n"] - y["pos"] >= least)
+
+
+def _rare_pairs(sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """More links: of all similar sets in different components, exactly.
+
+    First every set meets the one in which a rare shingle comes earliest, which is
+    linear and unites large groups of near copies; only sets that are then still in
+    different components meet each other.
+    """
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for own, n, hashes, comp in frame.itertuples(index=False):
+                yield pd.DataFrame({"token": np.frombuffer(hashes, np.int64), "set": own, "n": n, "comp": comp})
+
+    with_comp = _in_component(sets, links).select("set", "n", "hashes", "comp")
+    tokens = with_comp.mapInPandas(listed, "token long, set long, n int, comp long")
+    rare = stage(_prefixes(stage(tokens, "overlap-tokens"), similarity), "overlap-rare")
+    columns = ("set", "n", "comp", "pos")
+    hubs = rare.groupBy("token").agg(F.min(F.struct("pos", "n", "set", "comp")).alias("hub"))
+    x = {c: F.col(f"hub.{c}") for c in columns}
+    y = {c: F.col(c) for c in columns}
+    met = rare.join(hubs, "token").filter(_may_match(x, y, similarity))
+    first = stage(met.select(F.least("hub.set", "set").alias("a"), F.greatest("hub.set", "set").alias("b")).distinct(), "overlap-hubs")
+    more = stage(_confirmed(first, sets, similarity), "overlap-united")
+    rare = stage(_in_component(rare.drop("comp"), links.union(more)), "overlap-apart")
+    mixed = rare.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo != _hi")
+    rare = stage(rare.join(mixed.select("token"), "token"), "overlap-mixed")
+    one, two = (rare.select("token", F.struct(*columns).alias(name)) for name in ("x", "y"))
+    x, y = ({c: F.col(f"{name}.{c}") for c in columns} for name in ("x", "y"))
+    ordered = F.struct("x.n", "x.set") < F.struct("y.n", "y.set")
+    rest = one.join(two, [one["token"] == two["token"], ordered, _may_match(x, y, similarity)])
+    rest = rest.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
+    rest = stage(rest.join(first, ["a", "b"], "left_anti"), "overlap-rest")
+    return more.union(_confirmed(rest, sets, similarity))
+
+
+def _links(sets: DataFrame, texts: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """``a``-``b`` edges that join all similar sets which agree in a band."""
     bands = sets.select("set", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("set").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hubs = bands.groupBy("band").agg(F.min("set").alias("hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     shared = stage(bands.join(hubs, "band").select("band", "set", "hub"), "overlap-bands")
-    first = stage(shared.filter("set != hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct(), "overlap-pairs")
-    wanted = shared.select("set").distinct().join(sets.select("set", "at"), "set")
-    texts = stage(rows.select("at", "text").join(wanted, "at").select("set", "text"), "overlap-texts")
-    found = stage(_confirmed(first, texts, shingle, similarity), "overlap-links")
-
-    apart = shared.join(components(found), F.col("set") == F.col("node"), "left")
-    apart = stage(apart.select("band", "set", F.coalesce("component", "set").alias("group")), "overlap-groups")
-    mixed = apart.groupBy("band").agg(F.min("group").alias("_lo"), F.max("group").alias("_hi")).filter("_lo != _hi")
-    apart = stage(apart.join(mixed.select("band"), "band"), "overlap-mixed")
-    kinds = apart.select("band", F.col("group").alias("g")).distinct()
-    meet = kinds.join(kinds.select("band", F.col("g").alias("h")), "band").filter("g < h")
-    one = apart.select("band", F.col("group").alias("g"), F.col("set").alias("x"))
-    two = apart.select("band", F.col("group").alias("h"), F.col("set").alias("y"))
-    met = meet.join(one, ["band", "g"]).join(two, ["band", "h"])
-    more = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stage(more.join(first, ["a", "b"], "left_anti"), "overlap-more")
-    return found.union(_confirmed(more, texts, shingle, similarity))
+    banded = shared.filter("set != hub").select(F.col("hub").alias("a"), F.col("set").alias("b"))
+    first = stage(_print_pairs(sets, radius).union(banded).distinct(), "overlap-pairs")
+    ends = first.select("a").union(first.select("b")).distinct().withColumnRenamed("a", "set")
+    held = stage(_shingles(texts.join(ends, "set"), shingle), "overlap-sets")
+    found = stage(_confirmed(first, held, similarity), "overlap-links")
+    # Only sets that share a band with another component are searched further.
+    apart = stage(_in_component(shared.select("band", "set"), found), "overlap-groups")
+    mixed = apart.groupBy("band").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo != _hi")
+    open_ = apart.join(mixed.select("band"), "band").select("set").distinct()
+    open_sets = stage(held.join(open_, "set"), "overlap-open")
+    return found.union(_rare_pairs(open_sets, found, similarity))
 
 
 def drop_near_duplicates(
@@ -109,31 +220,31 @@ def drop_near_duplicates(
     text: str = "text",
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
+    radius: int = simhash.RADIUS,
 ) -> DataFrame:
     """One row of each group of near duplicates, with all its columns.
 
     Texts are linked whose sets of ``shingle``-word runs (A-Z in lower case) have at
-    least ``similarity`` in common; groups are what links reach. Min-hash bands
-    propose the pairs, all of which are confirmed on their sets. Copies share
-    a set and are searched once; texts without words are one group.
-
-    The row with the smallest id stays, ids before nulls, then by hashes of its
-    text. Rows are told apart by place, so ids may repeat or be null.
+    least ``similarity`` in common; groups are what links reach. Fingerprints within
+    ``radius`` bits, found by vantage-point trees, and min-hash bands propose pairs of
+    each set with one other; sets in mixed bands then meet by their rare shingles.
+    Every link is confirmed on the sets.
+
+    Null texts and texts without words have the empty set and are one group; texts of
+    any length are read whole; copies and other repeated rows share a set and are
+    searched once; a set is known by 128 bits. The row with the smallest id stays, ids
+    before nulls, then by hashes of its text. Rows are told apart by place, so ids may
+    repeat or be null. Columns of any name are carried; an empty table gives no rows.
     """
-
-    def sign(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, shingle) for t in texts]
-        return pd.DataFrame({"set": [set_key(s) for s in sets], "bands": [band_keys(s) for s in sets]})
-
-    signed = F.pandas_udf(sign, "set long, bands array<long>")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.monotonically_increasing_id().alias("at"), signed(F.col(text)).alias("sign"))
-    rows = stage(rows.select("row", "at", "sign.set", "sign.bands"), "overlap")
-    sets = stage(rows.groupBy("set").agg(F.min("at").alias("at"), F.first("bands").alias("bands")), "overlap-sets")
-    texts = rows.select("at", F.col("row").getField(text).alias("text"))
-    groups = stage(components(_links(sets, texts, shingle, similarity)), "overlap-components")
-    own, words = F.col("row").getField(doc_id), F.col("row").getField(text)
-    order = F.struct(own.isNull(), own, "set", F.xxhash64(words), "at").alias("order")
-    placed = rows.select("set", order, "at").join(groups, F.col("set") == F.col("node"), "left")
-    kept = placed.groupBy(F.coalesce("component", "set").alias("group")).agg(F.min("order").getField("at").alias("at"))
+    rows = stage(_signed(docs, text, shingle), "overlap")
+    sets = rows.groupBy("key", "other").agg(F.min("at").alias("set"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    sets = stage(sets, "overlap-keys")
+    words = F.col("row").getField(text)
+    texts = rows.select(F.col("at").alias("set"), words.alias("text"))
+    links = stage(_links(sets, texts, shingle, similarity, radius), "overlap-all")
+    groups = stage(_in_component(sets.select("key", "other", "set"), links), "overlap-components")
+    own = F.col("row").getField(doc_id)
+    order = F.struct(own.isNull(), own, "key", F.xxhash64(words), "at").alias("order")
+    placed = rows.select("key", "other", order).join(groups, ["key", "other"])
+    kept = placed.groupBy("comp").agg(F.min("order").getField("at").alias("at"))
     return rows.join(kept.select("at"), "at", "left_semi").select("row.*")

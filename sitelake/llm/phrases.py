@@ -17,7 +17,7 @@ from sitelake.session import stage
 #: Words of the longest phrases and the occurrences that make a candidate.
 WORDS, LEAST = 3, 10
 #: Bytes of text that a shard indexes, about.
-SHARD = 8_000_000
+SHARD = 4_000_000
 #: A phrase goes if a longer one has at least this share of its occurrences, in percent.
 SHARE = 50
 #: Phrases reported of a language.
@@ -29,7 +29,7 @@ SIEVE_BITS = 26
 #: Bits of the numbers by which phrases are counted before their words are sent.
 KEY_BITS = 40
 #: Rows of a batch that a shard sends.
-BATCH = 200_000
+BATCH = 50_000
 
 # Characters that end a piece; one of them stands for all.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -258,6 +258,11 @@ def shards(docs: DataFrame, lang: str = "lang", text: str = "text", words: int =
     return docs.select(language, F.col(text).alias("text")).mapInArrow(run, _SHARDS)
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    for at in range(len(batch)):
+        yield batch.slice(at, 1).to_pylist()[0]
+
+
 def _loaded(row: dict) -> Index:
     names = [END, *row["names"].split(END)] if row["names"] else [END]
     return Index(names, np.frombuffer(row["left"], np.int32), np.frombuffer(row["right"], np.int32))
@@ -284,7 +289,7 @@ def _frequent(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 index = _loaded(row)
                 hashes = _word_hashes(row["lang"], index.names)
                 *_, nodes = _levels(index, hashes, sieves)
@@ -300,7 +305,7 @@ def _counted(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 index = _loaded(row)
                 names = pa.array(index.names, pa.binary())
                 hashes = _word_hashes(row["lang"], index.names)

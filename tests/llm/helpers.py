@@ -63,6 +63,23 @@ def near_groups(prints):
     return groups(linked)
 
 
+def shingles(text, n=5):
+    words = WORD.findall(ascii_lower(text))
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def similar_groups(texts, least=0.8):
+    """Component id of each id, from (id, text), by Jaccard similarity of five-word runs."""
+    sets = [(i, shingles(t)) for i, t in texts]
+    linked = []
+    for a, s in sets:
+        for b, t in sets:
+            both = len(s & t)
+            if s == t or both >= least * (len(s) + len(t) - both):
+                linked.append((a, b))
+    return groups(linked)
+
+
 def luhn(digits):
     total = 0
     for i, d in enumerate(reversed(digits)):

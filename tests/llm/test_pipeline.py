@@ -28,7 +28,7 @@ def test_pipeline_against_brute_force(spark):
     ranker = quality.fit(docs, table(spark, SF, "labels"), queries._id_learns(5, 0))
     good = {r.doc_id for r in quality.scored(docs, ranker).collect() if r.predicted}
     rows = sorted((r.doc_id, r.text, r.source) for r in docs.collect() if r.doc_id in good)
-    groups = helpers.near_groups([(i, helpers.fingerprint(t)) for i, t, _ in rows])
+    groups = helpers.similar_groups([(i, t) for i, t, _ in rows])
     rows = [(i, masked(t), s) for i, t, s in rows if groups[i] == i]
     copies = {i: c for i, z, *_, c in helpers.mixture(rows) if z}
     library = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
