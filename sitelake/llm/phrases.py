@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelake.session import stage
@@ -28,6 +29,8 @@ UNKNOWN = "und"
 SIEVE_BITS = 26
 #: Bits of the numbers by which phrases are counted before their words are sent.
 KEY_BITS = 40
+#: Bytes of a batch of texts or indexes that a task holds, about.
+BATCH_BYTES = "8m"
 #: Rows of a batch that a shard sends.
 BATCH = 50_000
 
@@ -328,6 +331,18 @@ def _sliced(names: list[str], columns: list[pa.Array]) -> Iterator[pa.RecordBatc
         yield batch.slice(at, BATCH)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Texts and indexes reach the tasks a few at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @dataclass
 class Counts:
     """``totals`` holds ``lang, n``; ``phrases`` holds ``lang, phrase, size, n, begins, ends``."""
@@ -353,12 +368,13 @@ def count_phrases(
     extend to, and counts exactly.
     """
     spark = docs.sparkSession
-    indexes = stage(shards(docs, lang, text, words, size), "phrases-shards")
-    sieves: list = []
-    for _ in range(1, words):
-        sieves.append(spark.sparkContext.broadcast(_sieve(_frequent(indexes, sieves, least))))
-    totals = indexes.groupBy("lang").agg(F.sum("total").alias("n"))
-    return Counts(totals, stage(_counted(indexes, sieves, least), "phrases"))
+    with _small_batches(spark):
+        indexes = stage(shards(docs, lang, text, words, size), "phrases-shards")
+        sieves: list = []
+        for _ in range(1, words):
+            sieves.append(spark.sparkContext.broadcast(_sieve(_frequent(indexes, sieves, least))))
+        every = stage(_counted(indexes, sieves, least), "phrases")
+    return Counts(indexes.groupBy("lang").agg(F.sum("total").alias("n")), every)
 
 
 # --- scores -----------------------------------------------------------------
