@@ -59,11 +59,7 @@ SELECT site || '/' || rel AS rel, CAST(octet_length(encode(html)) AS BIGINT) AS
 def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site files as they appear in a folder tree."""
     folder = write_files(site_files(spark, sf_dir))
-    files = stream_folder(spark, folder).select(
-        F.substring_index("path", "/" + folder.rsplit("/", 1)[1] + "/", -1).alias("rel"),
-        F.col("length").alias("size"),
-        F.md5("content").alias("digest"),
-    )
+    files = stream_folder(spark, folder).select("rel", "size", F.md5("content").alias("digest"))
     return drain(files).drop("batch")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from sitelake.constants import MAX_WARC_RECORD
 from sitelake.sources.files import file_stem, list_files, open_random, open_stream
+from sitelake.sources.splits import Window, find_splits, large_files, read_splits, write_splits
 
 SCHEMA = (
     "site string, file string, seq bigint, warc_type string, target_uri string,"
@@ -43,6 +44,11 @@ BYTES_PER_TASK = 1024 * 1024 * 1024
 SKIP_BYTES = 1 << 20
 
 
+def wanted_suffixes(pattern: str) -> tuple[str, ...]:
+    """A folder may hold indexes too; a pattern says itself what it names."""
+    return () if re.search(r"[*?\[]", pattern) else (*WARC_SUFFIXES, ".wacz")
+
+
 def skip(stream, size: int) -> int:
     """Read past ``size`` bytes; how many there were."""
     left = size
@@ -51,17 +57,22 @@ def skip(stream, size: int) -> int:
     return size - left
 
 
-def records(stream, wanted=lambda headers: True, largest: int = MAX_WARC_RECORD) -> Iterator[tuple[dict, bytes | None, str | None]]:
+def records(
+    stream, wanted=lambda headers: True, largest: int = MAX_WARC_RECORD, places: list[int] | None = None
+) -> Iterator[tuple[dict, bytes | None, str | None]]:
     """Headers (names lower-cased), body and error of each record of a stream.
 
     Bodies that are not ``wanted``, or are larger than ``largest``, are read past
     by their length. After a header that says no length, reading goes on at the
-    next line that begins a record.
+    next line that begins a record. ``places`` gets the place at which each of
+    them begins, if the stream can tell.
     """
     lost = False
     while version := stream.readline(SKIP_BYTES):
         if not version.strip():
             continue
+        if places is not None:
+            places.append(stream.tell() - len(version))
         if not version.upper().startswith(b"WARC/"):
             if not lost:
                 yield {}, None, f"unexpected WARC header: {version[:80]!r}"
@@ -96,19 +107,27 @@ def records(stream, wanted=lambda headers: True, largest: int = MAX_WARC_RECORD)
 
 @dataclass
 class WarcFile(InputPartition):
-    """A WARC file, or part ``index`` of ``count`` of the WARCs in a WACZ."""
+    """A WARC file, or part ``index`` of ``count`` of the WARCs in a WACZ.
+
+    With ``end``, only the records between two places of the file, the first of
+    which has number ``seq``.
+    """
 
     path: str
     site: str
     index: int = 0
     count: int = 1
+    start: int = 0
+    end: int | None = None
+    seq: int = 0
 
 
 class WarcReader(DataSourceReader):
-    """One partition per WARC; gzip members are read as one stream.
+    """One partition per WARC, or per split of it; gzip members are read as one stream.
 
     The driver only lists files. A large WACZ gets several partitions by its
-    size, and each takes its share of the WARCs inside.
+    size, and each takes its share of the WARCs inside. ``splits`` names a list of
+    places at which large files are cut (``read_warc`` makes it).
 
     ``mode`` is FAILFAST (a malformed record fails the job) or DROPMALFORMED (a
     row with ``_error`` stands for it and the records after it are read).
@@ -123,15 +142,18 @@ class WarcReader(DataSourceReader):
         self.types = set(options["types"].split(",")) if options.get("types") else None
         self.body = options.get("body", "true") == "true"
         self.largest = int(options.get("largest", MAX_WARC_RECORD))
+        self.splits = options.get("splits")
 
     def _asked(self, headers: dict) -> bool:
         return self.types is None or headers.get("warc-type") in self.types
 
     def partitions(self) -> list[WarcFile]:
         parts = []
-        # A folder may hold indexes too; a pattern says itself what it names.
-        suffixes = () if re.search(r"[*?\[]", self.pattern) else (*WARC_SUFFIXES, ".wacz")
-        for path, size in list_files(self.pattern, suffixes):
+        cuts = read_splits(self.splits) if self.splits else {}
+        for path, size in list_files(self.pattern, wanted_suffixes(self.pattern)):
+            if path in cuts:
+                parts += [WarcFile(path, file_stem(path), start=s.start, end=s.end, seq=s.seq) for s in cuts[path]]
+                continue
             count = 1
             if path.lower().endswith(".wacz"):
                 count = max(1, -(-size // BYTES_PER_TASK))
@@ -142,7 +164,10 @@ class WarcReader(DataSourceReader):
         if partition is None:  # no file at all
             return
         if not partition.path.lower().endswith(".wacz"):
-            raw = _Raw(open_stream(self.pattern, partition.path))
+            if partition.end is not None:
+                raw = Window(open_random(self.pattern, partition.path), partition.start, partition.end)
+            else:
+                raw = _Raw(open_stream(self.pattern, partition.path))
             yield from self._read_stream(partition, partition.path, raw)
             return
         with open_random(self.pattern, partition.path) as file, zipfile.ZipFile(file) as archive:
@@ -158,7 +183,7 @@ class WarcReader(DataSourceReader):
             yield from self._batches(partition, name, gzip.open(buffered) if packed else buffered)
 
     def _batches(self, partition: WarcFile, name: str, stream) -> Iterator[pa.RecordBatch]:
-        rows, held, seq = [], 0, -1
+        rows, held, seq = [], 0, partition.seq - 1
 
         def row(**values) -> dict:
             return {"site": partition.site, "file": name, "seq": seq, **values}
@@ -170,7 +195,7 @@ class WarcReader(DataSourceReader):
 
         try:
             found = records(stream, lambda headers: self.body and self._asked(headers), self.largest)
-            for seq, (headers, body, error) in enumerate(found):
+            for seq, (headers, body, error) in enumerate(found, partition.seq):
                 if error is not None:
                     rows.append(failed(error))
                 elif self._asked(headers):
@@ -234,14 +259,20 @@ def read_warc(
     types: tuple[str, ...] = (),
     body: bool = True,
     largest: int = MAX_WARC_RECORD,
+    split: int | None = BYTES_PER_TASK,
 ) -> DataFrame:
     """Records of all WARCs a glob or folder names; other files are passed over.
 
     ``types`` reads records of these types only, and ``body=False`` no bodies:
-    what is not asked for never leaves the reader.
+    what is not asked for never leaves the reader. Files larger than ``split``
+    bytes, gzipped by records or not, are cut at records into about that many
+    bytes each, which takes a first pass over them; ``None`` cuts nothing. Rows
+    do not depend on the cuts. A file that is one gzip member stays whole.
     """
     spark.dataSource.register(WarcSource)
     reader = spark.read.format("warc").option("mode", mode).option("types", ",".join(types))
+    if split and (large := large_files(path, split, wanted_suffixes(path))):
+        reader = reader.option("splits", write_splits(spark, find_splits(spark, path, large, split)))
     return reader.option("body", str(body).lower()).option("largest", largest).load(path)
 
 

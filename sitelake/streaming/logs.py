@@ -17,6 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import LongType, StructType
 
 from sitelake.session import new_folder
+from sitelake.streaming.folders import FolderStream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,16 +32,26 @@ def stream_table(
     return reader.parquet(folder)
 
 
-def stream_folder(spark: SparkSession, root: str, per_trigger: int = 1000) -> DataFrame:
-    """Files of a folder tree as they appear: path, time, length and content."""
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    return (
-        spark.readStream.format("binaryFile")
-        .schema(schema)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", per_trigger)
-        .load(root)
-    )
+def stream_folder(
+    spark: SparkSession,
+    root: str,
+    listing: str | None = None,
+    skip: str | None = None,
+    content: bool = True,
+    per_trigger: int | None = None,
+) -> DataFrame:
+    """Files of a folder tree as they appear or are rewritten: ``rel, size, modified, content``.
+
+    Every file counts, also below names that begin with ``_`` or ``.``; ``skip``, a
+    regular expression on ``rel``, leaves others out. A file comes again when its
+    size or time of change is another. ``listing`` is the folder that remembers what
+    has come: name one beside the checkpoint if the stream is to be started again.
+    ``per_trigger`` bounds the files of each trigger of a stream that goes on.
+    """
+    spark.dataSource.register(FolderStream)
+    reader = spark.readStream.format("folderstream").option("listing", listing or new_folder(spark, "listing"))
+    reader = reader.option("content", str(content).lower()).option("pertrigger", per_trigger or 0)
+    return (reader.option("skip", skip) if skip else reader).load(root)
 
 
 def write_log(

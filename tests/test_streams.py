@@ -1,11 +1,14 @@
 """Streaming jobs over several batches."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from sitelake.operators import history, prompts
 from sitelake.session import new_folder
 from sitelake.streaming import jobs
+from sitelake.streaming.folders import MERGE, FolderStreamReader, Listings
 from sitelake.streaming.logs import drain, read_log, rocksdb, stream_folder, stream_table, write_log
 from tests.test_notes_prompts import ANSWERS, CHAT
 
@@ -39,11 +42,74 @@ def test_versions_of_documents(spark):
     assert {r["rel"]: r["text"] for r in newest.collect()} == {"a.md": "three", "b.md": "b"}
 
 
-def test_folder_stream(spark, tmp_path):
-    (tmp_path / "notes").mkdir()
-    (tmp_path / "notes" / "a.md").write_text("# A")
-    found = drain(stream_folder(spark, str(tmp_path)).select("path", "length"))
-    assert [(r["path"].rsplit("/", 1)[1], r["length"]) for r in found.collect()] == [("a.md", 3)]
+def put(root, files):
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+
+class FolderFeed:
+    """A folder tree and the log of a stream over it, started anew by every ``run``."""
+
+    def __init__(self, spark, root, **options):
+        self.spark, self.root, self.options = spark, root, options
+        self.log, self.offsets, self.listing = (new_folder(spark, x) for x in ("log", "offsets", "listing"))
+
+    def run(self):
+        stream = stream_folder(self.spark, str(self.root), self.listing, **self.options)
+        stream = stream.select("rel", "size", F.col("content").cast("string").alias("text"))
+        write_log(stream, self.log, self.offsets).awaitTermination()
+        rows = read_log(self.spark, self.log, stream.schema).collect()
+        return sorted((r["batch"], r["rel"], r["size"], r["text"]) for r in rows)
+
+
+def test_folder_stream_reads_every_name_and_what_is_rewritten(spark, tmp_path):
+    root = tmp_path / "tree"
+    put(root, {"a.md": "# A", "_static/s.css": "x{}", ".well-known/k.txt": "k", "deep/_n.html": "<p>", "empty.md": ""})
+    feed = FolderFeed(spark, root)
+    first = [(0, ".well-known/k.txt", 1, "k"), (0, "_static/s.css", 3, "x{}"), (0, "a.md", 3, "# A")]
+    first += [(0, "deep/_n.html", 3, "<p>"), (0, "empty.md", 0, "")]
+    assert feed.run() == first
+    assert feed.run() == first
+    put(root, {"a.md": "# A, longer", "new.md": "n"})
+    second = first + [(1, "a.md", 11, "# A, longer"), (1, "new.md", 1, "n")]
+    assert feed.run() == second
+    # The same size, another time.
+    put(root, {"new.md": "m"})
+    os.utime(root / "new.md", (2_000_000_000, 2_000_000_000))
+    assert feed.run() == second + [(2, "new.md", 1, "m")]
+
+
+def test_folder_stream_leaves_out_what_it_is_told_to(spark, tmp_path):
+    put(tmp_path / "tree", {"a.md": "a", ".git/x": "x", "notes/.hidden.md": "h", "_b.md": "b"})
+    feed = FolderFeed(spark, tmp_path / "tree", skip=r"(?:^|/)\.")
+    assert feed.run() == [(0, "_b.md", 1, "b"), (0, "a.md", 1, "a")]
+
+
+def test_folder_stream_without_contents_or_files(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert FolderFeed(spark, tmp_path / "none").run() == []
+    put(tmp_path / "tree", {"a.md": "abc"})
+    assert FolderFeed(spark, tmp_path / "tree", content=False).run() == [(0, "a.md", 3, None)]
+
+
+def test_listings_are_merged_and_found_again(tmp_path):
+    listings = Listings(str(tmp_path / "listing"))
+    for i in range(2 * MERGE + 3):
+        assert listings.add([(f"f{i % 5}", i, i)]) == i + 1
+    again = Listings(str(tmp_path / "listing"))
+    assert again.known == listings.known and again.last == 2 * MERGE + 3
+    assert again.files(0, 3) == ["f0", "f1", "f2"]
+    assert again.files(2 * MERGE + 2, 2 * MERGE + 3) == [f"f{(2 * MERGE + 2) % 5}"]
+
+
+def test_folder_stream_takes_a_few_files_at_a_time(tmp_path):
+    put(tmp_path / "tree", {f"f{i}": "x" for i in range(5)})
+    reader = FolderStreamReader({"path": str(tmp_path / "tree"), "listing": str(tmp_path / "l"), "pertrigger": "2"})
+    offsets = [reader.initialOffset()] + [reader.latestOffset() for _ in range(4)]
+    assert [o["listing"] for o in offsets] == [0, 1, 2, 3, 3]
+    parts = [reader.partitions(a, b) for a, b in zip(offsets, offsets[1:])]
+    assert [sum(len(p.files) for p in x) for x in parts] == [2, 2, 1, 0]
 
 
 def test_current_page_moves_on(spark):
