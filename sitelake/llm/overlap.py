@@ -139,20 +139,22 @@ def _prefixes(tokens: DataFrame, similarity: float) -> DataFrame:
 
     Shingles are in order of their number of sets. Of those at place ``pos`` and
     after, two similar sets share as many as they need in common, so the first one
-    shared comes early. Shingles of one set only come first and lead nowhere; those
-    of one component only need no comparison.
+    shared comes early. Shingles of one set only come first and lead nowhere.
     """
-    counts = tokens.groupBy("token").agg(
-        F.count(F.lit(1)).alias("df"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")
-    )
-    counts = counts.filter("df > 1").select("token", "df", (F.col("_lo") != F.col("_hi")).alias("mixed"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = tokens.join(counts, "token")
     order = Window.partitionBy("set").orderBy("df", "token")
     every = Window.partitionBy("set")
     placed = shared.withColumn("_at", F.row_number().over(order)).withColumn("_shared", F.count(F.lit(1)).over(every))
     placed = placed.withColumn("pos", F.col("n") - F.col("_shared") + F.col("_at") - 1)
     last = F.col("n") - F.lit(similarity) * F.col("n") + 1e-6
-    return placed.filter(F.col("mixed") & (F.col("pos") <= last)).select("token", "set", "n", "comp", "pos")
+    return placed.filter(F.col("pos") <= last).select("token", "set", "n", "comp", "pos")
+
+
+def _mixed(rare: DataFrame) -> DataFrame:
+    """Rows of shingles that stand in prefixes of more than one component."""
+    spread = rare.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo != _hi")
+    return rare.join(spread.select("token"), "token")
 
 
 def _may_match(x: dict[str, Column], y: dict[str, Column], similarity: float) -> Column:
@@ -176,7 +178,7 @@ def _rare_pairs(sets: DataFrame, links: DataFrame, similarity: float) -> DataFra
 
     with_comp = _in_component(sets, links).select("set", "n", "hashes", "comp")
     tokens = with_comp.mapInPandas(listed, "token long, set long, n int, comp long")
-    rare = stage(_prefixes(stage(tokens, "overlap-tokens"), similarity), "overlap-rare")
+    rare = stage(_mixed(stage(_prefixes(tokens, similarity), "overlap-prefixes")), "overlap-rare")
     columns = ("set", "n", "comp", "pos")
     hubs = rare.groupBy("token").agg(F.min(F.struct("pos", "n", "set", "comp")).alias("hub"))
     x = {c: F.col(f"hub.{c}") for c in columns}
@@ -185,8 +187,7 @@ def _rare_pairs(sets: DataFrame, links: DataFrame, similarity: float) -> DataFra
     first = stage(met.select(F.least("hub.set", "set").alias("a"), F.greatest("hub.set", "set").alias("b")).distinct(), "overlap-hubs")
     more = stage(_confirmed(first, sets, similarity), "overlap-united")
     rare = stage(_in_component(rare.drop("comp"), links.union(more)), "overlap-apart")
-    mixed = rare.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo != _hi")
-    rare = stage(rare.join(mixed.select("token"), "token"), "overlap-mixed")
+    rare = stage(_mixed(rare), "overlap-mixed")
     one, two = (rare.select("token", F.struct(*columns).alias(name)) for name in ("x", "y"))
     x, y = ({c: F.col(f"{name}.{c}") for c in columns} for name in ("x", "y"))
     ordered = F.struct("x.n", "x.set") < F.struct("y.n", "y.set")

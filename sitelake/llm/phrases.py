@@ -18,7 +18,7 @@ from sitelake.session import stage
 #: Words of the longest phrases and the occurrences that make a candidate.
 WORDS, LEAST = 3, 10
 #: Bytes of text that a shard indexes, about.
-SHARD = 4_000_000
+SHARD = 2_000_000
 #: A phrase goes if a longer one has at least this share of its occurrences, in percent.
 SHARE = 50
 #: Phrases reported of a language.
@@ -29,6 +29,9 @@ UNKNOWN = "und"
 SIEVE_BITS = 26
 #: Bits of the numbers by which phrases are counted before their words are sent.
 KEY_BITS = 40
+#: Bits of the count that stands behind a key in one number; larger counts of a
+#: shard are cut to that, as they are frequent anyway.
+COUNT_BITS = 63 - KEY_BITS
 #: Bytes of a batch of texts or indexes that a task holds, about.
 BATCH_BYTES = "8m"
 #: Rows of a batch that a shard sends.
@@ -297,10 +300,13 @@ def _frequent(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
                 hashes = _word_hashes(row["lang"], index.names)
                 *_, nodes = _levels(index, hashes, sieves)
                 keys = _keys(hashes[nodes.words]).view(np.int64)
-                yield from _sliced(["key", "n"], [pa.array(keys), pa.array(nodes.count, pa.int64())])
+                counts = np.minimum(nodes.count, (1 << COUNT_BITS) - 1)
+                yield from _sliced(["counted"], [pa.array(keys << COUNT_BITS | counts)])
 
-    keyed = indexes.mapInArrow(run, "key long, n long")
-    return keyed.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
+    counted = indexes.mapInArrow(run, "counted long")
+    key = F.shiftright("counted", COUNT_BITS).alias("key")
+    number = F.sum(F.col("counted").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)))
+    return counted.groupBy(key).agg(number.alias("n")).filter(F.col("n") >= least).select("key")
 
 
 def _counted(indexes: DataFrame, sieves: list, least: int) -> DataFrame:

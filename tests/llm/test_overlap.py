@@ -55,3 +55,34 @@ def test_rows_are_told_apart_without_ids(spark):
     rows = [(5, z), (5, y), (2, y), (None, x), (None, x), (None, y)]
     for kept in (stage_of(spark, rows), simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()):
         assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, x), (2, y), (5, z)]
+
+
+def test_a_large_family_against_all_pairs(spark):
+    # One text with ever more words replaced, so that few pairs of many are similar,
+    # and unrelated texts that share a passage.
+    draw = np.random.default_rng(8)
+    base = [f"w{n}" for n in draw.integers(0, 5000, 150)]
+    passage = " ".join(f"p{n}" for n in range(12))
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in draw.choice(150, int(draw.integers(0, 12)), replace=False):
+            words[at] = f"n{draw.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    for i in range(150, 200):
+        rows.append((i, passage + " " + " ".join(f"u{n}" for n in draw.integers(0, 10**6, 60))))
+    want = helpers.similar_groups(rows)
+    assert 60 < len(set(want.values())) < 170
+    assert {r.doc_id for r in stage_of(spark, rows)} == set(want.values())
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    odd = helpers.odd_documents(spark).withColumnsRenamed({"fp": "set", "spans": "key", "size": "row"})
+    kept = stage_rows(corpus_pipeline.no_near_duplicates(spark, odd, ""))
+    texts = {(i, t) for i, t in helpers.ODD_TEXTS if i not in (2, 3)}
+    assert kept == sorted(texts, key=repr)
+    assert corpus_pipeline.no_near_duplicates(spark, odd.limit(0), "").columns == odd.columns
+
+
+def stage_rows(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
