@@ -274,20 +274,21 @@ def _loaded(row: dict) -> Index:
     return Index(names, np.frombuffer(row["left"], np.int32), np.frombuffer(row["right"], np.int32))
 
 
-def _levels(index: Index, hashes: np.ndarray, sieves: list) -> Iterator[Nodes]:
-    """Phrases of one word, of two and so on, that may still be frequent enough.
+def _levels(index: Index, hashes: np.ndarray, sieves: list, words: int) -> Iterator[Nodes]:
+    """Phrases of one word, of two and so on up to ``words``, that may still be frequent enough.
 
     ``sieves[k]`` says which phrases of ``k + 1`` words may: every part of a
-    frequent phrase is at least as frequent. The last level has passed none yet.
+    frequent phrase is at least as frequent.
     """
     nodes = index.singles()
-    for shared in sieves:
-        nodes = nodes.take(_passes(shared.value, hashes[nodes.words]))
+    for k in range(words):
+        if k < len(sieves):
+            nodes = nodes.take(_passes(sieves[k].value, hashes[nodes.words]))
         yield nodes
-        nodes = index.extend(nodes)
-        # The part without the first word; the one without the last has passed.
-        nodes = nodes.take(_passes(shared.value, hashes[nodes.words[:, 1:]]))
-    yield nodes
+        if k + 1 < words:
+            nodes = index.extend(nodes)
+            # The part without the first word; the one without the last has passed.
+            nodes = nodes.take(_passes(sieves[k].value, hashes[nodes.words[:, 1:]]))
 
 
 def _frequent(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
@@ -298,7 +299,7 @@ def _frequent(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
             for row in _one_by_one(batch):
                 index = _loaded(row)
                 hashes = _word_hashes(row["lang"], index.names)
-                *_, nodes = _levels(index, hashes, sieves)
+                *_, nodes = _levels(index, hashes, sieves, len(sieves) + 1)
                 keys = _keys(hashes[nodes.words]).view(np.int64)
                 counts = np.minimum(nodes.count, (1 << COUNT_BITS) - 1)
                 yield from _sliced(["counted"], [pa.array(keys << COUNT_BITS | counts)])
@@ -318,7 +319,7 @@ def _counted(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
                 index = _loaded(row)
                 names = pa.array(index.names, pa.binary())
                 hashes = _word_hashes(row["lang"], index.names)
-                for nodes in _levels(index, hashes, sieves):
+                for nodes in _levels(index, hashes, sieves, len(sieves)):
                     parts = [names.take(pa.array(column)) for column in nodes.words.T]
                     phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, b" ")
                     lang = pa.array([row["lang"]] * len(phrase), pa.string())
@@ -368,16 +369,15 @@ def count_phrases(
     """All phrases of up to ``words`` words with at least ``least`` occurrences.
 
     ``begins`` and ``ends`` are the occurrences at the edges of a piece, which have
-    no extension on that side. One pass indexes the texts. For each length but the
-    last, a pass over the indexes counts phrases by their keys, to learn which may
-    be frequent; the last pass sends those with their words, and all that they
-    extend to, and counts exactly.
+    no extension on that side. One pass indexes the texts. For each length, a pass
+    over the indexes counts phrases by their keys, to learn which may be frequent;
+    the last pass sends those with their words and counts exactly.
     """
     spark = docs.sparkSession
     with _small_batches(spark):
         indexes = stage(shards(docs, lang, text, words, size), "phrases-shards")
         sieves: list = []
-        for _ in range(1, words):
+        for _ in range(words):
             sieves.append(spark.sparkContext.broadcast(_sieve(_frequent(indexes, sieves, least))))
         every = stage(_counted(indexes, sieves, least), "phrases")
     return Counts(indexes.groupBy("lang").agg(F.sum("total").alias("n")), every)
