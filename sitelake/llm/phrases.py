@@ -33,7 +33,7 @@ KEY_BITS = 40
 #: shard are cut to that, as they are frequent anyway.
 COUNT_BITS = 63 - KEY_BITS
 #: Bytes of a batch of texts or indexes that a task holds, about.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "2m"
 #: Rows of a batch that a shard sends.
 BATCH = 50_000
 
@@ -294,15 +294,19 @@ def _levels(index: Index, hashes: np.ndarray, sieves: list, words: int) -> Itera
 def _frequent(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
     """Keys of phrases, one word longer than the last sieve's, that may occur ``least`` times."""
 
+    def keys(row: dict) -> pa.Array:
+        index = _loaded(row)
+        hashes = _word_hashes(row["lang"], index.names)
+        for nodes in _levels(index, hashes, sieves, len(sieves) + 1):
+            longest = nodes
+        counts = np.minimum(longest.count, (1 << COUNT_BITS) - 1)
+        return pa.array(_keys(hashes[longest.words]).view(np.int64) << COUNT_BITS | counts)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _one_by_one(batch):
-                index = _loaded(row)
-                hashes = _word_hashes(row["lang"], index.names)
-                *_, nodes = _levels(index, hashes, sieves, len(sieves) + 1)
-                keys = _keys(hashes[nodes.words]).view(np.int64)
-                counts = np.minimum(nodes.count, (1 << COUNT_BITS) - 1)
-                yield from _sliced(["counted"], [pa.array(keys << COUNT_BITS | counts)])
+                yield from _sliced(["counted"], [keys(row)])
+                pa.default_memory_pool().release_unused()
 
     counted = indexes.mapInArrow(run, "counted long")
     key = F.shiftright("counted", COUNT_BITS).alias("key")
@@ -313,19 +317,23 @@ def _frequent(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
 def _counted(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
     """``lang, phrase, size, n, begins, ends`` of all frequent phrases, summed over the shards."""
 
+    def levels(row: dict) -> Iterator[pa.RecordBatch]:
+        index = _loaded(row)
+        names = pa.array(index.names, pa.binary())
+        hashes = _word_hashes(row["lang"], index.names)
+        for nodes in _levels(index, hashes, sieves, len(sieves)):
+            parts = [names.take(pa.array(column)) for column in nodes.words.T]
+            phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, b" ")
+            lang = pa.array([row["lang"]] * len(phrase), pa.string())
+            size = pa.array(np.full(len(phrase), len(parts)), pa.int32())
+            numbers = [pa.array(c, pa.int64()) for c in (nodes.count, *index.edges(nodes))]
+            yield from _sliced(_NAMES, [lang, phrase.cast(pa.string()), size, *numbers])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _one_by_one(batch):
-                index = _loaded(row)
-                names = pa.array(index.names, pa.binary())
-                hashes = _word_hashes(row["lang"], index.names)
-                for nodes in _levels(index, hashes, sieves, len(sieves)):
-                    parts = [names.take(pa.array(column)) for column in nodes.words.T]
-                    phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, b" ")
-                    lang = pa.array([row["lang"]] * len(phrase), pa.string())
-                    size = pa.array(np.full(len(phrase), len(parts)), pa.int32())
-                    numbers = [pa.array(c, pa.int64()) for c in (nodes.count, *index.edges(nodes))]
-                    yield from _sliced(_NAMES, [lang, phrase.cast(pa.string()), size, *numbers])
+                yield from levels(row)
+                pa.default_memory_pool().release_unused()
 
     summed = [F.sum(c).cast("long").alias(c) for c in ("n", "begins", "ends")]
     counted = indexes.mapInArrow(run, _COUNTS).groupBy("lang", "phrase", "size").agg(*summed)
