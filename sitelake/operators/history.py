@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,39 +99,99 @@ class Batch:
             self.docs.append(rel)
 
 
-def replay_batches(events: DataFrame) -> DataFrame:
-    """Final batch of each pack after its ordered add and remove actions.
+class Span:
+    """Adds since the last removal that counts, and documents known to be away.
 
-    ``events(pack, seq, action, rel)`` → ``(pack, slot, rel)``. The limit makes
-    the outcome depend on the whole order. Removals that follow a removal of
-    the same document change nothing and go first; then sorted partitions are
-    streamed in Arrow batches and only eight names are held per pack.
+    Whatever a batch held before, the first ``limit`` different adds of a span fill
+    it, so later ones change nothing; nor does the removal of a document that is
+    away. What is forgotten beyond ``remembered`` names only leaves more to replay.
     """
 
-    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack, batch = None, Batch()
+    def __init__(self, limit: int, remembered: int = 100_000):
+        self.limit, self.remembered = limit, remembered
+        self.added: set[str] = set()
+        self.away: dict[str, None] = {}
 
-        def done() -> pd.DataFrame:
-            return pd.DataFrame(
-                {"pack": [pack] * len(batch.docs), "slot": range(1, len(batch.docs) + 1), "rel": batch.docs}
-            )
+    def counts(self, action: str, rel: str) -> bool:
+        """Whether the next action may change a batch."""
+        if action == "remove":
+            if rel in self.away:
+                return False
+            self.away[rel] = None
+            if len(self.away) > self.remembered:
+                del self.away[next(iter(self.away))]
+            self.added.clear()
+            return True
+        if rel in self.added or len(self.added) >= self.limit:
+            return False
+        self.added.add(rel)
+        self.away.pop(rel, None)
+        return True
+
+
+def edits_that_count(events: DataFrame, limit: int = BATCH_MAX) -> DataFrame:
+    """``events(pack, seq, action, rel)`` without those that cannot change a batch.
+
+    Events are dealt by ranges of pack and number, so a busy pack is spread over
+    many tasks. Each part is read in order; a part begins with nothing known, as
+    if a span began there, so the cuts do not matter to what a replay finds.
+    """
 
-        for frame in frames:
-            for key, action, rel in zip(frame["pack"], frame["action"], frame["rel"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, span = None, Span(limit)
+        for batch in batches:
+            kept = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("pack", "action", "rel")))
+            for key, action, rel in rows:
                 if key != pack:
-                    if pack is not None:
+                    pack, span = key, Span(limit)
+                kept.append(span.counts(action, rel))
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    columns = events.select("pack", "seq", "action", "rel")
+    ordered = columns.repartitionByRange("pack", "seq").sortWithinPartitions("pack", "seq", "action", "rel")
+    return ordered.mapInArrow(run, columns.schema)
+
+
+def replay_batches(events: DataFrame, limit: int = BATCH_MAX) -> DataFrame:
+    """Final batch of each pack after its ordered add and remove actions.
+
+    ``events(pack, seq, action, rel)`` → ``(pack, slot, rel)``. The limit makes
+    the outcome depend on the whole order. Of a pack's events only those that
+    ``edits_that_count`` leaves are replayed: of each span between removals at
+    most ``limit`` adds. They are sorted by Spark and streamed through a state of
+    one batch. Actions with the same number go by action and name; a null pack is a
+    pack of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: tuple | None = None
+
+        def done() -> pa.RecordBatch:
+            docs = state[1].docs
+            columns = [
+                pa.array([state[0]] * len(docs), pack_type),
+                pa.array(range(1, len(docs) + 1), pa.int32()),
+                pa.array(docs, pa.string()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["pack", "slot", "rel"])
+
+        for batch in batches:
+            pack_type = batch.schema.field("pack").type
+            for key, action, rel in zip(*(batch.column(c).to_pylist() for c in ("pack", "action", "rel"))):
+                if state is None or key != state[0]:
+                    if state is not None:
                         yield done()
-                    pack, batch = key, Batch()
-                batch.apply(action, rel)
-        if pack is not None:
+                    state = key, Batch(limit=limit)
+                state[1].apply(action, rel)
+        if state is not None:
             yield done()
 
-    before = F.lag("action", 1, "remove").over(Window.partitionBy("pack", "rel").orderBy("seq"))
-    events = events.withColumn("_before", before).filter("action <> 'remove' or _before <> 'remove'")
-    pack_type = events.schema["pack"].dataType.simpleString()
+    kind = events.schema["pack"].dataType.simpleString()
     return (
-        events.repartition("pack")
-        .sortWithinPartitions("pack", "seq")
+        edits_that_count(events, limit)
+        .repartition("pack")
+        .sortWithinPartitions("pack", "seq", "action", "rel")
         .select("pack", "action", "rel")
-        .mapInPandas(replay, f"pack {pack_type}, slot int, rel string")
+        .mapInArrow(run, f"pack {kind}, slot int, rel string")
     )

@@ -18,8 +18,8 @@ def test_slugs(spark):
     once = values(spark, slugs.normalize_slug(F.col("s")), names)
     assert once == ["austin-texas", "bachelor-s-degree", "call-of-duty-black-ops", "", "t-a"]
     assert values(spark, slugs.normalize_slug(F.col("s")), once) == once
-    files = ["Zinc_grokipedia.md", "Zinc_Wikipedia.MD", "Zinc.md"]
-    assert values(spark, slugs.article_slug(F.col("s")), files) == ["zinc"] * 3
+    files = ["Slate_grokipedia.md", "Slate_Wikipedia.MD", "Slate.md"]
+    assert values(spark, slugs.article_slug(F.col("s")), files) == ["slate"] * 3
     assert values(spark, slugs.source_rank(F.col("s")), files) == [2, 1, 0]
 
 

@@ -1,14 +1,16 @@
 """Notes, reading history, prompts and answers."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitelake.operators import catalog, history, notes, ordering, prompts
 
 RELS = [
-    "alpha.md", "beta.md", "Freemasonry_grokipedia.md", "Ceremonial-magic_wikipedia.md",
-    "Ceremonial-magic_grokipedia.md", "Science/Zinc_grokipedia.md", "Old/Science/Zinc_grokipedia.md",
+    "alpha.md", "beta.md", "Fencing_grokipedia.md", "Canal-lock_wikipedia.md",
+    "Canal-lock_grokipedia.md", "Science/Slate_grokipedia.md", "Old/Science/Slate_grokipedia.md",
     "Old/alpha.md", ".hidden/x.md", "figures/a.png", "___.md",
 ]
 
@@ -21,12 +23,12 @@ def test_index_and_canonical_copies(spark):
     found = index(spark)
     assert ".hidden/x.md" not in {r["rel"] for r in found.collect()}
     slugs = {r["slug"]: r["rel"] for r in notes.canonical_notes(found).collect()}
-    assert slugs["ceremonial-magic"] == "Ceremonial-magic_grokipedia.md"
-    assert slugs["zinc"] == "Science/Zinc_grokipedia.md"
+    assert slugs["canal-lock"] == "Canal-lock_grokipedia.md"
+    assert slugs["slate"] == "Science/Slate_grokipedia.md"
     assert slugs["alpha"] == "alpha.md"
     labels = {r["rel"]: r["label"] for r in notes.note_labels(found).collect()}
     assert labels["alpha.md"] == "alpha.md" and labels["Old/alpha.md"] == "Old/alpha.md"
-    assert labels["Science/Zinc_grokipedia.md"] == "Science/Zinc_grokipedia.md"
+    assert labels["Science/Slate_grokipedia.md"] == "Science/Slate_grokipedia.md"
     assert labels["beta.md"] == "beta.md"
 
 
@@ -41,10 +43,10 @@ def test_search(spark):
     listed = notes.name_search(index(spark, [f"n{i}.md" for i in range(401)]), "").collect()
     assert len(listed) == 400 and {r["total"] for r in listed} == {401}
     assert notes.name_search(index(spark, [f"n{i}.md" for i in range(401)]), "", listed=None).count() == 401
-    needles = spark.createDataFrame([(" Zinc",), ("al",), ("a",), ("nothing",)], "needle string")
-    assert {r["needle"]: r["total"] for r in notes.search_counts(found, needles).collect()} == {"zinc": 2, "al": 4}
+    needles = spark.createDataFrame([(" Slate",), ("al",), ("a",), ("nothing",)], "needle string")
+    assert {r["needle"]: r["total"] for r in notes.search_counts(found, needles).collect()} == {"slate": 2, "al": 4}
     first = notes.search_hits(found, needles, 1).collect()
-    assert sorted((r["needle"], r["total"], r["pos"]) for r in first) == [("al", 4, 1), ("zinc", 2, 1)]
+    assert sorted((r["needle"], r["total"], r["pos"]) for r in first) == [("al", 4, 1), ("slate", 2, 1)]
 
 
 def test_needles_of_any_length(spark):
@@ -59,7 +61,7 @@ def test_folders(spark):
     assert sorted(r["folder"] for r in notes.top_folders(files).collect()) == ["Old", "Science", "figures"]
     listed = catalog.folder_pages(files, shown=3).filter("parent = ''").orderBy("is_dir", "pos", "name").collect()
     assert [(r["name"], r["more"]) for r in listed if not r["is_dir"]] == [
-        ("Ceremonial-magic_grokipedia.md", 3), ("Ceremonial-magic_wikipedia.md", 3), ("Freemasonry_grokipedia.md", 3),
+        ("Canal-lock_grokipedia.md", 3), ("Canal-lock_wikipedia.md", 3), ("Fencing_grokipedia.md", 3),
     ]
     assert [r["name"] for r in listed if r["is_dir"]] == ["Old", "Science", "figures"]
 
@@ -67,7 +69,7 @@ def test_folders(spark):
 def test_links(spark):
     slugs = notes.canonical_notes(index(spark))
     cases = {
-        "/page/Ceremonial_magic#s": "/Ceremonial-magic_grokipedia.md#s",
+        "/page/Canal_lock#s": "/Canal-lock_grokipedia.md#s",
         "/page/Nope_nope#s": "/?q=nope-nope",
         "/page/": "/page/",
         "javascript:x": "#",
@@ -86,7 +88,7 @@ def test_routes(spark):
         "/?q=x": ("search", 200, None),
         "/?q=": ("home", 200, None),
         "/../secret": ("refused", 403, None),
-        "/page/zinc": ("note", 200, "Science/Zinc_grokipedia.md"),
+        "/page/slate": ("note", 200, "Science/Slate_grokipedia.md"),
         "/page/none": ("absent", 404, None),
         "/science/": ("folder", 200, None),
         "/ALPHA.md": ("note", 200, "alpha.md"),
@@ -131,6 +133,54 @@ def test_replay(spark):
     assert [r["rel"] for r in found.orderBy("slot").collect()] == [f"d{i}" for i in range(1, 8)] + ["d0"]
 
 
+def replayed(events, limit):
+    """The batches of ``(pack, seq, action, rel)`` events, one by one."""
+    batches = {}
+    for pack, _, action, rel in sorted(events, key=lambda e: (str(e[0]), e[1:])):
+        docs = batches.setdefault(pack, [])
+        if action == "remove":
+            batches[pack] = [d for d in docs if d != rel]
+        elif rel not in docs and len(docs) < limit:
+            docs.append(rel)
+    return {(pack, i, rel) for pack, docs in batches.items() for i, rel in enumerate(docs, 1)}
+
+
+@pytest.mark.parametrize("limit", [1, 3, 8])
+@pytest.mark.parametrize("removals", [0.02, 0.5])
+def test_replay_over_many_parts(spark, limit, removals):
+    draw = random.Random(limit)
+    packs = ["hot"] * 5 + ["b", "c", None]
+    events = [
+        (draw.choice(packs), i // 2, "remove" if draw.random() < removals else "add", f"d{draw.randrange(20)}") for i in range(4000)
+    ]
+    df = spark.createDataFrame(events, "pack string, seq int, action string, rel string").repartition(5)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        left = history.edits_that_count(df, limit).withColumn("part", F.spark_partition_id()).collect()
+        found = {tuple(r) for r in history.replay_batches(df, limit).collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert found == replayed(events, limit)
+    assert len({r.part for r in left if r.pack == "hot"}) >= 3
+    if removals < 0.1:
+        assert len(left) < len(events) / 2
+
+
+def test_span_forgets_without_harm():
+    draw = random.Random(5)
+    events = [("p", i, draw.choice(["add", "remove"]), f"d{draw.randrange(30)}") for i in range(3000)]
+    span = history.Span(4, remembered=3)
+    kept = [e for e in events if span.counts(*e[2:])]
+    assert replayed(kept, 4) == replayed(events, 4) and len(kept) < len(events)
+
+
+def test_replay_of_nothing(spark):
+    none = spark.createDataFrame([], "pack bigint, seq int, action string, rel string")
+    assert history.replay_batches(none).collect() == []
+
+
 def test_current_page_and_newest_run(spark):
     visits = spark.createDataFrame(
         [("p", 1, 1, "a"), ("p", 2, 2, "b"), ("p", 3, 3, None), ("q", 1, 1, None)], "pack string, ts int, seq int, rel string"
