@@ -204,7 +204,8 @@ def _links(sets: DataFrame, texts: DataFrame, shingle: int, similarity: float, r
     shared = stage(bands.join(hubs, "band").select("band", "set", "hub"), "overlap-bands")
     banded = shared.filter("set != hub").select(F.col("hub").alias("a"), F.col("set").alias("b"))
     first = stage(_print_pairs(sets, radius).union(banded).distinct(), "overlap-pairs")
-    ends = first.select("a").union(first.select("b")).distinct().withColumnRenamed("a", "set")
+    # Written out: by its true size it goes to the texts, or texts and ids are shuffled.
+    ends = stage(first.select("a").union(first.select("b")).distinct().withColumnRenamed("a", "set"), "overlap-ends")
     held = stage(_shingles(texts.join(ends, "set"), shingle), "overlap-sets")
     found = stage(_confirmed(first, held, similarity), "overlap-links")
     # Only sets that share a band with another component are searched further.
@@ -246,6 +247,8 @@ def drop_near_duplicates(
     groups = stage(_in_component(sets.select("key", "other", "set"), links), "overlap-components")
     own = F.col("row").getField(doc_id)
     order = F.struct(own.isNull(), own, "key", F.xxhash64(words), "at").alias("order")
-    placed = rows.select("key", "other", order).join(groups, ["key", "other"])
+    placed = stage(rows.select("key", "other", order).join(groups, ["key", "other"]).select("comp", "order"), "overlap-order")
     kept = placed.groupBy("comp").agg(F.min("order").getField("at").alias("at"))
-    return rows.join(kept.select("at"), "at", "left_semi").select("row.*")
+    # The rows that go are fewer than those that stay.
+    gone = stage(placed.select("order.at").join(kept, "at", "left_anti"), "overlap-gone")
+    return rows.join(gone, "at", "left_anti").select("row.*")
