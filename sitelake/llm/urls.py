@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelake.constants import WHITE_SPACE
+from sitelake.llm.batches import by_size
 from sitelake.llm.components import components
 from sitelake.llm.words import ascii_lower
+from sitelake.operators.catalog import nowhere
+from sitelake.operators.parse import CLOSING, MARKUP, NAME, tag_attributes
 from sitelake.session import stage
 
 #: (verdict, host, path): the rules of the query.
@@ -20,9 +27,11 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 _PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
-_LINK = r"(?i)<link\b[^>]*>"
-_META = r"(?i)<meta\b[^>]*>"
-_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+HOST_AND_PATH = re.compile(r"[^:/?#]*://([^/?#]*)(/(?!/).*)", re.S)
+#: Seconds, then the target of a refresh, with or without ``url=`` and quotes.
+REFRESH = re.compile(
+    r"""\s*[0-9.]+\s*(?:[;,]\s*|(?<=\s))(?:url\s*=\s*)?(?:"(?P<dq>[^"]*)|'(?P<sq>[^']*)|(?P<raw>.+))""", re.I | re.S
+)
 
 
 def host_of(url: Column) -> Column:
@@ -40,38 +49,66 @@ def page_key(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), key)
 
 
-def absolute(target: Column, base: Column) -> Column:
-    """A link against the URL of its page; null for an empty link."""
-    root = F.regexp_extract(base, r"(?s)\A(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"(?s)\A(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
-    slash = F.when(folder == root, "/").otherwise("")
-    return (
-        F.when((target == "") | target.startswith("#"), None)
-        .when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(root, target))
-        .otherwise(F.concat(folder, slash, target))
-    )
+def _join(base: str, target: str) -> str | None:
+    """A link against the URL of its page; null for an empty link and one that is no URL."""
+    target = target.strip(WHITE_SPACE)
+    if not target or target.startswith("#"):
+        return None
+    try:
+        # Joined as http whatever the scheme, which is no part of a page's key.
+        whole = urljoin("http://" + base.partition("://")[2], target)
+        # A whole URL keeps its dots when it is joined; its path alone does not.
+        parts = HOST_AND_PATH.fullmatch(whole)
+        return urljoin(f"http://{parts[1]}/", parts[2]) if parts else whole
+    except ValueError:
+        return None
+
+
+def page_links(url: str, html: str) -> list[str]:
+    """Canonical and refresh targets of a page as whole URLs, by its ``<base>`` if it has one."""
+    found, base, at = [], None, 0
+    while (token := MARKUP.match(html, at)) and token["tag"] is not None:
+        tag, at = token["tag"], token.end()
+        end = NAME.match(tag).end()
+        name = tag[:end].lower()
+        if name in ("base", "link", "meta"):
+            values: dict[str, str] = {}
+            for key, value in tag_attributes(tag, end):
+                values.setdefault(key, value)
+            if name == "base":
+                base = base or values.get("href", "").strip(WHITE_SPACE) or None
+            elif name == "link" and "canonical" in values.get("rel", "").lower().split():
+                found.append(values.get("href", ""))
+            elif name == "meta" and values.get("http-equiv", "").strip(WHITE_SPACE).lower() == "refresh":
+                refresh = REFRESH.match(values.get("content", ""))
+                found += [refresh[refresh.lastgroup]] if refresh else []
+        if name in CLOSING:
+            close = CLOSING[name].search(html, at)
+            if close is None:
+                break
+            at = close.end()
+    start = (_join(url, base) if base else None) or url
+    return [whole for target in found if (whole := _join(start, target))]
+
 
+def declared_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``a``-``b`` edges from pages to their canonical and refresh targets.
 
-def _attribute(tag: Column, name: str) -> Column:
-    pattern = rf"(?i)[\s\"']{name}{_VALUE}"
-    return F.trim(F.concat(*[F.coalesce(F.regexp_extract(tag, pattern, i), F.lit("")) for i in (1, 2, 3)]))
+    Markup is read as tags (comments and script bodies hold none), entities are
+    decoded, and ``.`` and ``..`` are followed. Only pages that can have such a tag
+    go to Python.
+    """
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in by_size(frames, "html"):
+            found = [(u, to) for u, text in zip(frame["url"], frame["html"], strict=True) for to in page_links(u, text)]
+            yield pd.DataFrame(found, columns=["url", "to"])
 
-def declared_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``a``-``b`` edges from pages to their canonical and refresh targets."""
-    text = F.col(html)
-    links = F.filter(F.regexp_extract_all(text, F.lit(_LINK), 0), lambda t: _attribute(t, "rel").rlike(r"(?i)(?:\A|\s)canonical(?:\s|\z)"))
-    metas = F.filter(F.regexp_extract_all(text, F.lit(_META), 0), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
-    targets = F.concat(
-        F.transform(links, lambda t: _attribute(t, "href")),
-        F.transform(
-            metas, lambda t: F.regexp_extract(_attribute(t, "content"), r"(?i)url\s*=\s*['\"]?\s*([^'\"\s]+)", 1)
-        ),
-    )
-    found = pages.filter(text.rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("_url"), F.explode(targets).alias("_to"))
-    return found.select(page_key(F.col("_url")).alias("a"), page_key(absolute(F.col("_to"), F.col("_url"))).alias("b"))
+    # A name may be written in entities, too.
+    some = pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
+    some = some.filter(F.contains("url", F.lit("://")) & F.col("html").rlike(r"(?i)canonical|refresh|&#"))
+    found = some.mapInPandas(run, "url string, to string")
+    return found.select(page_key(F.col("url")).alias("a"), page_key(F.col("to")).alias("b"))
 
 
 def rules_frame(spark: SparkSession, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -133,6 +170,8 @@ def judge(
     over any number of hops, are one thing: if a rule blocks one of their URLs,
     those that no rule names are blocked too. A page's own rule, allow or block,
     always comes first; a page that no rule and no link reaches is allowed.
+    Links are relative to the page or its ``<base>``; a link that is empty, only a
+    fragment or no URL links nothing. URLs of pages are compared as they are written.
 
     A null URL, or one without ``://``, has an empty host and path and is allowed;
     equal rows are judged alike; of rules of equal length, allow wins; an empty
@@ -158,6 +197,7 @@ def judge(
         nodes = stage(_judged(nodes, rules).select("node", "component", "_own"), "url-nodes")
         bad = nodes.groupBy("component").agg(F.bool_or(F.coalesce(F.col("_own") == "block", F.lit(False))).alias("_bad"))
         reach = nodes.join(bad, "component").select(F.col("node").alias("_node"), "_bad")
+        own = own.withColumn("_key", F.coalesce("_key", nowhere(own)))
         own = own.join(reach, F.col("_key") == F.col("_node"), "left")
         blocked, linked = F.coalesce("_bad", F.lit(False)), F.col("_node").isNotNull()
     verdict = F.coalesce("_own", F.when(blocked, "block").otherwise("allow"))

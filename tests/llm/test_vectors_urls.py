@@ -150,3 +150,58 @@ def test_an_allow_rule_precedes_a_blocked_alias(spark):
     pages = [(1, "http://www.example.com/en/a", link("canonical", "http://bad.net/es/x")), (2, "http://free.org/", link("canonical", "http://bad.net/es/x"))]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in urls.judge(df).collect()} == {1: "allow", 2: "block"}
+
+
+LINKING = [  # (url, html, where its links go)
+    ("http://a.org/en/deep/p.html", '<link rel=canonical href="../../x/./y">', ["http://a.org/x/y"]),
+    ("http://a.org/en/p", '<link rel="canonical" href="./q">', ["http://a.org/en/q"]),
+    ("http://a.org/en/p", '<link rel="canonical" href="../../../up">', ["http://a.org/up"]),
+    ("http://a.org/p", '<link rel="canonical" href="/q?a=1&amp;b=2#top">', ["http://a.org/q?a=1&b=2#top"]),
+    ("http://a.org/p", '<link rel="&#99;anonical" href="?n=2">', ["http://a.org/p?n=2"]),
+    ("http://a.org/p", '<!-- <link rel="canonical" href="/no"> --><p>', []),
+    ("http://a.org/p", """<script>var t = '<link rel="canonical" href="/no">';</script><link rel=canonical href=/yes>""", ["http://a.org/yes"]),
+    ("http://a.org/p", "<script><link rel=canonical href=/no>", []),
+    ("http://a.org/p", '<p title=\'<link rel="canonical" href="/no">\'>', []),
+    ("http://a.org/p", "<base href='/b/c'><LINK HREF=d REL='alternate Canonical'>", ["http://a.org/b/d"]),
+    ("http://a.org/p", "<meta http-equiv=refresh content='3'><meta name=refresh content='0;url=/no'>", []),
+    ("http://a.org/p", """<meta http-equiv=Refresh content="0; url='/q r'">""", ["http://a.org/q r"]),
+    ("ftp://a.org/p", "<meta http-equiv=refresh content='1,/q'>", ["http://a.org/q"]),
+    ("http://a.org/p", "<link rel=canonical href='#x'><link rel=canonical href=' '><link rel=canonical>", []),
+    ("http://a.org/p", "<link rel=canonical href='https://b.org/x/../y'><link rel=canonical href='mailto:a@b'>", ["http://b.org/y", "mailto:a@b"]),
+    ("http://a.org/p", "<link rel=canonical href='http://[bad'><link rel=canonical href='//b.org'>", ["http://b.org"]),
+]
+
+
+@pytest.mark.parametrize("url, html, found", LINKING)
+def test_links_a_page_declares(url, html, found):
+    assert urls.page_links(url, html) == found
+
+
+def test_blocks_travel_along_declared_links(spark):
+    """Against a plain walk over the links, with a chain of aliases, relative links and null rows."""
+    pages = [
+        ("http://one.org/a/b/c", link("canonical", "../../two")),
+        ("http://one.org/two", "<meta http-equiv=refresh content='0;url=http://three.org/x?a=1&amp;b=2'>"),
+        ("http://three.org/x?a=1&b=2", link("canonical", "http://host.net/fr/./end")),
+        ("http://four.org/", "<!--" + link("canonical", "http://host.net/fr/end") + "-->"),
+        ("http://www.example.com/en/ok", link("canonical", "http://one.org/two")),
+        ("http://five.org/r/s", link("canonical", "../t")),
+        ("http://five.org/t", None),
+        *[(None, link("canonical", "http://host.net/fr/end"))] * 3,
+        *[("http://three.org/x?a=1&b=2", "<p>")] * 2,
+    ]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+
+    def bare(url):
+        return url.partition("://")[2].partition("#")[0]
+
+    edges = [(bare(u), bare(t)) for u, h in pages if u and h for t in urls.page_links(u, h)]
+    blocked = {"host.net/fr/end"}
+    for _ in edges:
+        blocked |= {x for a, b in edges for x in (a, b) if {a, b} & blocked}
+    want = {}
+    for i, (u, _) in enumerate(pages):
+        allowed = not u or u.startswith("http://www.example.com/en/") or bare(u) not in blocked
+        want[i] = "allow" if allowed else "block"
+    got = {r.page_id: r.verdict for r in urls.judge(df).collect()}
+    assert got == want and [i for i, v in got.items() if v == "block"] == [0, 1, 2, 10, 11]
