@@ -297,3 +297,20 @@ def audit_report(
         "site", "pages", "stylesheets", "reached", "files", "external",
         "broken_groups", "broken_links", "truncated", verdict.alias("verdict"),
     )
+
+
+def with_total(report: DataFrame) -> DataFrame:
+    """The rows of a report and one of all sites together, where ``total`` is true and ``site`` null.
+
+    The worst verdict stands for all; no sites have no total.
+    """
+    sums = [c for c in report.columns if c not in ("site", "verdict")]
+
+    def some(verdict: str) -> Column:
+        return F.bool_or(F.col("verdict") == verdict)
+
+    worst = F.when(some("broken"), "broken").when(some("incomplete"), "incomplete").otherwise("clean")
+    rows = report.rollup("site").agg(
+        (F.grouping("site") == 1).alias("total"), *[F.sum(c).alias(c) for c in sums], worst.alias("verdict")
+    )
+    return rows.filter(F.col(sums[0]).isNotNull())  # nothing to add up in an empty report

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelake.constants import PATHS_SHOWN
@@ -22,10 +23,17 @@ from sitelake.operators.audit import (
 )
 from sitelake.operators.catalog import Places
 from sitelake.operators.ordering import natural_key
-from sitelake.operators.parse import parse_docs
+from sitelake.operators.parse import PARSED_DDL, parse_docs
 from sitelake.session import Steps, stage
 
 
+READ_DDL = "site string, rel string, kind string, truncated boolean, readable boolean"
+LINKS_DDL = (
+    "site string, url string, file string, pos int, href string, cls string, external string,"
+    " path string, is_dir boolean, fragment string, found string, missing string"
+)
+
+
 def keep_partitioned(edges: DataFrame, *keys: str) -> DataFrame:
     """Edges kept in the partitioning every step joins on.
 
@@ -120,8 +128,12 @@ def located(pages: DataFrame, catalog: DataFrame | Places) -> DataFrame:
     the distinct targets and for the answers, and later steps read the located
     links column by column.
     """
-    resolved = stage(page_links(pages), "resolved")
-    return stage(locate_links(resolved, catalog), "links")
+    return stage(located_links(pages, catalog), "links")
+
+
+def located_links(pages: DataFrame, catalog: DataFrame | Places) -> DataFrame:
+    """The links of ``located``, not yet written out."""
+    return locate_links(stage(page_links(pages), "resolved"), catalog)
 
 
 def link_graph(links: DataFrame) -> DataFrame:
@@ -135,6 +147,44 @@ def link_graph(links: DataFrame) -> DataFrame:
     )
 
 
+def _visit_steps(entries: DataFrame) -> Steps:
+    """The visits of a crawl, one table per level; the first holds the entries."""
+    steps = Steps(entries.sparkSession, "crawl", "site string, url string, file string, lvl int, ord bigint")
+    start = entries.select("site", F.col("entry").alias("url"), F.col("entry").alias("file")).distinct()
+    _number(steps, start, "site", *natural_key(F.col("url")))
+    return steps
+
+
+def _number(steps: Steps, found: DataFrame, *order: str | Column) -> None:
+    """Write a level; ids grow along the sorted ranges, so they carry the order to the next one."""
+    steps.write(
+        found.orderBy(*order).select(
+            "site", "url", "file", F.lit(steps.count).alias("lvl"), F.monotonically_increasing_id().alias("ord")
+        )
+    )
+
+
+def _visit_new(steps: Steps, followed: DataFrame) -> None:
+    """Write the next level: what the links followed lead to and no level has."""
+    new = (
+        followed.groupBy("site", F.col("to_url").alias("url"))
+        .agg(F.min(F.struct("ord", "pos", "to_file")).alias("_first"))
+        .join(steps.everything().select("site", "url"), ["site", "url"], "left_anti")
+        .select(
+            "site",
+            "url",
+            F.col("_first.to_file").alias("file"),
+            F.col("_first.ord").alias("_parent"),
+            F.col("_first.pos").alias("_pos"),
+        )
+    )
+    _number(steps, new, "_parent", "_pos", "site", "url")
+
+
+def _ordered_visits(steps: Steps) -> DataFrame:
+    return steps.everything().withColumn("ord", F.struct("lvl", F.col("ord").alias("n")))
+
+
 def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
     """Visit each site from its entry page, breadth first.
 
@@ -151,18 +201,7 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
     parsed = parse_site(docs, entries)
     stored_links = located(stored_pages(parsed), places)
     edges = keep_partitioned(stage(link_graph(stored_links), "graph"), "site", "url")
-    steps = Steps(docs.sparkSession, "crawl", "site string, url string, file string, lvl int, ord bigint")
-
-    def number(found: DataFrame, *order) -> None:
-        # Ids grow along the sorted ranges, so they carry the order to the next step.
-        steps.write(
-            found.orderBy(*order).select(
-                "site", "url", "file", F.lit(steps.count).alias("lvl"), F.monotonically_increasing_id().alias("ord")
-            )
-        )
-
-    start = entries.select("site", F.col("entry").alias("url"), F.col("entry").alias("file")).distinct()
-    number(start, "site", *natural_key(F.col("url")))
+    steps = _visit_steps(entries)
     alias_links = Steps(docs.sparkSession, "alias-links", stored_links.schema)
     while True:
         frontier = steps.newest()
@@ -177,21 +216,9 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
             followed = followed.unionByName(
                 link_graph(found).join(aliases.select("site", "url", "ord"), ["site", "url"])
             )
-        new = (
-            followed.groupBy("site", F.col("to_url").alias("url"))
-            .agg(F.min(F.struct("ord", "pos", "to_file")).alias("_first"))
-            .join(steps.everything().select("site", "url"), ["site", "url"], "left_anti")
-            .select(
-                "site",
-                "url",
-                F.col("_first.to_file").alias("file"),
-                F.col("_first.ord").alias("_parent"),
-                F.col("_first.pos").alias("_pos"),
-            )
-        )
-        number(new, "_parent", "_pos", "site", "url")
+        _visit_new(steps, followed)
     edges.unpersist()
-    visits = steps.everything().withColumn("ord", F.struct("lvl", F.col("ord").alias("n")))
+    visits = _ordered_visits(steps)
     links = stored_links
     if alias_links.count:
         links = links.unionByName(alias_links.everything())
@@ -199,6 +226,46 @@ def crawl(docs: DataFrame, catalog: DataFrame, entries: DataFrame) -> Crawl:
     return Crawl(visits, followed, parsed, entries, catalog)
 
 
+def among(docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Documents of a table, for ``crawl_lazily``."""
+    return lambda wanted: docs.join(wanted, ["site", "rel"], "left_semi")
+
+
+def crawl_lazily(read: Callable[[DataFrame], DataFrame], catalog: DataFrame, entries: DataFrame) -> Crawl:
+    """The crawl of ``crawl``, which reads a document only when a link has led to it.
+
+    ``read`` gets files wanted, ``(site, rel)``, each of them once, and gives their
+    documents ``(site, rel, text, truncated, readable)``: ``folders.read_named`` opens
+    just those files, ``among`` looks them up in a table. What nothing links to is
+    neither read nor parsed; in return, each level parses, resolves and locates its own
+    pages, so a crawl of few, large levels is faster read whole.
+    """
+    spark = catalog.sparkSession
+    catalog = stage(catalog.select("site", "rel").distinct(), "catalog")
+    places = Places(catalog).staged()
+    steps = _visit_steps(entries)
+    parsed = Steps(spark, "lazy-parsed", f"{READ_DDL}, {PARSED_DDL}")
+    links = Steps(spark, "lazy-links", LINKS_DDL)
+    while size := (frontier := steps.newest()).count():
+        wanted = frontier.select("site", F.col("file").alias("rel")).distinct()
+        if parsed.count:
+            wanted = wanted.join(parsed.everything().select("site", "rel"), ["site", "rel"], "left_anti")
+        wanted = stage(wanted, "wanted")
+        kind = F.coalesce(doc_kind(F.col("rel")), F.lit("html"))
+        docs = read(wanted).withColumn("kind", kind)
+        parsed.write(parse_docs(docs.select("site", "rel", "kind", "truncated", "readable", "text")))
+        # A page under a second URL was parsed on an earlier level.
+        known = parsed.newest() if wanted.count() == size else parsed.everything()
+        links.write(located_links(visited_pages(frontier.select("site", "url", "file"), known), places))
+        _visit_new(steps, link_graph(links.newest()).join(frontier.select("site", "url", "ord"), ["site", "url"]))
+    if not links.count:
+        parsed.write(spark.createDataFrame([], parsed.schema))
+        links.write(spark.createDataFrame([], links.schema))
+    visits = _ordered_visits(steps)
+    followed = links.everything().join(visits.select("site", "url", "ord"), ["site", "url"])
+    return Crawl(visits, followed, parsed.everything(), entries, catalog)
+
+
 def audit_all(docs: DataFrame, catalog: DataFrame) -> Crawl:
     """Audit with every page as a seed, for sites without an entry: no loop."""
     catalog = catalog.select("site", "rel").distinct()

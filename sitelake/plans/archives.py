@@ -421,9 +421,10 @@ def write_files(site_files: DataFrame) -> str:
     def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from sitelake.sources.files import file_system
 
+        system, top = file_system(folder)
         for frame in frames:
             for site, rel, html in zip(frame["site"], frame["rel"], frame["html"]):
-                system, path = file_system(f"{folder}/{site}/{rel}")
+                path = f"{top}/{site}/{rel}"
                 system.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(path) as out:
                     out.write(html.encode())

@@ -17,6 +17,7 @@ from sitelake.functions.paths import (
 from sitelake.operators import audit, catalog, crawl as crawling, ingest, ordering
 from sitelake.operators.parse import anchor_rows, link_rows, parse_docs
 from sitelake.operators.resolve import resolve_links as resolve, with_page_base
+from sitelake.plans.archives import write_files
 from sitelake.plans.register import Plan
 from sitelake.plans.tables import (
     SQL_FILES,
@@ -29,6 +30,7 @@ from sitelake.plans.tables import (
     word_entries,
     word_site,
 )
+from sitelake.sources.folders import read_folder, read_named, to_docs
 
 plan = Plan()
 QUERIES, ORACLE, query = plan.queries, plan.oracle, plan.query
@@ -427,6 +429,17 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawled(spark, sf_dir).visits.select("site", "url", "file", F.col("lvl").cast("bigint").alias("lvl"))
 
 
+@query(SQL_LEVELS + " SELECT site, url, url AS file, CAST(lvl AS BIGINT) AS lvl FROM levels")
+def crawl_lazy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl of site files in a folder, of which only those reached are opened."""
+    folder = write_files(word_site(spark, sf_dir))
+    top, rest = F.substring_index("rel", "/", 1), F.regexp_extract("rel", "(?s)^[^/]*/(.*)", 1)
+    files = read_folder(spark, folder, content=False).select(top.alias("site"), rest.alias("rel"))
+    done = crawling.crawl_lazily(lambda wanted: to_docs(read_named(wanted, folder, by_site=True)), files, word_entries(files))
+    read = done.parsed.filter("readable").select("site", F.col("rel").alias("file"))
+    return done.visits.join(read, ["site", "file"]).select("site", "url", "file", F.col("lvl").cast("bigint").alias("lvl"))
+
+
 @query(
     SQL_LEVELS
     + " SELECT site, url, CAST(row_number() OVER (PARTITION BY site ORDER BY lvl, trail) AS BIGINT) AS rank FROM trails"
@@ -477,6 +490,19 @@ def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawled(spark, sf_dir).report()
 
 
+@query(
+    f"""
+SELECT site, grouping(site) = 1 AS total, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(stylesheets) AS BIGINT) AS stylesheets,
+  CAST(sum(reached) AS BIGINT) AS reached, CAST(sum(files) AS BIGINT) AS files, CAST(sum(external) AS BIGINT) AS external,
+  CAST(sum(broken_groups) AS BIGINT) AS broken_groups, CAST(sum(broken_links) AS BIGINT) AS broken_links,
+  CAST(sum(truncated) AS BIGINT) AS truncated, min(verdict) AS verdict
+FROM ({SQL_REPORT}) GROUP BY ROLLUP (site)
+"""
+)
+def audit_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.with_total(crawled(spark, sf_dir).report())
+
+
 SUMMARY = ["site", "pages", "reached", "files", "external", "broken_groups", "broken_links", "verdict"]
 
 

@@ -26,6 +26,7 @@ ARROW = pa.schema(
         ("content", pa.binary()),
     ]
 )
+NAMED = pa.schema([("site", pa.string()), ("rel", pa.string()), ("content", pa.binary())])
 #: Folders that are listed on the driver before the rest is left to tasks.
 LISTED = 1000
 FILES_PER_TASK = 1000
@@ -128,6 +129,39 @@ def read_folder(
     return files if visible is None else files.filter(visible)
 
 
+def read_named(wanted: DataFrame, root: str, by_site: bool = False) -> DataFrame:
+    """``(site, rel, content)`` of the files ``(site, rel)`` below a folder, no others opened.
+
+    ``by_site``: each site is a folder of its name in there. Files are dealt over tasks;
+    one that is absent, no file, may not be read or climbs out has no content.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = file_system(root.rstrip("/"))
+        for batch in batches:
+            rows, held = [], 0
+            for row in batch.to_pylist():
+                content = None
+                path = f"{top}/{row['site']}/{row['rel']}" if by_site else f"{top}/{row['rel']}"
+                inside = row["rel"] and ".." not in path.split("/")
+                if inside and system.get_file_info(path).type == fs.FileType.File:
+                    try:
+                        with system.open_input_stream(path, compression=None) as stream:
+                            content = stream.read()
+                    except PermissionError:
+                        pass  # A finding about the file; other failures are the task's.
+                rows.append({**row, "content": content})
+                held += len(content or b"")
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=NAMED)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=NAMED)
+
+    # By name, so that the files of one site or folder are not one task.
+    return wanted.select("site", "rel").repartition("site", "rel").mapInArrow(read, "site string, rel string, content binary")
+
+
 def visible_notes() -> Column:
     """No part of the path begins with a dot."""
     return is_visible_path(F.col("rel"))

@@ -2,6 +2,7 @@
 
 import pytest
 from sitelake.operators import audit, crawl, ordering
+from sitelake.sources.folders import read_named, to_docs
 
 SCHEMA = "site string, rel string, text string, readable boolean, truncated boolean"
 
@@ -88,7 +89,7 @@ SITES = {
 class Audited:
     """All sites checked in one crawl, as plain values."""
 
-    def __init__(self, spark):
+    def __init__(self, spark, lazy):
         rows = [
             (name, rel, text, rel not in site.unreadable, rel in site.truncated)
             for name, site in SITES.items()
@@ -96,7 +97,8 @@ class Audited:
         ]
         docs = spark.createDataFrame(rows, SCHEMA)
         entries = spark.createDataFrame([(n, s.entry) for n, s in SITES.items()], "site string, entry string")
-        run = crawl.crawl(docs, docs.select("site", "rel"), entries)
+        files = docs.select("site", "rel")
+        run = crawl.crawl_lazily(crawl.among(docs), files, entries) if lazy else crawl.crawl(docs, files, entries)
         self.reports = {r["site"]: r.asDict() for r in run.report().collect()}
         self.groups = audit.broken_report(run.broken()).orderBy("rank").collect()
         self.listed = {kind: run.pages(kind).orderBy("pos").collect() for kind in ("html", "css")}
@@ -116,9 +118,9 @@ class Result:
         self.levels = {url: lvl for (site, url), lvl in audited.levels.items() if site == name}
 
 
-@pytest.fixture(scope="module")
-def site(spark):
-    audited = Audited(spark)
+@pytest.fixture(scope="module", params=[False, True], ids=["whole", "lazy"])
+def site(spark, request):
+    audited = Audited(spark, request.param)
     return lambda name: Result(audited, name)
 
 
@@ -212,3 +214,36 @@ def test_deep_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(21)], "src int, dst int")
     found = crawl.reachable(edges, spark.createDataFrame([(0,)], "node int"))
     assert {r["node"]: r["lvl"] for r in found.collect()} == {i: i for i in range(22)}
+
+
+def test_a_lazy_crawl_opens_what_it_reaches(spark, tmp_path):
+    site = {"index.html": "<a href=docs>d</a><a href=docs/>d</a><a href=gone.html>", "docs/index.html": "<a href=../index.html>", "apart.html": "<a href=lost.html>"}
+    for rel, text in site.items():
+        (tmp_path / rel).parent.mkdir(exist_ok=True)
+        (tmp_path / rel).write_text(text)
+    files = spark.createDataFrame([("s", rel) for rel in [*site, "lost.html", "gone.html"]], "site string, rel string")
+    entries = spark.createDataFrame([("s", "index.html")], "site string, entry string")
+    asked = []
+
+    def read(wanted):
+        asked.extend(r["rel"] for r in wanted.collect())
+        return to_docs(read_named(wanted, str(tmp_path)))
+
+    run = crawl.crawl_lazily(read, files, entries)
+    assert sorted(asked) == ["docs/index.html", "gone.html", "index.html"]
+    assert {(r["rel"], r["readable"]) for r in run.parsed.collect()} == {("index.html", True), ("docs/index.html", True), ("gone.html", False)}
+    assert {r["url"]: r["lvl"] for r in run.visits.collect()} == {"index.html": 0, "docs": 1, "docs/index.html": 1, "gone.html": 1}
+    # Shown as "docs", its links start from the folder above.
+    assert {(r["path"], r["reason"]) for r in run.broken().collect()} == {("gone.html", "unreadable"), ("../index.html", "escape")}
+    outside = spark.createDataFrame([("s", "../x"), ("s", "docs")], "site string, rel string")
+    assert [r["content"] for r in read_named(outside, str(tmp_path)).collect()] == [None, None]
+    nothing = crawl.crawl_lazily(read, files, entries.limit(0))
+    assert nothing.visits.collect() == nothing.links.collect() == nothing.broken().collect() == []
+
+
+def test_total_of_a_report(spark):
+    rows = [("a", 2, 1, "clean"), ("b", 3, 0, "incomplete")]
+    report = spark.createDataFrame(rows, "site string, pages long, broken_links long, verdict string")
+    got = {r["site"]: (r["total"], r["pages"], r["broken_links"], r["verdict"]) for r in audit.with_total(report).collect()}
+    assert got == {"a": (False, 2, 1, "clean"), "b": (False, 3, 0, "incomplete"), None: (True, 5, 1, "incomplete")}
+    assert audit.with_total(report.limit(0)).collect() == []
