@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.llm.words import SPACE, word_count
+from sitelake.session import stage
 
 #: About so many labelled documents of each label are learned from.
 SAMPLE_PER_LABEL = 4000
@@ -17,6 +18,8 @@ PAIRS_PER_DOCUMENT = 10
 #: The score that the chosen quantile gets.
 CUT = 0.3
 RIDGE = 1e-3
+#: Steps of strength in which all labelled documents are counted.
+BINS = 4096
 
 
 def features(text: Column) -> list[Column]:
@@ -53,13 +56,14 @@ class Ranker:
     weights: list[float]
     shift: float
 
-    def score(self, text: Column) -> Column:
-        if not self.weights:
-            return F.lit(0.5)
+    def strength(self, text: Column) -> Column:
         total = F.lit(self.shift)
         for weight, feature in zip(self.weights, features(text), strict=True):
             total = total + F.lit(weight) * feature
-        return 1.0 / (1.0 + F.exp(-total))
+        return total
+
+    def score(self, text: Column) -> Column:
+        return 1.0 / (1.0 + F.exp(-self.strength(text))) if self.weights else F.lit(0.5)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -90,19 +94,16 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS_PER_DOCUMENT
     return weights
 
 
-def best_quantile(good: np.ndarray, bad: np.ndarray, good_weight: float, bad_weight: float) -> float:
-    """The quantile of all strengths that parts the labels with the fewest errors.
+def best_cut(good: np.ndarray, bad: np.ndarray) -> int:
+    """The bin from which documents are taken, so that the fewest are on the wrong side.
 
-    Labels count by their number among all labelled rows, not in the sample; of
-    a run of equally good quantiles the middle one is taken.
+    ``good`` and ``bad`` count documents by bin of their strength; of a run of equally
+    good bins the middle one is taken.
     """
-    grid = np.unique(np.quantile(np.concatenate([good, bad]), np.linspace(0, 1, 2001)))
-    middle = np.concatenate([[grid[0]], (grid[1:] + grid[:-1]) / 2])
-    lost = np.searchsorted(np.sort(good), middle) / len(good) * good_weight
-    kept = (1 - np.searchsorted(np.sort(bad), middle) / len(bad)) * bad_weight
-    errors = lost + kept
-    best = np.flatnonzero(errors <= errors.min() + 1e-12)
-    return float(middle[best[len(best) // 2]])
+    lost = np.concatenate([[0], np.cumsum(good)])
+    kept = bad.sum() - np.concatenate([[0], np.cumsum(bad)])
+    best = np.flatnonzero(lost + kept == (lost + kept).min())
+    return int(best[len(best) // 2])
 
 
 def fit(
@@ -116,35 +117,64 @@ def fit(
 ) -> Ranker:
     """Learn from the labelled documents for which ``learn`` (over ``_id``) holds.
 
-    Rows are drawn by a hash of their id, so that about ``per_label`` of each
-    label remain whatever the size of the table; only they meet the documents.
-    Labels other than 0 and 1, null ids and documents without a label teach
-    nothing. Where one label is missing nothing can be ranked: all score 0.5.
+    The weights are learned from a sample: ids are drawn by their hash, so that about
+    ``per_label`` of each label remain whatever the size of the table, and where drawn
+    ids name more than twice as many documents, these are drawn by the hash of their
+    text. Copies under one id teach once. The quantile where documents are parted is
+    that of all labelled documents, counted by strength in ``BINS`` equal steps.
+    Labels other than 0 and 1, null ids and documents without a label teach nothing; an
+    id with both labels counts as both. Where one label is missing nothing can be
+    ranked: all score 0.5.
     """
     marked = labels.select(F.col(doc_id).alias("_id"), F.col(quality).cast("int").alias("_label")).filter(
         F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & learn
     )
-    count = {r["_label"]: r["count"] for r in marked.groupBy("_label").count().collect()}
-    if len(count) < 2:
+    marked = stage(marked.distinct(), "quality-labels")
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+
+    def counts(frame: DataFrame) -> dict[int, int]:
+        return {r["_label"]: r["count"] for r in frame.groupBy("_label").count().collect()}
+
+    def share(count: dict[int, int], wanted: int) -> Column:
+        return F.when(F.col("_label") == 1, min(1.0, wanted / count[1])).otherwise(min(1.0, wanted / count[0]))
+
+    def place(*of: str) -> Column:
+        return F.pmod(F.xxhash64(*of), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    ids = counts(marked)
+    if len(ids) < 2:
+        return Ranker([], 0.0)
+    drawn = stage(marked.filter(place("_id") < share(ids, per_label)), "quality-drawn")
+    found = counts(texts.select("_id").join(drawn, "_id"))
+    if len(found) < 2:
         return Ranker([], 0.0)
-    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.when(F.col("_label") == 1, min(1.0, per_label / count[1])).otherwise(min(1.0, per_label / count[0]))
-    # About 2 * per_label rows of an id and a label: a size that never grows.
-    drawn = F.broadcast(marked.filter(place < share))
     rows = (
-        docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-        .join(drawn, "_id")
-        .select("_label", *[f.alias(f"_{i}") for i, f in enumerate(features(F.col("_text")))])
+        texts.join(drawn, "_id")
+        .filter(place("_id", "_text") < share(found, 2 * per_label))
+        .select("_id", "_label", *[f.alias(f"_{i}") for i, f in enumerate(features(F.col("_text")))])
+        .distinct()
+        .drop("_id")
         .toPandas()
     )
     label, x = rows["_label"].to_numpy(), rows.drop(columns="_label").to_numpy(float)
     if not (label == 1).any() or not (label == 0).any():
         return Ranker([], 0.0)
     scale = np.maximum(x.std(axis=0), 1e-9)
-    good, bad = x[label == 1] / scale, x[label == 0] / scale
-    weights = fit_pairs(good, bad)
-    cut = best_quantile(good @ weights, bad @ weights, count[1], count[0])
-    return Ranker(list(weights / scale), float(np.log(CUT / (1 - CUT)) - cut))
+    weights = fit_pairs(x[label == 1] / scale, x[label == 0] / scale) / scale
+    ranker = Ranker([float(w) for w in weights], 0.0)
+    # Strengths outside the sample's range fall into the outer bins.
+    strengths = x @ weights
+    low = float(strengths.min())
+    step = max(float(strengths.max()) - low, 1e-9) / BINS
+    at = F.floor((ranker.strength(F.col("_text")) - low) / step)
+    bins = texts.select("_id", F.least(F.greatest(at, F.lit(0)), F.lit(BINS - 1)).cast("int").alias("_bin"))
+    counted = bins.join(marked, "_id").groupBy("_label", "_bin").count().toPandas()
+    good, bad = (
+        np.bincount(side["_bin"], weights=side["count"], minlength=BINS).astype(np.int64)
+        for side in (counted[counted["_label"] == 1], counted[counted["_label"] == 0])
+    )
+    cut = low + best_cut(good, bad) * step
+    return Ranker(ranker.weights, float(np.log(CUT / (1 - CUT)) - cut))
 
 
 def scored(docs: DataFrame, ranker: Ranker, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
