@@ -23,8 +23,12 @@ QUERIES, ORACLE, query = plan.queries, plan.oracle, plan.query
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a stream."""
-    return stream_table(spark, sf_dir, table(spark, sf_dir, name).schema, f"{name}.parquet")
+    """A given table as a stream, be it one file or a folder of files.
+
+    The path is a pattern that only the table fits: Spark's file streams take no
+    path of a single file as it is.
+    """
+    return stream_table(spark, f"{sf_dir}/{name}.parque[t]", table(spark, sf_dir, name).schema, "*")
 
 
 def restream(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelake.operators import history, prompts
+from sitelake.plans import streams as stream_plans
 from sitelake.session import new_folder
 from sitelake.streaming import jobs
 from sitelake.streaming.folders import MERGE, FolderStreamReader, Listings
@@ -198,3 +199,22 @@ def test_routing(spark, url, status):
     files = spark.createDataFrame([("s", "index.html"), ("s", "docs/index.html")], "site string, rel string")
     asked = spark.createDataFrame([("s", url)], "site string, url string")
     assert jobs.route_stream(asked, files).first()["status"] == status
+
+
+def test_given_tables_are_streamed_from_one_file_or_a_folder_of_files(spark, tmp_path):
+    schema = "page_id long, url string, html string"
+    pages = [(1, "https://h.example/a.html", "1"), (2, "https://h.example/b/", "2"), (3, "https://i.example/a.html", "3")]
+    whole, parts = tmp_path / "whole", tmp_path / "parts"
+    spark.createDataFrame(pages, schema).coalesce(1).write.parquet(str(tmp_path / "one"))
+    whole.mkdir()
+    next((tmp_path / "one").glob("part-*")).rename(whole / "pages.parquet")
+    # A table whose name ends alike is another one.
+    spark.createDataFrame([(9, "https://x.example/", "9")], schema).write.parquet(str(parts / "old_pages.parquet"))
+    spark.createDataFrame(pages, schema).repartition(2, "page_id").write.parquet(str(parts / "pages.parquet"))
+    for folder in (whole, parts):
+        rows = stream_plans.stream_pages(spark, str(folder)).collect()
+        assert sorted((r["page_id"], r["site"], r["rel"]) for r in rows) == [
+            (1, "h.example", "a.html"), (2, "h.example", "b/index.html"), (3, "i.example", "a.html")
+        ]
+        newest = stream_plans.stream_latest(spark, str(folder)).collect()
+        assert sorted((r["rel"], r["page_id"]) for r in newest) == [("a.html", 3), ("b/index.html", 2)]
