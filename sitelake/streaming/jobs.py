@@ -87,6 +87,14 @@ def _chunk(row) -> tuple:
     return int(row.ord), row.content, tokens, bool(row.done), error
 
 
+def _silent_at(millis: int) -> int:
+    """The first event time at which more than the allowed silence has passed.
+
+    Timers run out when the watermark reaches them, not only when it passes them.
+    """
+    return millis + CHAT_SILENCE_SECONDS * 1000 + 1
+
+
 class ChatAnswers(StatefulProcessor):
     """Collects the chunks of a response until it is complete or falls silent.
 
@@ -126,7 +134,7 @@ class ChatAnswers(StatefulProcessor):
             return
         self.progress.update((n, top, ended))
         self._forget_timers()
-        self.handle.registerTimer(latest + CHAT_SILENCE_SECONDS * 1000)
+        self.handle.registerTimer(_silent_at(latest))
 
     def _kept(self) -> list[tuple]:
         return [(number, *value) for (number,), value in self.chunks.iterator()]
@@ -148,7 +156,7 @@ class ChatAnswers(StatefulProcessor):
             self.progress.clear()
             self._forget_timers()
         self.finished.update((True,))
-        self.handle.registerTimer(at + CHAT_SILENCE_SECONDS * 1000)
+        self.handle.registerTimer(_silent_at(at))
         parts = sorted(parts, key=lambda p: p[0])
         errors = [p[4] for p in parts if p[4] is not None]
         answer = "".join(p[1] for p in parts)

@@ -218,3 +218,18 @@ def test_given_tables_are_streamed_from_one_file_or_a_folder_of_files(spark, tmp
         ]
         newest = stream_plans.stream_latest(spark, str(folder)).collect()
         assert sorted((r["rel"], r["page_id"]) for r in newest) == [("a.html", 3), ("b/index.html", 2)]
+
+
+def test_a_response_silent_for_just_ten_minutes_is_not_given_up(spark, tmp_path):
+    # Of the newest response 13 the watermark stands at 12; 2 never ends and is silent until then.
+    turns = [(i, t, "user", "x") for i in range(14) for t in range(2)]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    table.write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r["request_id"]: r["status"] for r in stream_plans.stream_chat(spark, str(tmp_path)).collect()}
+    assert sorted(found) == [i for i in range(14) if i not in (2, 7, 12)]
+    # One more minute and it is.
+    later = tmp_path / "later"
+    more = spark.createDataFrame([(14, t, "user", "x") for t in range(2)], table.schema)
+    table.unionByName(more).write.parquet(str(later / "conversations.parquet"))
+    found = {r["request_id"]: r["status"] for r in stream_plans.stream_chat(spark, str(later)).collect()}
+    assert found[2] == "unfinished" and sorted(found) == [i for i in range(15) if i not in (7, 12)]
