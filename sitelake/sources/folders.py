@@ -30,6 +30,8 @@ NAMED = pa.schema([("site", pa.string()), ("rel", pa.string()), ("content", pa.b
 #: Folders that are listed on the driver before the rest is left to tasks.
 LISTED = 1000
 FILES_PER_TASK = 1000
+#: Tasks that the folders below are dealt to; a task costs more than a small folder.
+WALKS = 200
 BATCH_BYTES = 32 * 1024 * 1024
 BATCH_ROWS = 10_000
 
@@ -43,7 +45,7 @@ class FolderPart(InputPartition):
 
 
 class FolderReader(DataSourceReader):
-    """The driver lists the upper folders only; each folder below them is a task.
+    """The driver lists the upper folders only; those below them are dealt to tasks.
 
     ``content`` "false" lists files without opening them.
     """
@@ -63,15 +65,21 @@ class FolderReader(DataSourceReader):
                 waiting += [f.path for f in found if f.type == fs.FileType.Directory]
                 listed += 1
         parts = [FolderPart(files[i : i + FILES_PER_TASK], []) for i in range(0, len(files), FILES_PER_TASK)]
-        return parts + [FolderPart([], [folder]) for folder in waiting] or [FolderPart([], [])]
+        # In turn, so that neighbours, which are often alike in size, are not one task.
+        parts += [FolderPart([], waiting[i::WALKS]) for i in range(min(WALKS, len(waiting)))]
+        return parts or [FolderPart([], [])]
+
+    def _found(self, system: fs.FileSystem, partition: FolderPart) -> Iterator[fs.FileInfo]:
+        """What a task has to read, one folder's tree held at a time."""
+        if partition.files:
+            yield from system.get_file_info(partition.files)
+        for folder in partition.folders:
+            yield from system.get_file_info(fs.FileSelector(folder, recursive=True))
 
     def read(self, partition: FolderPart) -> Iterator[pa.RecordBatch]:
         system, root = file_system(self.root)
-        found = system.get_file_info(partition.files) if partition.files else []
-        for folder in partition.folders:
-            found += system.get_file_info(fs.FileSelector(folder, recursive=True))
         rows, held = [], 0
-        for info in found:
+        for info in self._found(system, partition):
             if info.type != fs.FileType.File:
                 continue
             content = None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitelake.constants import ENTRY_NAMES, MAX_WARC_RECORD
 from sitelake.functions.paths import content_type
 from sitelake.operators import archives, catalog, crawl, ordering
-from sitelake.sources.folders import read_folder, to_docs, visible_notes
+from sitelake.sources.folders import WALKS, FolderReader, read_folder, to_docs, visible_notes
 from sitelake.sources.sites import read_site, write_site
 from sitelake.sources.warc import read_wacz, read_warc
 from sitelake.sources.zips import read_zip_catalog, read_zip_members
@@ -334,3 +334,15 @@ def test_requests(spark):
         "/../x": (403, None),
         "/a//b": (403, None),
     }
+
+
+def test_many_small_folders_are_dealt_to_a_bounded_number_of_tasks(tmp_path):
+    names = [f"f{i}/deep/{i}.txt" for i in range(1500)] + ["top.txt"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    reader = FolderReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) <= WALKS + 1
+    rows = [row for part in parts for batch in reader.read(part) for row in batch.to_pylist()]
+    assert sorted((r["rel"], r["content"].decode()) for r in rows) == sorted((n, n) for n in names)
