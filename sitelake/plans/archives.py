@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -418,19 +419,20 @@ def write_files(site_files: DataFrame) -> str:
     spark = site_files.sparkSession
     folder = new_folder(spark, "folder")
 
-    def save(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sitelake.sources.files import file_system
 
         system, top = file_system(folder)
-        for frame in frames:
-            for site, rel, html in zip(frame["site"], frame["rel"], frame["html"]):
+        for batch in batches:
+            # Row by row out of the batch, so that no second copy of it is held.
+            for site, rel, html in zip(batch.column("site"), batch.column("rel"), batch.column("html")):
                 path = f"{top}/{site}/{rel}"
                 system.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(path) as out:
-                    out.write(html.encode())
-            yield frame[["site"]]
+                    out.write(html.as_buffer())
+            yield batch.select(["site"])
 
-    site_files.select("site", "rel", "html").mapInPandas(save, "site string").write.format("noop").mode("overwrite").save()
+    site_files.select("site", "rel", "html").mapInArrow(save, "site string").write.format("noop").mode("overwrite").save()
     return folder
 
 

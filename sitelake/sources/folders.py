@@ -32,7 +32,7 @@ LISTED = 1000
 FILES_PER_TASK = 1000
 #: Tasks that the folders below are dealt to; a task costs more than a small folder.
 WALKS = 200
-BATCH_BYTES = 32 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 BATCH_ROWS = 10_000
 
 

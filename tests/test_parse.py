@@ -1,6 +1,10 @@
 """Links, anchors and bases of HTML and CSS."""
 
+import pyarrow as pa
+
+from sitelake.functions.pieces import pieces
 from sitelake.operators.parse import (
+    _parse_batches,
     anchor_rows,
     css_links,
     html_items,
@@ -103,3 +107,15 @@ def test_long_lines_of_brackets(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
     found = note_link_rows(df).groupBy("n").count().collect()
     assert {r["n"]: r["count"] for r in found}[4] == 20_000
+
+
+def test_batches_are_parsed_in_pieces_of_bounded_size():
+    texts = ["x" * 10, None, "y" * 3_000_000, "z" * 3_000_000, "w" * 9_000_000, "", '<a href="/v">' + "v" * 10]
+    batch = pa.RecordBatch.from_pydict({"n": list(range(7)), "kind": ["html"] * 7, "text": pa.array(texts, pa.string())})
+    assert [p.column("n").to_pylist() for p in pieces(batch, "text")] == [[0, 1, 2], [3], [4], [5, 6]]
+    assert [p.num_rows for p in pieces(batch.slice(0, 0), "text")] == [0]
+    parsed = list(_parse_batches(iter([batch])))
+    assert len(parsed) == 4
+    rows = [row for part in parsed for row in part.to_pylist()]
+    assert [row["n"] for row in rows] == list(range(7))
+    assert [[link["href"] for link in row["links"]] for row in rows] == [[]] * 6 + [["/v"]]
