@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitelake.session import stage
+from sitelake.session import stage, staged
 
 #: Words of the longest phrases and the occurrences that make a candidate.
 WORDS, LEAST = 3, 10
@@ -32,10 +32,12 @@ KEY_BITS = 40
 #: Bits of the count that stands behind a key in one number; larger counts of a
 #: shard are cut to that, as they are frequent anyway.
 COUNT_BITS = 63 - KEY_BITS
+#: Phrases that a task sums over its shards before it sends them.
+HELD = 400_000
+#: Parts that phrases are dealt to, at least, and shards to a part beyond that.
+PARTS, PART_SHARDS = 128, 8
 #: Bytes of a batch of texts or indexes that a task holds, about.
 BATCH_BYTES = "2m"
-#: Rows of a batch that a shard sends.
-BATCH = 50_000
 
 # Characters that end a piece; one of them stands for all.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -206,13 +208,20 @@ def _keys(hashes: np.ndarray) -> np.ndarray:
     return total >> np.uint64(64 - KEY_BITS)
 
 
-def _sieve(keys: DataFrame) -> np.ndarray:
-    """Bits of the slots, the leading bits of a key, that ``keys`` fall into."""
-    slot = F.shiftright("key", KEY_BITS - SIEVE_BITS)
-    words = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at"))
-    rows = words.agg(F.expr("bit_or(shiftleft(1L, int(slot & 63)))").alias("bits")).toPandas()
+def _slot_bits(keys: np.ndarray) -> pa.RecordBatch:
+    """The slots, the leading bits of a key, that sorted ``keys`` fall into: numbers of 64 slots and their bits."""
+    slots = keys >> (KEY_BITS - SIEVE_BITS)
+    at, first = np.unique(slots >> 6, return_index=True)
+    bits = np.int64(1) << (slots & 63)
+    bits = np.bitwise_or.reduceat(bits, first) if len(bits) else bits
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits)], ["at", "bits"])
+
+
+def _sieve(frequent: DataFrame) -> np.ndarray:
+    """Bits of all slots; two parts may share 64 slots."""
+    rows = frequent.toPandas()
     bits = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
-    bits[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    np.bitwise_or.at(bits, rows["at"].to_numpy(np.int64), rows["bits"].to_numpy(np.int64))
     return bits.view(np.uint64)
 
 
@@ -223,9 +232,30 @@ def _passes(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 # --- shards as rows ---------------------------------------------------------
 
-_SHARDS = "lang string, total long, names binary, left binary, right binary"
+_SHARDS = "lang string, total long, symbols long, letters long, names binary, left binary, right binary"
 _COUNTS = "lang string, phrase string, size int, n long, begins long, ends long"
-_NAMES = ["lang", "phrase", "size", "n", "begins", "ends"]
+_PACKS = pa.schema(
+    [("part", pa.int32()), ("lang", pa.string()), ("rows", pa.int64()), ("bytes", pa.int64()), ("packed", pa.binary())]
+)
+_PACKED = "part int, lang string, rows long, bytes long, packed binary"
+
+
+def _planes(column: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, which compress far better than number by number."""
+    return np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1).T).tobytes()
+
+
+def _from_planes(raw: memoryview, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _pack(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, size: int) -> memoryview:
+    return memoryview(pa.decompress(packed, size, codec="zstd", asbytes=True)) if size else memoryview(b"")
 
 
 def shards(docs: DataFrame, lang: str = "lang", text: str = "text", words: int = WORDS, size: int = SHARD) -> DataFrame:
@@ -238,11 +268,12 @@ def shards(docs: DataFrame, lang: str = "lang", text: str = "text", words: int =
     def row(lang: str, texts: list[bytes]) -> pa.RecordBatch:
         index = Index.of(words_of(END.join(texts)), words)
         total = int(index.counts()[1:].sum())
-        blobs = [END.join(index.names[1:]), index.left.tobytes(), index.right.tobytes()]
-        columns = [[lang], [total], *[[b] for b in blobs]]
-        kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        blobs = [END.join(index.names[1:]), _planes(index.left), _planes(index.right)]
+        columns = [[lang], [total], [len(index.left)], [len(blobs[0])], *[[_pack(b)] for b in blobs]]
+        kinds = [pa.string(), *[pa.int64()] * 3, *[pa.binary()] * 3]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "total", "names", "left", "right"]
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+            ["lang", "total", "symbols", "letters", "names", "left", "right"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +301,8 @@ def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def _loaded(row: dict) -> Index:
-    names = [END, *row["names"].split(END)] if row["names"] else [END]
-    return Index(names, np.frombuffer(row["left"], np.int32), np.frombuffer(row["right"], np.int32))
+    names = [END, *bytes(_unpack(row["names"], row["letters"])).split(END)] if row["letters"] else [END]
+    return Index(names, *(_from_planes(_unpack(row[c], 4 * row["symbols"]), np.int32) for c in ("left", "right")))
 
 
 def _levels(index: Index, hashes: np.ndarray, sieves: list, words: int) -> Iterator[Nodes]:
@@ -291,59 +322,165 @@ def _levels(index: Index, hashes: np.ndarray, sieves: list, words: int) -> Itera
             nodes = nodes.take(_passes(sieves[k].value, hashes[nodes.words[:, 1:]]))
 
 
-def _frequent(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
-    """Keys of phrases, one word longer than the last sieve's, that may occur ``least`` times."""
+def _parts(indexes: DataFrame) -> int:
+    return max(PARTS, indexes.count() // PART_SHARDS)
+
+
+def _dealt(part: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """Where the rows of each part begin and end, for sorted parts."""
+    ends = np.searchsorted(part, np.arange(parts + 1))
+    for p in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+        yield p, int(ends[p]), int(ends[p + 1])
 
-    def keys(row: dict) -> pa.Array:
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are ranges of keys."""
+    return keys * parts >> KEY_BITS
+
+
+def _least_key(part: int, parts: int) -> int:
+    return -(-(part << KEY_BITS) // parts)
+
+
+def _packs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKS, strict=True)], schema=_PACKS
+    )
+
+
+def _packed(indexes: DataFrame, held: Callable[[dict], tuple], size: Callable, pack: Callable) -> DataFrame:
+    """What shards hold, ``HELD`` phrases at a time as ``pack`` sums and packs them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list = []
+        number = 0
+        for batch in batches:
+            for row in _one_by_one(batch):
+                for found in filter(size, held(row)):
+                    waiting.append(found)
+                    number += size(found)
+                    if number >= HELD:
+                        yield from pack(waiting)
+                        waiting, number = [], 0
+                pa.default_memory_pool().release_unused()
+        if number:
+            yield from pack(waiting)
+
+    return indexes.mapInArrow(run, _PACKED)
+
+
+def _summed_keys(counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and their counts, of keys with a count behind each."""
+    counted = np.sort(counted)
+    keys = counted >> COUNT_BITS
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counted & ((1 << COUNT_BITS) - 1), first)
+
+
+def _pack_keys(waiting: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Per part: the gaps between its keys, and the counts."""
+    keys, counts = _summed_keys(np.concatenate(waiting))
+    gaps = np.diff(keys, prepend=0)
+    out = []
+    for p, start, end in _dealt(_part_of(keys, parts), parts):
+        own = gaps[start:end].copy()
+        own[0] = keys[start] - _least_key(p, parts)
+        raw = _planes(own) + _planes(counts[start:end])
+        out.append((p, None, end - start, len(raw), _pack(raw)))
+    yield _packs(out)
+
+
+def _unpack_keys(row: dict, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    raw, half = _unpack(row["packed"], row["bytes"]), row["bytes"] // 2
+    gaps = _from_planes(raw[:half], np.int64)
+    return np.cumsum(gaps) + _least_key(row["part"], parts), _from_planes(raw[half:], np.int64)
+
+
+def _frequent(indexes: DataFrame, sieves: list, least: int, parts: int) -> DataFrame:
+    """``at, bits``: slots of the phrases, one word longer than the last sieve's, that may occur ``least`` times."""
+
+    def keys(row: dict) -> Iterator[np.ndarray]:
         index = _loaded(row)
         hashes = _word_hashes(row["lang"], index.names)
         for nodes in _levels(index, hashes, sieves, len(sieves) + 1):
             longest = nodes
         counts = np.minimum(longest.count, (1 << COUNT_BITS) - 1)
-        return pa.array(_keys(hashes[longest.words]).view(np.int64) << COUNT_BITS | counts)
+        yield _keys(hashes[longest.words]).view(np.int64) << COUNT_BITS | counts
+
+    def slots(packs: pa.Table) -> pa.Table:
+        found = [_unpack_keys(row, parts) for row in packs.to_pylist()]
+        keys = np.concatenate([k for k, _ in found])
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        total = np.add.reduceat(np.concatenate([n for _, n in found])[order], first)
+        return pa.Table.from_batches([_slot_bits(keys[first][total >= least])])
+
+    packs = _packed(indexes, keys, len, lambda waiting: _pack_keys(waiting, parts))
+    return packs.groupBy("part").applyInArrow(slots, "at long, bits long")
+
+
+def _summed_phrases(tables: list[pa.Table]) -> pa.Table:
+    """``phrase, n, begins, ends`` and what else is the same for a phrase, once per phrase."""
+    table = pa.concat_tables(tables)
+    sums = [(c, "sum") for c in ("n", "begins", "ends")] + [(c, "min") for c in table.column_names if c == "key"]
+    summed = table.group_by("phrase", use_threads=False).aggregate(sums)
+    return summed.rename_columns([c.removesuffix("_sum").removesuffix("_min") for c in summed.column_names])
+
+
+def _pack_phrases(waiting: list[tuple[str, pa.Table]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Per language and part: the three numbers of its phrases, and the phrases."""
+    for lang in dict.fromkeys(name for name, _ in waiting):
+        table = _summed_phrases([t for name, t in waiting if name == lang])
+        part = _part_of(table["key"].to_numpy(), parts)
+        order = np.argsort(part, kind="stable")
+        phrases = table["phrase"].combine_chunks().take(pa.array(order))
+        numbers = [table[c].to_numpy()[order] for c in ("n", "begins", "ends")]
+        out = []
+        for p, start, end in _dealt(part[order], parts):
+            raw = b"".join(_planes(c[start:end]) for c in numbers) + END.join(phrases[start:end].to_pylist())
+            out.append((p, lang, end - start, len(raw), _pack(raw)))
+        yield _packs(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _one_by_one(batch):
-                yield from _sliced(["counted"], [keys(row)])
-                pa.default_memory_pool().release_unused()
 
-    counted = indexes.mapInArrow(run, "counted long")
-    key = F.shiftright("counted", COUNT_BITS).alias("key")
-    number = F.sum(F.col("counted").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)))
-    return counted.groupBy(key).agg(number.alias("n")).filter(F.col("n") >= least).select("key")
+def _unpack_phrases(row: dict) -> pa.Table:
+    raw, plane = _unpack(row["packed"], row["bytes"]), 8 * row["rows"]
+    numbers = [_from_planes(raw[i * plane : (i + 1) * plane], np.int64) for i in range(3)]
+    phrases = pa.array(bytes(raw[3 * plane :]).split(END), pa.binary())
+    return pa.table([phrases, *numbers], ["phrase", "n", "begins", "ends"])
 
 
-def _counted(indexes: DataFrame, sieves: list, least: int) -> DataFrame:
+def _counted(indexes: DataFrame, sieves: list, least: int, parts: int) -> DataFrame:
     """``lang, phrase, size, n, begins, ends`` of all frequent phrases, summed over the shards."""
 
-    def levels(row: dict) -> Iterator[pa.RecordBatch]:
+    def levels(row: dict) -> Iterator[tuple[str, pa.Table]]:
         index = _loaded(row)
         names = pa.array(index.names, pa.binary())
         hashes = _word_hashes(row["lang"], index.names)
         for nodes in _levels(index, hashes, sieves, len(sieves)):
-            parts = [names.take(pa.array(column)) for column in nodes.words.T]
-            phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, b" ")
-            lang = pa.array([row["lang"]] * len(phrase), pa.string())
-            size = pa.array(np.full(len(phrase), len(parts)), pa.int32())
+            words = [names.take(pa.array(column)) for column in nodes.words.T]
+            phrase = words[0] if len(words) == 1 else pc.binary_join_element_wise(*words, b" ")
             numbers = [pa.array(c, pa.int64()) for c in (nodes.count, *index.edges(nodes))]
-            yield from _sliced(_NAMES, [lang, phrase.cast(pa.string()), size, *numbers])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _one_by_one(batch):
-                yield from levels(row)
-                pa.default_memory_pool().release_unused()
-
-    summed = [F.sum(c).cast("long").alias(c) for c in ("n", "begins", "ends")]
-    counted = indexes.mapInArrow(run, _COUNTS).groupBy("lang", "phrase", "size").agg(*summed)
-    return counted.filter(F.col("n") >= least)
+            key = pa.array(_keys(hashes[nodes.words]).view(np.int64))
+            yield row["lang"], pa.table([phrase, *numbers, key], ["phrase", "n", "begins", "ends", "key"])
 
+    def frequent(packs: pa.Table) -> pa.Table:
+        by_lang: dict[str, list[pa.Table]] = {}
+        for row in packs.to_pylist():
+            by_lang.setdefault(row["lang"], []).append(_unpack_phrases(row))
+        out = []
+        for lang, tables in by_lang.items():
+            table = _summed_phrases(tables)
+            table = table.filter(pc.greater_equal(table["n"], least))
+            size = pc.add(pc.count_substring(table["phrase"], " "), 1).cast(pa.int32())
+            names = pa.array([lang] * len(table), pa.string())
+            numbers = [table[c] for c in ("n", "begins", "ends")]
+            columns = [names, table["phrase"].cast(pa.string()), size, *numbers]
+            out.append(pa.table(columns, ["lang", "phrase", "size", "n", "begins", "ends"]))
+        return pa.concat_tables(out)
 
-def _sliced(names: list[str], columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-    batch = pa.RecordBatch.from_arrays(columns, names)
-    for at in range(0, len(batch), BATCH):
-        yield batch.slice(at, BATCH)
+    packs = _packed(indexes, levels, lambda found: found[1].num_rows, lambda waiting: _pack_phrases(waiting, parts))
+    return packs.groupBy("part").applyInArrow(frequent, _COUNTS)
 
 
 @contextmanager
@@ -383,12 +520,14 @@ def count_phrases(
     """
     spark = docs.sparkSession
     with _small_batches(spark):
-        indexes = stage(shards(docs, lang, text, words, size), "phrases-shards")
-        sieves: list = []
-        for _ in range(words):
-            sieves.append(spark.sparkContext.broadcast(_sieve(_frequent(indexes, sieves, least))))
-        every = stage(_counted(indexes, sieves, least), "phrases")
-    return Counts(indexes.groupBy("lang").agg(F.sum("total").alias("n")), every)
+        with staged(shards(docs, lang, text, words, size), "phrases-shards") as indexes:
+            parts = _parts(indexes)
+            sieves: list = []
+            for _ in range(words):
+                sieves.append(spark.sparkContext.broadcast(_sieve(_frequent(indexes, sieves, least, parts))))
+            every = stage(_counted(indexes, sieves, least, parts), "phrases")
+            totals = stage(indexes.groupBy("lang").agg(F.sum("total").alias("n")), "phrases-totals")
+    return Counts(totals, every)
 
 
 # --- scores -----------------------------------------------------------------

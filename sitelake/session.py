@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,14 +53,18 @@ def drop_staged() -> None:
 
     Call it when no result built on them is needed any more.
     """
+    while _made:
+        _drop(_made.pop())
+
+
+def _drop(folder: str) -> None:
     from pyarrow import fs
 
     from sitelake.sources.files import file_system
 
-    while _made:
-        system, path = file_system(_made.pop())
-        if system.get_file_info(path).type == fs.FileType.Directory:
-            system.delete_dir(path)
+    system, path = file_system(folder)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -67,9 +73,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage for everything built on it, survives the loss of any
     executor, and lets later readers prune columns and push filters.
     """
-    path = new_folder(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _written(df, new_folder(df.sparkSession, label))
+
+
+@contextmanager
+def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """As ``stage``, for a table that nothing reads after the block, where it is deleted."""
+    folder = new_folder(df.sparkSession, label)
+    try:
+        yield _written(df, folder)
+    finally:
+        _drop(folder)
+
+
+def _written(df: DataFrame, folder: str) -> DataFrame:
+    df.write.mode("errorifexists").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 class Steps:

@@ -1,5 +1,6 @@
 """Secrets, collocations and token alignment against plain Python."""
 
+import glob
 import hashlib
 import itertools
 import random
@@ -13,6 +14,7 @@ import pytest
 
 from sitelake.llm import alignment, phrases, queries, secretscan
 from sitelake.plans.tables import table
+from sitelake.session import shared_dir
 from tests.llm import helpers
 
 SF = "/root/testdata/sf0.001"
@@ -205,6 +207,45 @@ def test_scores_beyond_64_bits(spark):
     assert row.score == 1_000_000 * (10**9 + 7) ** 2 // (3 * 10**9 * (2 * 10**9 + 1))
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    found = context.statusStore().stageList(None, False, False, none, None)
+    return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+
+def test_counting_sends_and_keeps_little(spark):
+    draw = np.random.default_rng(3)
+    kinds = [f"word{i:x}" for i in range(3000)]
+    rows = [("en", " ".join(kinds[int(i) % 3000] for i in draw.zipf(1.3, 2000))) for _ in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(4)
+    before, folders = shuffled(spark), set(glob.glob(shared_dir(spark).removeprefix("file:") + "/*"))
+    counts = phrases.count_phrases(docs, size=300_000)
+    sent = shuffled(spark) - before
+    made = set(glob.glob(shared_dir(spark).removeprefix("file:") + "/*")) - folders
+    assert sent < 4 * 400_000
+    assert made and not [f for f in made if "phrases-shards" in f]
+    assert [r.n for r in counts.totals.collect()] == [400_000]
+    f = Counter(w for _, t in rows for w in zip(*(t.split()[k:] for k in range(3)), strict=False))
+    got = {r.phrase: r.n for r in counts.phrases.filter("size = 3").collect()}
+    assert got == {" ".join(w): n for w, n in f.items() if n >= 10} and len(got) > 100
+
+
+def test_packs_keep_every_number():
+    draw = np.random.default_rng(5)
+    for parts in (1, 3, 128, 1000):
+        keys = np.unique(np.append(draw.integers(0, 1 << phrases.KEY_BITS, 500), [0, (1 << phrases.KEY_BITS) - 1]))
+        counts = draw.integers(1, 1 << phrases.COUNT_BITS, len(keys))
+        held = [keys[::2] << phrases.COUNT_BITS | counts[::2], keys << phrases.COUNT_BITS | counts]
+        (packs,) = phrases._pack_keys(held, parts)
+        found = [phrases._unpack_keys(row, parts) for row in packs.to_pylist()]
+        assert np.array_equal(np.concatenate([k for k, _ in found]), keys)
+        counts[::2] *= 2
+        assert np.array_equal(np.concatenate([n for _, n in found]), counts)
+
+
 def test_collocations_of_odd_and_no_rows(spark):
     odd = helpers.odd_documents(spark)
     got = [tuple(r) for r in phrases.collocations(odd).collect()]
