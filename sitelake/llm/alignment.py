@@ -4,21 +4,33 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelake.functions.pieces import pieces
 from sitelake.session import stage
 
 #: Ends that a piece merges.
 WORK = 65_536
 #: Characters of the documents that share a table of id pairs, about.
 PACK_CHARS = 8_000_000
+#: Bytes of text that a task aligns at once; longer texts come alone.
+CHUNK_BYTES = 1_000_000
+#: Pieces that are tokenized at once.
+BATCH = 16_384
+#: Characters, and 100 for each, of the aligned pieces that are remembered, about.
+KNOWN_CHARS = 16_000_000
+#: Id pairs of documents whose counts are summed at once; longer documents come alone.
+SUMMED = 500_000
 
 # --- tokens -----------------------------------------------------------------
 
@@ -153,14 +165,17 @@ def align_ends(a: np.ndarray, b: np.ndarray, work: int = WORK) -> tuple[np.ndarr
 
 # --- packs of documents -----------------------------------------------------
 
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
+
 
 def planes(values: np.ndarray) -> bytes:
     """32-bit numbers by byte place, so that small ones compress to little."""
     return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def unplanes(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+def unplanes(blob: bytes, begin: int = 0, end: int | None = None) -> np.ndarray:
+    part = np.frombuffer(blob, np.uint8).reshape(4, -1)[:, begin:end]
+    return part.T.copy().view("<u4").ravel().astype(np.int64)
 
 
 def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -170,7 +185,7 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """Alignment of the different pieces of a pack, each done once."""
+    """Alignment of different pieces, each done once."""
 
     def __init__(self, coders: Coders, texts: list[str]):
         full = [" " + t for t in texts]
@@ -216,61 +231,148 @@ class Pieces:
         return out
 
 
-def _pack(coders: Coders, pack: int, ids: list, texts: list[str | None], groups) -> Iterator[pd.DataFrame]:
-    """Rows of the documents of a pack, then the pack's table of id pairs."""
-    cut = [coders.pieces(t) if t else [] for t in texts]
-    coded = pa.array([p for x in cut for p in x], pa.string()).dictionary_encode()
-    codes = coded.indices.to_numpy().astype(np.int64)
-    pieces = Pieces(coders, coded.dictionary.to_pylist())
-    ends = np.cumsum([len(x) for x in cut]).astype(np.int64)
-    spoilt = _sums(~pieces.good[codes], ends) > 0
-    document = np.repeat(np.arange(len(cut)), np.diff(ends, prepend=0))
-    kept = ~spoilt[document]
-    codes, document = codes[kept], document[kept]
-    ends = np.searchsorted(document, np.arange(len(cut)), "right")
-    shown, flat, begin = [], codes.tolist(), 0
-    for end in ends.tolist():
-        shown.append(groups("".join([pieces.shown[c] for c in flat[begin:end]])[:-1]))
-        begin = end
-    out = {"pack": pack, "place": np.arange(len(cut)), "doc_id": pd.Series(ids, dtype=object)}
-    for name in ("n_a", "n_b", "n_groups", "n_links"):
-        out[name] = _sums(getattr(pieces, name)[codes], ends)
-    empty = pd.Series([None] * len(cut), dtype=object)
-    yield pd.DataFrame({**out, "groups": shown, **dict.fromkeys(("pairs", "held", "rows", "codes", "times"), empty)})
-    # Every document's id pairs with their numbers of links.
-    number = pieces.n_links[codes]
-    shift = np.cumsum(number) - number
-    links = pieces.links[np.arange(number.sum()) - np.repeat(shift - (pieces.link_ends[codes] - number), number)]
-    key, times = np.unique(np.repeat(document, number) << 32 | links, return_counts=True)
-    row, pair = key >> 32, key & 0xFFFFFFFF
-    held = np.bincount(pair, minlength=len(pieces.pairs))
-    first = np.diff(row, prepend=-1) > 0
-    steps = np.where(first, pair, np.diff(pair, prepend=0))
-    blobs = {
-        "pairs": pieces.pairs.astype("<i8").tobytes(),
-        "held": planes(held),
-        "rows": planes(np.bincount(row, minlength=len(cut))),
-        "codes": planes(steps),
-        "times": planes(times),
-    }
-    nothing = dict.fromkeys(("place", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"))
-    yield pd.DataFrame([{"pack": pack, **nothing, **blobs}])
-
-
-def _packs(frames: Iterable[pd.DataFrame], limit: int) -> Iterator[tuple[list, list]]:
-    ids: list = []
-    texts: list = []
-    size = 0
-    for frame in frames:
-        for i, text in zip(frame["_id"].tolist(), frame["_text"].tolist(), strict=True):
-            ids.append(None if i is None or i != i else i)
-            texts.append(text)
-            size += len(text or "") + 100
-            if size >= limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+class Known:
+    """The pieces a pack remembers, numbered as they are met; ``links`` are places in its table of id pairs."""
+
+    COLUMNS = ("good", "n_a", "n_b", "n_groups", "n_links", "links")
+
+    def __init__(self):
+        self.code: defaultdict[str, int] = defaultdict()
+        self.code.default_factory = self.code.__len__
+        self.size = 0
+        self.shown: list[str] = []
+        for name in self.COLUMNS:
+            setattr(self, name, np.zeros(0, bool if name == "good" else np.int64))
+        self.link_ends = np.zeros(0, np.int64)
+
+    def add(self, found: Pieces, links: np.ndarray) -> None:
+        for name in self.COLUMNS:
+            more = links if name == "links" else getattr(found, name)
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
+        self.link_ends = np.cumsum(self.n_links)
+        self.shown += found.shown
+
+
+class Pack:
+    """Documents of a pack, aligned some at a time, and the table of their id pairs.
+
+    Pieces are aligned when they are first met. Those remembered are forgotten
+    together when they are many, so that memory does not grow with the words.
+    """
+
+    def __init__(self, coders: Coders, number: int):
+        self.coders, self.number = coders, number
+        self.size = self.documents = 0
+        self.known = Known()
+        #: Different id pairs, sorted, and the place of each in the table.
+        self.keys, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held = np.zeros(0, np.int64)
+        self.blobs: dict[str, list[np.ndarray]] = {"rows": [], "codes": [], "times": []}
+
+    def _places(self, pairs: np.ndarray) -> np.ndarray:
+        """Places of different, sorted pairs; new ones are added to the table."""
+        at = np.searchsorted(self.keys, pairs)
+        new = np.append(self.keys, -1)[at] != pairs
+        fresh = len(self.keys) + np.arange(new.sum())
+        self.keys = np.insert(self.keys, at[new], pairs[new])
+        self.place = np.insert(self.place, at[new], fresh)
+        self.held = np.append(self.held, np.zeros(len(fresh), np.int64))
+        return self.place[np.searchsorted(self.keys, pairs)]
+
+    def _codes(self, cut: list[list[str]]) -> np.ndarray:
+        """Numbers of all pieces, after those not known have been aligned."""
+        if self.known.size > KNOWN_CHARS:
+            self.known = Known()
+        known = self.known
+        start = len(known.code)
+        codes = np.fromiter((known.code[p] for x in cut for p in x), np.int64, sum(map(len, cut)))
+        new = list(islice(known.code, start, None))
+        known.size += sum(map(len, new)) + 100 * len(new)
+        for begin in range(0, len(new), BATCH):
+            found = Pieces(self.coders, new[begin : begin + BATCH])
+            known.add(found, self._places(found.pairs)[found.links])
+        return codes
+
+    def rows(self, part: pa.RecordBatch, written: Callable[[str], str]) -> pa.RecordBatch:
+        """Rows of the next documents; their id pairs are kept for the table."""
+        texts = part.column("_text")
+        self.size += pc.sum(pc.utf8_length(texts)).as_py() or 0
+        self.size += 100 * len(texts)
+        cut = [self.coders.pieces(t) if t else [] for t in texts.to_pylist()]
+        codes = self._codes(cut)
+        ends = np.cumsum([len(x) for x in cut]).astype(np.int64)
+        del cut
+        known = self.known
+        spoilt = _sums(~known.good[codes], ends) > 0
+        document = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        kept = ~spoilt[document]
+        codes, document = codes[kept], document[kept]
+        ends = np.searchsorted(document, np.arange(len(ends)), "right")
+        shown, begin = [], 0
+        for end in ends.tolist():
+            shown.append(written("".join([known.shown[c] for c in codes[begin:end].tolist()])[:-1]))
+            begin = end
+        numbers = {name: _sums(getattr(known, name)[codes], ends) for name in NUMBERS}
+        # Every document's id pairs with their numbers of links.
+        number = known.n_links[codes]
+        shift = np.cumsum(number) - number
+        links = known.links[np.arange(number.sum()) - np.repeat(shift - (known.link_ends[codes] - number), number)]
+        key, times = np.unique(np.repeat(document, number) << 32 | links, return_counts=True)
+        row, pair = key >> 32, key & 0xFFFFFFFF
+        self.held += np.bincount(pair, minlength=len(self.held))
+        first = np.diff(row, prepend=-1) > 0
+        steps = np.where(first, pair, np.diff(pair, prepend=0))
+        for name, values in (("rows", np.bincount(row, minlength=len(ends))), ("codes", steps), ("times", times)):
+            self.blobs[name].append(values.astype("<u4"))
+        place = self.documents + np.arange(len(ends), dtype=np.int32)
+        self.documents += len(ends)
+        return self._batch({"place": place, "doc_id": part.column("_id"), **numbers, "groups": shown}, part)
+
+    def table(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        """The pack's table of id pairs, by place, and every document's share of it."""
+        pairs = np.zeros(len(self.keys), "<i8")
+        pairs[self.place] = self.keys
+        blobs = {"pairs": pairs.tobytes(), "held": planes(self.held)}
+        for name, parts in self.blobs.items():
+            blobs[name] = planes(np.concatenate(parts))
+        return self._batch({name: [blob] for name, blob in blobs.items()}, part)
+
+    def _batch(self, columns: dict, part: pa.RecordBatch) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        kinds = {"pack": pa.int64(), "place": pa.int32(), "doc_id": part.column("_id").type}
+        kinds |= dict.fromkeys(NUMBERS, pa.int64()) | {"groups": pa.string()}
+        kinds |= dict.fromkeys(("pairs", "held", "rows", "codes", "times"), pa.binary())
+        given = {"pack": np.full(size, self.number), **columns}
+        arrays = [pa.array(given[n], t) if n in given else pa.nulls(size, t) for n, t in kinds.items() if n != "doc_id"]
+        arrays.insert(list(kinds).index("doc_id"), given.get("doc_id", pa.nulls(size, kinds["doc_id"])))
+        return pa.RecordBatch.from_arrays(arrays, list(kinds))
+
+
+def aligned(
+    batches: Iterable[pa.RecordBatch], coders: Coders, task: int, pack_chars: int, written: Callable[[str], str]
+) -> Iterator[pa.RecordBatch]:
+    """Rows of a task's documents; those of a pack are followed by its table of id pairs."""
+    pack, packs = None, 0
+    for part in (p for whole in batches for p in pieces(whole, "_text", min(pack_chars, CHUNK_BYTES))):
+        if not part.num_rows:
+            continue
+        pack = pack or Pack(coders, task << 32 | packs)
+        yield pack.rows(part, written)
+        if pack.size >= pack_chars:
+            yield pack.table(part)
+            pack, packs = None, packs + 1
+    if pack:
+        yield pack.table(part)
+
+
+def _runs(ends: np.ndarray, limit: int) -> Iterator[tuple[int, int, int, int]]:
+    """First document and the one behind the last, and likewise their id pairs, ``limit`` or one document at a time."""
+    first = begin = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, begin + limit, "right")))
+        end = int(ends[last - 1])
+        yield first, last, begin, end
+        first, begin = last, end
 
 
 _made: dict[tuple[str, str], Coders] = {}
@@ -311,26 +413,24 @@ def align(
     merge in pieces of equal work; other columns do not matter; an empty table gives
     no rows.
 
-    Texts are read once. Documents are packed as tasks meet them; a pack sends its
-    different id pairs to where they are counted and gets the counts back.
+    Texts are read once, and aligned a bounded number of bytes at a time. Documents
+    are packed as tasks meet them; a pack sends its different id pairs to where they
+    are counted and gets the counts back.
     """
     import hashlib
 
     def written(shown: str) -> str:
         return hashlib.sha256(shown.encode()).hexdigest() if digest and shown else shown
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coders = _coders(path_a, path_b)
-        part = TaskContext.get().partitionId()
-        for i, (ids, texts) in enumerate(_packs(frames, pack_chars)):
-            yield from _pack(coders, part << 32 | i, ids, texts, written)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        yield from aligned(batches, _coders(path_a, path_b), task, pack_chars, written)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    numbers = ("n_a", "n_b", "n_groups", "n_links")
-    schema = f"pack long, place int, doc_id {kind}, {', '.join(f'{n} long' for n in numbers)}, groups string"
+    schema = f"pack long, place int, doc_id {kind}, {', '.join(f'{n} long' for n in NUMBERS)}, groups string"
     schema += ", pairs binary, held binary, rows binary, codes binary, times binary"
     given = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    every = stage(given.mapInPandas(run, schema), "alignment")
+    every = stage(given.mapInArrow(run, schema), "alignment")
     tables = every.filter("place IS NULL")
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,19 +453,21 @@ def align(
         best = np.zeros(len(count), np.int64)
         count[found["at"]], best[found["at"]] = found["count"], found["best"]
         ends = np.cumsum(unplanes(own.rows))
-        steps = unplanes(own.codes)
-        # Codes grow within a document by the steps written.
-        run = np.cumsum(steps)
-        begins = np.concatenate([[0], ends[:-1]])
-        base = np.concatenate([[0], run])[begins]
-        pair = run - np.repeat(base, np.diff(ends, prepend=0))
-        times = unplanes(own.times)
+        sums = np.zeros((2, len(ends)), np.int64)
+        for first, last, begin, end in _runs(ends, SUMMED):
+            here = ends[first:last] - begin
+            # Codes grow within a document by the steps written.
+            run = np.cumsum(unplanes(own.codes, begin, end))
+            base = np.concatenate([[0], run])[np.concatenate([[0], here[:-1]])]
+            pair = run - np.repeat(base, np.diff(here, prepend=0))
+            times = unplanes(own.times, begin, end)
+            sums[:, first:last] = _sums(best[pair] * times, here), _sums(count[pair] * times, here)
         return pd.DataFrame(
             {
                 "pack": own.pack,
                 "place": np.arange(len(ends), dtype=np.int32),
-                "n_best": _sums(best[pair] * times, ends),
-                "count_sum": _sums(count[pair] * times, ends),
+                "n_best": sums[0],
+                "count_sum": sums[1],
             }
         )
 
@@ -373,5 +475,5 @@ def align(
     summed = packed.cogroup(answers.groupBy("pack")).applyInPandas(
         totals, "pack long, place int, n_best long, count_sum long"
     )
-    rows = every.filter("place IS NOT NULL").select("pack", "place", "doc_id", *numbers, "groups")
-    return rows.join(summed, ["pack", "place"]).select("doc_id", *numbers, "n_best", "count_sum", "groups")
+    rows = every.filter("place IS NOT NULL").select("pack", "place", "doc_id", *NUMBERS, "groups")
+    return rows.join(summed, ["pack", "place"]).select("doc_id", *NUMBERS, "n_best", "count_sum", "groups")

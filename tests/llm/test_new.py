@@ -6,10 +6,12 @@ import itertools
 import random
 import re
 import string
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from sitelake.llm import alignment, phrases, queries, secretscan
@@ -352,3 +354,71 @@ def test_words_apart_give_the_tokens_of_whole_texts():
 def test_numbers_by_byte_place():
     values = np.array([0, 1, 255, 256, 70_000, 2**31], np.int64)
     assert alignment.unplanes(alignment.planes(values)).tolist() == values.tolist()
+
+
+def batch_of(rows):
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["_id", "_text"])
+
+
+def unpacked(batches):
+    """Every document's row with its id pairs, and in how many documents each pair is held."""
+    rows, shares, held = [], [], Counter()
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["place"] is not None:
+                rows.append(tuple(row[n] for n in ("doc_id", *alignment.NUMBERS, "groups")))
+                continue
+            pairs = np.frombuffer(row["pairs"], "<i8").tolist()
+            numbers = {n: alignment.unplanes(row[n]) for n in ("held", "rows", "codes", "times")}
+            held.update(dict(zip(pairs, numbers["held"].tolist(), strict=True)))
+            end = 0
+            for n in numbers["rows"].tolist():
+                part, end = slice(end, end + n), end + n
+                codes, times = np.cumsum(numbers["codes"][part]).tolist(), numbers["times"][part].tolist()
+                shares.append(sorted((pairs[c], k) for c, k in zip(codes, times, strict=True)))
+    return list(zip(rows, shares, strict=True)), held
+
+
+def test_alignment_does_not_depend_on_how_a_pack_is_cut(monkeypatch):
+    coders = alignment.Coders(*PATHS)
+    docs = batch_of([(i, t and t[:3000]) for i, t in helpers.ODD_TEXTS] + TEXTS + [(None, "a b a"), (30, None)])
+    whole = unpacked(alignment.aligned([docs], coders, 1, 8_000_000, str))
+    assert [row[0] for row, _ in whole[0]] == docs.column("_id").to_pylist()
+    for name, size in (("CHUNK_BYTES", 50), ("BATCH", 3), ("KNOWN_CHARS", 1000)):
+        monkeypatch.setattr(alignment, name, size)
+        batches = [docs.slice(0, 5), docs.slice(0, 0), docs.slice(5)]
+        assert unpacked(alignment.aligned(batches, coders, 1, 8_000_000, str)) == whole
+    packs = list(alignment.aligned([docs], coders, 1, 200, str))
+    assert len({p for b in packs for p in b.column("pack").to_pylist()}) > 3
+    assert unpacked(packs) == whole
+
+
+def test_alignment_holds_a_part_of_a_pack_at_a_time():
+    coders = alignment.Coders(*PATHS)
+    draw = random.Random(13)
+    usual = [f"w{i}" for i in range(2000)]
+    docs = [
+        (i, " ".join(draw.choice(usual) if j % 4 else f"{draw.getrandbits(30):x}" for j in range(600)))
+        for i in range(700)
+    ]
+    batch = batch_of(docs)
+    del docs
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in alignment.aligned([batch], coders, 1, 8_000_000, lambda _: ""))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 701
+    assert peak < 120_000_000
+
+
+def test_runs_of_documents():
+    for sizes in ([], [0], [0, 3, 0, 9, 1, 1, 0], [5] * 7, [0, 0, 0]):
+        ends = np.cumsum(np.array(sizes, np.int64))
+        for limit in (1, 4, 100):
+            runs = list(alignment._runs(ends, limit))
+            assert [x for first, last, _, _ in runs for x in range(first, last)] == list(range(len(sizes)))
+            for first, last, begin, end in runs:
+                assert (begin, end) == (sum(sizes[:first]), sum(sizes[:last]))
+                assert end - begin <= limit or last == first + 1
