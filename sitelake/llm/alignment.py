@@ -28,7 +28,7 @@ CHUNK_BYTES = 1_000_000
 #: Pieces that are tokenized at once.
 BATCH = 16_384
 #: Characters, and 100 for each, of the aligned pieces that are remembered, about.
-KNOWN_CHARS = 16_000_000
+KNOWN_CHARS = 32_000_000
 #: Id pairs of documents whose counts are summed at once; longer documents come alone.
 SUMMED = 500_000
 
